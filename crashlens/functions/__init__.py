@@ -9,6 +9,7 @@ from crashlens.functions.predicates import (
     is_non_numeric,
     not_iin,
     not_in,
+    parse_number,
 )
 
 __all__ = [
@@ -20,4 +21,5 @@ __all__ = [
     "is_non_numeric",
     "not_iin",
     "not_in",
+    "parse_number",
 ]

@@ -58,11 +58,16 @@ def at_least_text(column: ColumnOrName, floor: str, excluded: Iterable[str]) ->
     return not_in(column, excluded) & (_column(column) >= floor)
 
 
-def is_non_numeric(column: ColumnOrName, kind: str = "float") -> Column:
-    """True where text does not parse as a number, and for NULL.
+def parse_number(column: ColumnOrName, kind: str = "double") -> Column:
+    """Text as a number, NULL where it does not parse.
 
     A failed parse raises and catches an exception inside the cast, which is some hundred times dearer than a
     look at the first character, so only text that could be a number is tried.
     """
     text = _column(column)
-    return F.when(text.rlike(_MAY_BE_NUMBER), text.try_cast(kind).isNull()).otherwise(F.lit(True))
+    return F.when(text.rlike(_MAY_BE_NUMBER), text.try_cast(kind))
+
+
+def is_non_numeric(column: ColumnOrName, kind: str = "float") -> Column:
+    """True where text does not parse as a number, and for NULL."""
+    return parse_number(column, kind).isNull()

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType, NumericType
 
+from crashlens.functions import parse_number
+
 
 def null_profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """One row: per column, how many values are NULL or (floating-point columns) NaN. One pass over the table."""
@@ -32,7 +34,7 @@ def describe(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
 
     def summary(name: str) -> Column:
         column = F.col(name)
-        number = column.cast("double") if isinstance(kinds[name], NumericType) else column.try_cast("double")
+        number = column.cast("double") if isinstance(kinds[name], NumericType) else parse_number(name)
         return F.struct(
             F.lit(name).alias("column"),
             F.count(column).alias("count"),

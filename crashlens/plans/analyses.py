@@ -13,7 +13,17 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from crashlens.functions import any_column, at_least_text, contains_any, icontains, iin, is_non_numeric, not_iin, not_in
+from crashlens.functions import (
+    any_column,
+    at_least_text,
+    contains_any,
+    icontains,
+    iin,
+    is_non_numeric,
+    not_iin,
+    not_in,
+    parse_number,
+)
 from crashlens.operators.aggregates import count_rows, sum_columns
 from crashlens.operators.joins import count_pairs, join_on, restrict_to_list, semi
 from crashlens.operators.keys import distinct_on
@@ -130,7 +140,7 @@ def makes_by_casualties(tables: Tables, first: int = 3, last: int = 5, text_coun
     counts = ["TOT_INJRY_CNT", "DEATH_CNT"]
     vehicles = distinct_on(units, [*v.VEHICLE, "VEH_MAKE_ID", *counts])
     if text_counts:
-        vehicles = vehicles.withColumns({name: F.col(name).try_cast("double") for name in counts})
+        vehicles = vehicles.withColumns({name: parse_number(name) for name in counts})
     totals = sum_columns(vehicles, ["VEH_MAKE_ID"], {"AGG_INJURIES": counts[0], "AGG_DEATHS": counts[1]})
     totals = totals.withColumn("AGG_COUNT", F.col("AGG_INJURIES") + F.col("AGG_DEATHS"))
     return rank_slice(totals, first, last, ["AGG_COUNT"], ["VEH_MAKE_ID"])
