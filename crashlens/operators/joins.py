@@ -1,8 +1,12 @@
 """Equi-joins on shared column names; key columns appear once in the result.
 
-The physical join is Spark's choice from the sizes it knows. Only sides with a proven row bound are broadcast
-by hint. Row-producing joins rely on adaptive execution to split the partition of a hot key; joins whose rows
-are only counted should use ``count_pairs``, which never builds them.
+The physical join is Spark's choice from the sizes it knows; only lists with a proven row bound are broadcast by
+hint. Against hot keys:
+
+* the side that is only looked up is made distinct, or counted, per key first, with map-side aggregation, so its
+  copies of a hot key fold before the exchange and no pairs of copies arise;
+* the other side keeps its rows, and adaptive execution may split the partition its hot key lands in. Spark does that
+  only where both inputs of the join come straight from an exchange, see ``_look_up``.
 """
 
 from __future__ import annotations
@@ -21,18 +25,31 @@ def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame
     return left.join(right, list(keys), "inner")
 
 
-def semi(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Rows of ``left`` that have a partner, each once.
+def _look_up(rows: DataFrame, per_key: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
+    """Join rows to a table that is unique per key.
 
-    The keys of ``right`` are made distinct first. That needs no exchange of its own, as the join wants the
-    same partitioning, and it folds the copies of a hot key on the map side.
+    Such a table is the output of an aggregation already partitioned by the key, and Spark would join it in place,
+    which rules out splitting a hot key of ``rows``. Joining on one more column derived from the key gives the
+    small aggregated side an exchange of its own and so allows the split.
     """
-    return left.join(right.select(*keys).distinct(), list(keys), "left_semi")
+    part = F.hash(*keys) % 2
+    joined = rows.withColumn("_part", part).join(per_key.withColumn("_part", part), [*keys, "_part"], how)
+    return joined.drop("_part")
+
+
+def join_per_key(rows: DataFrame, per_key: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows with the columns of their key's only row in ``per_key``; rows without one drop out."""
+    return _look_up(rows, per_key, keys, "inner")
+
+
+def semi(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows of ``left`` that have a partner, each once."""
+    return _look_up(left, right.select(*keys).distinct(), keys, "left_semi")
 
 
 def anti(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows of ``left`` that have no partner; a row with a NULL key has none and stays."""
-    return left.join(right.select(*keys).distinct(), list(keys), "left_anti")
+    return _look_up(left, right.select(*keys).distinct(), keys, "left_anti")
 
 
 def restrict_to_list(df: DataFrame, members: DataFrame, column: str, bound: int) -> DataFrame:
@@ -44,22 +61,37 @@ def restrict_to_list(df: DataFrame, members: DataFrame, column: str, bound: int)
 
 
 def count_pairs(
-    left: DataFrame, right: DataFrame, keys: Sequence[str], by: Sequence[str] = (), count: str = "count"
+    left: DataFrame,
+    right: DataFrame,
+    keys: Sequence[str],
+    by: Sequence[str] = (),
+    count: str = "count",
+    within: DataFrame | None = None,
 ) -> DataFrame:
     """Rows of the inner join of both sides counted per ``by``, without building the joined rows.
 
-    Each side is first counted per key and its own ``by`` columns, with map-side aggregation; joined groups
-    then stand for (left rows x right rows) pairs. A key that holds a large part of both tables costs one row
-    per combination of ``by`` values instead of the product of its rows. Without ``by`` the result is one row,
-    0 if nothing joins.
+    A side that brings no ``by`` column is counted per key; each row of the other side then stands for that many
+    pairs. If both sides bring some, both are counted per key and their own columns. Either way a key that
+    holds a large part of both tables never costs the product of its rows. ``within`` restricts the keys to those
+    of a third table. Without ``by`` the result is one row, 0 if nothing joins.
     """
 
-    def counted(side: DataFrame, name: str) -> DataFrame:
-        own = [column for column in by if column in side.columns and column not in keys]
-        return side.groupBy(*keys, *own).agg(F.count(F.lit(1)).alias(name))
-
-    pairs = join_on(counted(left, "_left_rows"), counted(right, "_right_rows"), keys)
-    total = F.sum(F.col("_left_rows") * F.col("_right_rows"))
+    def own(side: DataFrame) -> list[str]:
+        return [column for column in by if column in side.columns and column not in keys]
+
+    def counted(side: DataFrame, rows: str) -> DataFrame:
+        return side.groupBy(*keys, *own(side)).agg(F.count(F.lit(1)).alias(rows))
+
+    many, one = (right, left) if own(right) and not own(left) else (left, right)
+    per_key = counted(one, "_one")
+    if within is not None:
+        per_key = per_key.join(within.select(*keys).distinct(), list(keys), "left_semi")
+    if own(one):
+        pairs = join_on(counted(many, "_many"), per_key, keys)
+        total = F.sum(F.col("_many") * F.col("_one"))
+    else:
+        pairs = join_per_key(many.select(*keys, *own(many)), per_key, keys)
+        total = F.sum("_one")
     if not by:
         return pairs.agg(F.coalesce(total, F.lit(0).cast("bigint")).alias(count))
     return pairs.groupBy(*by).agg(total.alias(count))

@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from crashlens.operators.joins import join_per_key
+
 
 def distinct_on(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Distinct rows over some columns. The column list is part of the meaning: it defines the key."""
@@ -27,11 +29,11 @@ def duplicate_keys(df: DataFrame, keys: Sequence[str], count: str = "count") ->
 def duplicate_rows(df: DataFrame, keys: Sequence[str], count: str = "count") -> DataFrame:
     """All rows whose key occurs more than once, with the size of their group (rows with a NULL key drop out).
 
-    The groups are counted with map-side aggregation and joined back. A window over the key would need one
-    task to hold each whole group; the join can split a large one.
+    The groups are counted with map-side aggregation and looked up from the rows. A window over the key would
+    need one task to hold each whole group; the join can split a large one.
     """
     repeated = df.groupBy(*keys).agg(F.count(keys[0]).alias(count)).filter(F.col(count) > 1)
-    return df.join(repeated, list(keys), "inner")
+    return join_per_key(df, repeated, keys)
 
 
 def key_ladder(df: DataFrame, key_sets: Mapping[str, Sequence[str]]) -> DataFrame:

@@ -3,7 +3,7 @@
 Each function takes the tables as a mapping of name to DataFrame and returns a lazy DataFrame. Vehicles repeat in
 the units table, so every analysis of vehicles first makes them distinct over the columns it is about; those
 columns decide what counts as one row. Counts over vehicles and persons count pairs of the two, which
-``count_pairs`` gets by multiplying per-vehicle counts instead of joining the rows.
+``count_pairs`` gets from counts per crash and unit instead of joined rows.
 """
 
 from __future__ import annotations
@@ -112,10 +112,12 @@ def states_without_women(tables: Tables) -> DataFrame:
     under it rule nothing out.
     """
     state = F.col("DRVR_LIC_STATE_ID")
+    known_state = F.when(not_iin(state, v.NO_STATE), state)
     woman = F.coalesce(F.col("PRSN_GNDR_ID") == v.FEMALE, F.lit(False)) & F.col("CRASH_ID").isNotNull()
     crash_states = (
         tables["primary_person"]
-        .select("CRASH_ID", F.when(not_iin(state, v.NO_STATE), state).alias("DRVR_LIC_STATE_ID"), woman.alias("_woman"))
+        .select("CRASH_ID", known_state.alias("DRVR_LIC_STATE_ID"), woman.alias("_woman"))
+        .filter(state.isNotNull() | F.col("_woman"))
         .groupBy("CRASH_ID", "DRVR_LIC_STATE_ID")
         .agg(F.max("_woman").alias("_woman"))
     )
@@ -225,5 +227,5 @@ def makes_with_speed_charges(tables: Tables, k: int = 5, colours: int = 10, stat
     vehicles = distinct_on(units, columns)
     charged = tables["charges"].filter(contains_any("CHARGE", v.SPEED_CHARGES))
     licensed = tables["primary_person"].filter(F.col("DRVR_LIC_TYPE_ID").isin(v.LICENCE_TYPES))
-    rows = count_pairs(vehicles, semi(licensed, charged, v.CRASH_UNIT), v.CRASH_UNIT, ["VEH_MAKE_ID"])
+    rows = count_pairs(vehicles, licensed, v.CRASH_UNIT, ["VEH_MAKE_ID"], within=charged)
     return topk(rows, k, ["count"], ["VEH_MAKE_ID"])

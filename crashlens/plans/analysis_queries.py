@@ -18,12 +18,12 @@ WHERE PRSN_INJRY_SEV_ID = 'KILLED' AND PRSN_GNDR_ID = 'MALE' GROUP BY CRASH_ID""
 
 @query(with_tables(_MEN_KILLED + " HAVING COUNT(*) > 2", "primary_person"))
 def analysis1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return analyses.crashes_with_many_men(crash_tables(spark, sf_dir))
+    return analyses.crashes_with_many_men(crash_tables(spark, sf_dir, "primary_person"))
 
 
 @query(with_tables(_MEN_KILLED, "primary_person"))
 def analysis1_all_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return analyses.men_per_crash(crash_tables(spark, sf_dir))
+    return analyses.men_per_crash(crash_tables(spark, sf_dir, "primary_person"))
 
 
 @query(with_tables(f"SELECT COUNT(*) AS crashes FROM ({_MEN_KILLED} HAVING COUNT(*) > 2) c", "primary_person"))
@@ -39,7 +39,7 @@ WHERE PRSN_GNDR_ID = 'MALE' GROUP BY CRASH_ID HAVING COUNT(*) > 2""",
     )
 )
 def analysis1_any_injury(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return analyses.crashes_with_many_men(crash_tables(spark, sf_dir), any_injury=True)
+    return analyses.crashes_with_many_men(crash_tables(spark, sf_dir, "primary_person"), any_injury=True)
 
 
 # 2
@@ -50,7 +50,7 @@ WHERE contains(VEH_BODY_STYL_ID, 'MOTORCYCLE')"""
 
 @query(with_tables(_TWO_WHEELERS, "units"))
 def analysis2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return analyses.two_wheelers(crash_tables(spark, sf_dir))
+    return analyses.two_wheelers(crash_tables(spark, sf_dir, "units"))
 
 
 @query(with_tables(f"SELECT COUNT(*) AS vehicles FROM ({_TWO_WHEELERS}) t", "units"))
@@ -75,12 +75,12 @@ GROUP BY u.VEH_MAKE_ID ORDER BY 2 DESC, 1 LIMIT 5""",
 
 @query(_driver_deaths_sql("p.PRSN_INJRY_SEV_ID = 'KILLED'"))
 def analysis3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return analyses.makes_with_driver_deaths(crash_tables(spark, sf_dir))
+    return analyses.makes_with_driver_deaths(crash_tables(spark, sf_dir, "units", "primary_person"))
 
 
 @query(_driver_deaths_sql("p.PRSN_DEATH_TIME IS NOT NULL"))
 def analysis3_by_death_time(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return analyses.makes_with_driver_deaths(crash_tables(spark, sf_dir), by_death_time=True)
+    return analyses.makes_with_driver_deaths(crash_tables(spark, sf_dir, "units", "primary_person"), by_death_time=True)
 
 
 # 4
@@ -104,22 +104,22 @@ _DRIVER = " AND contains(p.PRSN_TYPE_ID, 'DRIVER')"
 
 @query(_licensed_sql(_LICENSED_COLUMNS, _DRIVER))
 def analysis4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return analyses.licensed_hit_and_run(crash_tables(spark, sf_dir))
+    return analyses.licensed_hit_and_run(crash_tables(spark, sf_dir, "units", "primary_person"))
 
 
 @query(_licensed_sql('COUNT(*) AS "count"', _DRIVER))
 def analysis4_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return analyses.licensed_hit_and_run_count(crash_tables(spark, sf_dir))
+    return analyses.licensed_hit_and_run_count(crash_tables(spark, sf_dir, "units", "primary_person"))
 
 
 @query(_licensed_sql(_LICENSED_COLUMNS))
 def analysis4_any_person(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return analyses.licensed_hit_and_run(crash_tables(spark, sf_dir), any_person=True)
+    return analyses.licensed_hit_and_run(crash_tables(spark, sf_dir, "units", "primary_person"), any_person=True)
 
 
 @query(_licensed_sql('COUNT(*) AS "count"'))
 def analysis4_any_person_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return analyses.licensed_hit_and_run_count(crash_tables(spark, sf_dir), any_person=True)
+    return analyses.licensed_hit_and_run_count(crash_tables(spark, sf_dir, "units", "primary_person"), any_person=True)
 
 
 # 5
@@ -133,7 +133,7 @@ GROUP BY DRVR_LIC_STATE_ID"""
 
 @query(with_tables(_STATES, "primary_person"))
 def analysis5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return analyses.states_without_women(crash_tables(spark, sf_dir))
+    return analyses.states_without_women(crash_tables(spark, sf_dir, "primary_person"))
 
 
 @query(
@@ -143,7 +143,7 @@ def analysis5(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 )
 def analysis5_top_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return analyses.top_state_without_women(crash_tables(spark, sf_dir))
+    return analyses.top_state_without_women(crash_tables(spark, sf_dir, "primary_person"))
 
 
 # 6
@@ -162,12 +162,12 @@ GROUP BY VEH_MAKE_ID ORDER BY AGG_COUNT DESC NULLS LAST, VEH_MAKE_ID LIMIT 3 OFF
 
 @query(_casualties_sql("BIGINT"))
 def analysis6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return analyses.makes_by_casualties(crash_tables(spark, sf_dir))
+    return analyses.makes_by_casualties(crash_tables(spark, sf_dir, "units"))
 
 
 @query(_casualties_sql("DOUBLE"))
 def analysis6_string_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tables = crash_tables(spark, sf_dir)
+    tables = crash_tables(spark, sf_dir, "units")
     text = {name: F.col(name).cast("string") for name in ("TOT_INJRY_CNT", "DEATH_CNT")}
     return analyses.makes_by_casualties({"units": tables["units"].withColumns(text)}, text_counts=True)
 
@@ -193,12 +193,12 @@ WHERE rn = 1""",
 
 @query(_ethnicity_sql())
 def analysis7(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return analyses.top_ethnicity_per_body_style(crash_tables(spark, sf_dir))
+    return analyses.top_ethnicity_per_body_style(crash_tables(spark, sf_dir, "units", "primary_person"))
 
 
 @query(_ethnicity_sql(", VEH_HNR_FL"))
 def analysis7_with_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return analyses.top_ethnicity_per_body_style(crash_tables(spark, sf_dir), with_hit_and_run=True)
+    return analyses.top_ethnicity_per_body_style(crash_tables(spark, sf_dir, "units", "primary_person"), with_hit_and_run=True)
 
 
 # 8
@@ -217,7 +217,7 @@ WHERE p.DRVR_ZIP IS NOT NULL GROUP BY p.DRVR_ZIP ORDER BY 2 DESC, 1 LIMIT 5""",
     )
 )
 def analysis8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return analyses.zips_with_alcohol(crash_tables(spark, sf_dir))
+    return analyses.zips_with_alcohol(crash_tables(spark, sf_dir, "units", "primary_person"))
 
 
 # 9
@@ -241,17 +241,17 @@ ON u.CRASH_ID = d.CRASH_ID""",
 
 @query(_insured_sql("DISTINCT u.CRASH_ID", "CRASH_ID"))
 def analysis9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return analyses.insured_crashes_without_property_damage(crash_tables(spark, sf_dir))
+    return analyses.insured_crashes_without_property_damage(crash_tables(spark, sf_dir, "units", "damages"))
 
 
 @query(_insured_sql("u.*, d.DAMAGED_PROPERTY", "CRASH_ID, DAMAGED_PROPERTY"))
 def analysis9_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return analyses.insured_without_property_damage(crash_tables(spark, sf_dir))
+    return analyses.insured_without_property_damage(crash_tables(spark, sf_dir, "units", "damages"))
 
 
 @query(_insured_sql("u.*", "CRASH_ID"))
 def analysis9_by_crash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return analyses.insured_without_property_damage(crash_tables(spark, sf_dir), by_crash=True)
+    return analyses.insured_without_property_damage(crash_tables(spark, sf_dir, "units", "damages"), by_crash=True)
 
 
 # 10
@@ -282,4 +282,4 @@ GROUP BY v.VEH_MAKE_ID ORDER BY 2 DESC, 1 NULLS LAST LIMIT 5""",
     )
 )
 def analysis10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return analyses.makes_with_speed_charges(crash_tables(spark, sf_dir))
+    return analyses.makes_with_speed_charges(crash_tables(spark, sf_dir, "units", "primary_person", "charges"))

@@ -1,215 +1,118 @@
 """Crash-shaped tables derived from the order tables, for checks at any scale.
 
 They hold exact duplicate vehicles, several vehicles per crash unit, NULL beside NA, mixed case, numeric text in
-state and colour, and zip codes with a leading zero. Everything is integer arithmetic on keys.
+state and colour, and zip codes with a leading zero. Everything is integer arithmetic on keys, written as SQL
+expressions that mean the same in Spark and in other engines.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+UNITS = """
+l_orderkey AS CRASH_ID
+l_linenumber % 3 + 1 AS UNIT_NBR
+CASE WHEN l_partkey % 50 = 0 THEN NULL ELSE concat('VIN', CAST(l_partkey AS VARCHAR(20))) END AS VIN
+CASE WHEN CAST(substring(p_brand, 7) AS INT) % 12 = 0 THEN 'NA' ELSE upper(p_brand) END AS VEH_MAKE_ID
+CASE l_suppkey % 9 WHEN 0 THEN 'MOTORCYCLE' WHEN 1 THEN 'POLICE MOTORCYCLE' WHEN 2 THEN 'UNKNOWN' WHEN 3 THEN 'NA' WHEN 4 THEN 'NOT REPORTED' WHEN 5 THEN NULL WHEN 6 THEN 'PICKUP' ELSE p_type END AS VEH_BODY_STYL_ID
+CASE WHEN l_suppkey % 7 = 0 THEN 'Y' WHEN l_suppkey % 7 = 1 THEN NULL ELSE 'N' END AS VEH_HNR_FL
+CAST(l_partkey % 4 AS INT) AS TOT_INJRY_CNT
+CAST(CASE WHEN l_partkey % 11 = 0 THEN 1 ELSE 0 END AS INT) AS DEATH_CNT
+CASE l_partkey % 13 WHEN 0 THEN 'UNDER INFLUENCE - ALCOHOL' WHEN 1 THEN NULL ELSE 'NONE' END AS CONTRIB_FACTR_1_ID
+CASE l_partkey % 17 WHEN 0 THEN 'Had Been Drinking Alcohol' WHEN 1 THEN NULL ELSE 'NA' END AS CONTRIB_FACTR_2_ID
+CASE l_partkey % 19 WHEN 0 THEN 'alcohol' ELSE NULL END AS CONTRIB_FACTR_P1_ID
+CASE (l_partkey + l_suppkey) % 10 WHEN 0 THEN 'NA' WHEN 1 THEN 'NO DAMAGE' WHEN 2 THEN 'INVALID VALUE' WHEN 3 THEN NULL WHEN 4 THEN 'DAMAGED 4' WHEN 5 THEN 'DAMAGED 5' WHEN 6 THEN 'DAMAGED 6' WHEN 7 THEN 'DAMAGED 7 HIGHEST' WHEN 8 THEN 'DAMAGED 1 MINIMUM' ELSE 'DAMAGED 2' END AS VEH_DMAG_SCL_1_ID
+CASE l_suppkey % 8 WHEN 0 THEN 'DAMAGED 5' WHEN 1 THEN 'NO DAMAGE' WHEN 2 THEN NULL WHEN 3 THEN 'INVALID VALUE' ELSE 'NA' END AS VEH_DMAG_SCL_2_ID
+CASE l_suppkey % 5 WHEN 0 THEN 'LIABILITY INSURANCE POLICY' WHEN 1 THEN 'PROOF OF LIABILITY INSURANCE' WHEN 2 THEN 'INSURANCE BINDER' WHEN 3 THEN 'NA' ELSE NULL END AS FIN_RESP_TYPE_ID
+CASE l_suppkey % 40 WHEN 37 THEN '98' WHEN 38 THEN 'NaN' WHEN 39 THEN NULL ELSE concat('ST', CAST(l_suppkey % 40 AS VARCHAR(20))) END AS VEH_LIC_STATE_ID
+CASE l_partkey % 16 WHEN 0 THEN 'NA' WHEN 1 THEN '99' WHEN 2 THEN NULL ELSE concat('COL', CAST(l_partkey % 16 AS VARCHAR(20))) END AS VEH_COLOR_ID
+""".strip().splitlines()
+
+PRIMARY_PERSON = """
+l_orderkey AS CRASH_ID
+l_linenumber % 3 + 1 AS UNIT_NBR
+l_linenumber AS PRSN_NBR
+CASE WHEN l_suppkey % 3 = 0 THEN 'KILLED' WHEN l_suppkey % 3 = 1 THEN 'NOT INJURED' ELSE NULL END AS PRSN_INJRY_SEV_ID
+CASE WHEN l_suppkey % 3 = 0 AND l_partkey % 5 <> 0 THEN '10:15 AM' ELSE NULL END AS PRSN_DEATH_TIME
+CASE WHEN o_custkey % 5 = 0 THEN 'MALE' WHEN l_partkey % 3 = 0 THEN 'FEMALE' WHEN l_partkey % 3 = 1 THEN 'MALE' ELSE NULL END AS PRSN_GNDR_ID
+CASE WHEN l_partkey % 2 = 0 THEN 'NOT DEPLOYED' ELSE 'DEPLOYED' END AS PRSN_AIRBAG_ID
+CASE l_linenumber WHEN 7 THEN 'PEDESTRIAN' WHEN 6 THEN 'DRIVER OF MOTORCYCLE TYPE VEHICLE' ELSE 'DRIVER' END AS PRSN_TYPE_ID
+CASE l_suppkey % 6 WHEN 0 THEN 'UNKNOWN' WHEN 1 THEN 'UNLICENSED' WHEN 2 THEN NULL ELSE 'CLASS C' END AS DRVR_LIC_CLS_ID
+CASE l_partkey % 4 WHEN 0 THEN 'DRIVER LICENSE' WHEN 1 THEN 'COMMERCIAL DRIVER LIC.' WHEN 2 THEN 'NA' ELSE NULL END AS DRVR_LIC_TYPE_ID
+CASE c_nationkey WHEN 0 THEN 'NA' WHEN 1 THEN 'Unknown' WHEN 2 THEN 'Other' WHEN 3 THEN NULL ELSE concat('ST', CAST(c_nationkey AS VARCHAR(20))) END AS DRVR_LIC_STATE_ID
+CASE l_partkey % 7 WHEN 0 THEN 'NA' WHEN 1 THEN 'OTHER' WHEN 2 THEN NULL ELSE concat('ETH', CAST(l_partkey % 7 AS VARCHAR(20))) END AS PRSN_ETHNICITY_ID
+CASE WHEN l_suppkey % 10 = 0 THEN NULL WHEN l_suppkey % 10 = 1 THEN 'UNKNOWN' ELSE concat('0', CAST(7000 + l_suppkey % 40 AS VARCHAR(20))) END AS DRVR_ZIP
+""".strip().splitlines()
+
+CHARGES = """
+l_orderkey AS CRASH_ID
+l_linenumber % 3 + 1 AS UNIT_NBR
+l_linenumber AS PRSN_NBR
+CASE l_partkey % 6 WHEN 0 THEN 'SPEEDING OVER LIMIT' WHEN 1 THEN 'DRIVING TOO FAST' WHEN 2 THEN 'speeding' WHEN 3 THEN NULL ELSE 'RAN RED LIGHT' END AS CHARGE
+""".strip().splitlines()
+
+DAMAGES = """
+o_orderkey AS CRASH_ID
+CASE o_custkey % 6 WHEN 0 THEN 'NONE' WHEN 1 THEN 'none1' WHEN 2 THEN NULL WHEN 3 THEN 'FENCE' WHEN 4 THEN 'None' ELSE 'NONE OBSERVED' END AS DAMAGED_PROPERTY
+""".strip().splitlines()
+
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _by_value(value: Column, cases: dict, default=None) -> Column:
-    """CASE value WHEN .. THEN .. ELSE default END; None stands for NULL."""
-    items = list(cases.items())
-    chain = F.when(value == items[0][0], items[0][1])
-    for key, result in items[1:]:
-        chain = chain.when(value == key, result)
-    return chain.otherwise(default)
-
-
-def _tagged(prefix: str, number: Column) -> Column:
-    return F.concat(F.lit(prefix), number.cast("string"))
-
-
 def units(spark: SparkSession, sf_dir: str) -> DataFrame:
     line, part = load(spark, sf_dir, "lineitem"), load(spark, sf_dir, "part")
-    pk, sk = F.col("l_partkey"), F.col("l_suppkey")
-    brand_number = F.substring("p_brand", 7, 10).cast("int")
-    columns = {
-        "CRASH_ID": F.col("l_orderkey"),
-        "UNIT_NBR": F.col("l_linenumber") % 3 + 1,
-        "VIN": F.when(pk % 50 != 0, _tagged("VIN", pk)),
-        "VEH_MAKE_ID": F.when(brand_number % 12 == 0, "NA").otherwise(F.upper("p_brand")),
-        "VEH_BODY_STYL_ID": _by_value(
-            sk % 9,
-            {
-                0: "MOTORCYCLE",
-                1: "POLICE MOTORCYCLE",
-                2: "UNKNOWN",
-                3: "NA",
-                4: "NOT REPORTED",
-                5: None,
-                6: "PICKUP",
-            },
-            F.col("p_type"),
-        ),
-        "VEH_HNR_FL": _by_value(sk % 7, {0: "Y", 1: None}, "N"),
-        "TOT_INJRY_CNT": (pk % 4).cast("int"),
-        "DEATH_CNT": F.when(pk % 11 == 0, 1).otherwise(0),
-        "CONTRIB_FACTR_1_ID": _by_value(
-            pk % 13, {0: "UNDER INFLUENCE - ALCOHOL", 1: None}, "NONE"
-        ),
-        "CONTRIB_FACTR_2_ID": _by_value(pk % 17, {0: "Had Been Drinking Alcohol", 1: None}, "NA"),
-        "CONTRIB_FACTR_P1_ID": F.when(pk % 19 == 0, "alcohol"),
-        "VEH_DMAG_SCL_1_ID": _by_value(
-            (pk + sk) % 10,
-            {
-                0: "NA",
-                1: "NO DAMAGE",
-                2: "INVALID VALUE",
-                3: None,
-                4: "DAMAGED 4",
-                5: "DAMAGED 5",
-                6: "DAMAGED 6",
-                7: "DAMAGED 7 HIGHEST",
-                8: "DAMAGED 1 MINIMUM",
-            },
-            "DAMAGED 2",
-        ),
-        "VEH_DMAG_SCL_2_ID": _by_value(
-            sk % 8, {0: "DAMAGED 5", 1: "NO DAMAGE", 2: None, 3: "INVALID VALUE"}, "NA"
-        ),
-        "FIN_RESP_TYPE_ID": _by_value(
-            sk % 5,
-            {0: "LIABILITY INSURANCE POLICY", 1: "PROOF OF LIABILITY INSURANCE", 2: "INSURANCE BINDER", 3: "NA"},
-        ),
-        "VEH_LIC_STATE_ID": _by_value(
-            sk % 40, {37: "98", 38: "NaN", 39: None}, _tagged("ST", sk % 40)
-        ),
-        "VEH_COLOR_ID": _by_value(
-            pk % 16, {0: "NA", 1: "99", 2: None}, _tagged("COL", pk % 16)
-        ),
-    }
     # Every twentieth part's rows appear twice.
-    copies = F.explode(F.when(pk % 20 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
-    joined = line.join(part, pk == F.col("p_partkey")).select("*", copies.alias("_copy"))
-    return joined.select([expr.alias(name) for name, expr in columns.items()])
+    copies = F.expr("explode(CASE WHEN l_partkey % 20 = 0 THEN array(0, 1) ELSE array(0) END)")
+    joined = line.join(part, line.l_partkey == part.p_partkey)
+    return joined.select("*", copies.alias("copy")).selectExpr(*UNITS)
 
 
 def primary_person(spark: SparkSession, sf_dir: str) -> DataFrame:
-    line = load(spark, sf_dir, "lineitem")
-    orders, customer = load(spark, sf_dir, "orders"), load(spark, sf_dir, "customer")
-    pk, sk, nr = F.col("l_partkey"), F.col("l_suppkey"), F.col("l_linenumber")
-    columns = {
-        "CRASH_ID": F.col("l_orderkey"),
-        "UNIT_NBR": nr % 3 + 1,
-        "PRSN_NBR": nr,
-        "PRSN_INJRY_SEV_ID": _by_value(sk % 3, {0: "KILLED", 1: "NOT INJURED"}),
-        "PRSN_DEATH_TIME": F.when((sk % 3 == 0) & (pk % 5 != 0), "10:15 AM"),
-        "PRSN_GNDR_ID": F.when(F.col("o_custkey") % 5 == 0, "MALE").otherwise(
-            _by_value(pk % 3, {0: "FEMALE", 1: "MALE"})
-        ),
-        "PRSN_AIRBAG_ID": F.when(pk % 2 == 0, "NOT DEPLOYED").otherwise("DEPLOYED"),
-        "PRSN_TYPE_ID": _by_value(nr, {7: "PEDESTRIAN", 6: "DRIVER OF MOTORCYCLE TYPE VEHICLE"}, "DRIVER"),
-        "DRVR_LIC_CLS_ID": _by_value(sk % 6, {0: "UNKNOWN", 1: "UNLICENSED", 2: None}, "CLASS C"),
-        "DRVR_LIC_TYPE_ID": _by_value(pk % 4, {0: "DRIVER LICENSE", 1: "COMMERCIAL DRIVER LIC.", 2: "NA"}),
-        "DRVR_LIC_STATE_ID": _by_value(
-            F.col("c_nationkey"), {0: "NA", 1: "Unknown", 2: "Other", 3: None}, _tagged("ST", F.col("c_nationkey"))
-        ),
-        "PRSN_ETHNICITY_ID": _by_value(pk % 7, {0: "NA", 1: "OTHER", 2: None}, _tagged("ETH", pk % 7)),
-        "DRVR_ZIP": _by_value(sk % 10, {0: None, 1: "UNKNOWN"}, _tagged("0", 7000 + sk % 40)),
-    }
+    line, orders = load(spark, sf_dir, "lineitem"), load(spark, sf_dir, "orders")
+    customer = load(spark, sf_dir, "customer")
     # The smaller pair first: orders get their customer before they meet the lines.
-    placed = orders.join(customer, F.col("o_custkey") == F.col("c_custkey"))
-    joined = line.join(placed, F.col("l_orderkey") == F.col("o_orderkey"))
-    return joined.select([expr.alias(name) for name, expr in columns.items()])
+    placed = orders.join(customer, orders.o_custkey == customer.c_custkey)
+    return line.join(placed, line.l_orderkey == orders.o_orderkey).selectExpr(*PRIMARY_PERSON)
 
 
 def charges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    charge = _by_value(
-        F.col("l_partkey") % 6,
-        {0: "SPEEDING OVER LIMIT", 1: "DRIVING TOO FAST", 2: "speeding", 3: None},
-        "RAN RED LIGHT",
-    )
-    return load(spark, sf_dir, "lineitem").select(
-        F.col("l_orderkey").alias("CRASH_ID"),
-        (F.col("l_linenumber") % 3 + 1).alias("UNIT_NBR"),
-        F.col("l_linenumber").alias("PRSN_NBR"),
-        charge.alias("CHARGE"),
-    )
+    return load(spark, sf_dir, "lineitem").selectExpr(*CHARGES)
 
 
 def damages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    entry = _by_value(
-        F.col("o_custkey") % 6,
-        {0: "NONE", 1: "none1", 2: None, 3: "FENCE", 4: "None"},
-        "NONE OBSERVED",
-    )
-    orders = load(spark, sf_dir, "orders").filter(F.col("o_orderkey") % 3 != 0)
-    return orders.select(F.col("o_orderkey").alias("CRASH_ID"), entry.alias("DAMAGED_PROPERTY"))
+    return load(spark, sf_dir, "orders").filter("o_orderkey % 3 <> 0").selectExpr(*DAMAGES)
+
+
+BUILDERS = {"units": units, "primary_person": primary_person, "charges": charges, "damages": damages}
+
+
+def crash_tables(spark: SparkSession, sf_dir: str, *names: str) -> dict[str, DataFrame]:
+    """The named crash tables, or all four."""
+    return {name: BUILDERS[name](spark, sf_dir) for name in names or BUILDERS}
 
 
-def crash_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    return {
-        "units": units(spark, sf_dir),
-        "primary_person": primary_person(spark, sf_dir),
-        "charges": charges(spark, sf_dir),
-        "damages": damages(spark, sf_dir),
-    }
+def _select(columns: list[str], source: str) -> str:
+    return "SELECT " + ",\n ".join(columns) + f"\nFROM {source}"
 
 
 # The same tables as SQL, for checks in another engine.
 SQL = {
-    "units": """
-SELECT l_orderkey AS CRASH_ID, l_linenumber % 3 + 1 AS UNIT_NBR,
- CASE WHEN l_partkey % 50 = 0 THEN NULL ELSE concat('VIN', CAST(l_partkey AS VARCHAR(20))) END AS VIN,
- CASE WHEN CAST(substring(p_brand, 7) AS INT) % 12 = 0 THEN 'NA' ELSE upper(p_brand) END AS VEH_MAKE_ID,
- CASE l_suppkey % 9 WHEN 0 THEN 'MOTORCYCLE' WHEN 1 THEN 'POLICE MOTORCYCLE' WHEN 2 THEN 'UNKNOWN' WHEN 3 THEN 'NA'
-  WHEN 4 THEN 'NOT REPORTED' WHEN 5 THEN NULL WHEN 6 THEN 'PICKUP' ELSE p_type END AS VEH_BODY_STYL_ID,
- CASE WHEN l_suppkey % 7 = 0 THEN 'Y' WHEN l_suppkey % 7 = 1 THEN NULL ELSE 'N' END AS VEH_HNR_FL,
- CAST(l_partkey % 4 AS INT) AS TOT_INJRY_CNT, CAST(CASE WHEN l_partkey % 11 = 0 THEN 1 ELSE 0 END AS INT) AS DEATH_CNT,
- CASE l_partkey % 13 WHEN 0 THEN 'UNDER INFLUENCE - ALCOHOL' WHEN 1 THEN NULL ELSE 'NONE' END AS CONTRIB_FACTR_1_ID,
- CASE l_partkey % 17 WHEN 0 THEN 'Had Been Drinking Alcohol' WHEN 1 THEN NULL ELSE 'NA' END AS CONTRIB_FACTR_2_ID,
- CASE l_partkey % 19 WHEN 0 THEN 'alcohol' ELSE NULL END AS CONTRIB_FACTR_P1_ID,
- CASE (l_partkey + l_suppkey) % 10 WHEN 0 THEN 'NA' WHEN 1 THEN 'NO DAMAGE' WHEN 2 THEN 'INVALID VALUE'
-  WHEN 3 THEN NULL WHEN 4 THEN 'DAMAGED 4' WHEN 5 THEN 'DAMAGED 5' WHEN 6 THEN 'DAMAGED 6'
-  WHEN 7 THEN 'DAMAGED 7 HIGHEST' WHEN 8 THEN 'DAMAGED 1 MINIMUM' ELSE 'DAMAGED 2' END AS VEH_DMAG_SCL_1_ID,
- CASE l_suppkey % 8 WHEN 0 THEN 'DAMAGED 5' WHEN 1 THEN 'NO DAMAGE' WHEN 2 THEN NULL WHEN 3 THEN 'INVALID VALUE'
-  ELSE 'NA' END AS VEH_DMAG_SCL_2_ID,
- CASE l_suppkey % 5 WHEN 0 THEN 'LIABILITY INSURANCE POLICY' WHEN 1 THEN 'PROOF OF LIABILITY INSURANCE'
-  WHEN 2 THEN 'INSURANCE BINDER' WHEN 3 THEN 'NA' ELSE NULL END AS FIN_RESP_TYPE_ID,
- CASE l_suppkey % 40 WHEN 37 THEN '98' WHEN 38 THEN 'NaN' WHEN 39 THEN NULL
-  ELSE concat('ST', CAST(l_suppkey % 40 AS VARCHAR(20))) END AS VEH_LIC_STATE_ID,
- CASE l_partkey % 16 WHEN 0 THEN 'NA' WHEN 1 THEN '99' WHEN 2 THEN NULL
-  ELSE concat('COL', CAST(l_partkey % 16 AS VARCHAR(20))) END AS VEH_COLOR_ID
-FROM lineitem JOIN part ON l_partkey = p_partkey
-JOIN (SELECT 0 AS d UNION ALL SELECT 1 AS d) dup ON d = 0 OR l_partkey % 20 = 0""",
-    "primary_person": """
-SELECT l_orderkey AS CRASH_ID, l_linenumber % 3 + 1 AS UNIT_NBR, l_linenumber AS PRSN_NBR,
- CASE WHEN l_suppkey % 3 = 0 THEN 'KILLED' WHEN l_suppkey % 3 = 1 THEN 'NOT INJURED' ELSE NULL END AS PRSN_INJRY_SEV_ID,
- CASE WHEN l_suppkey % 3 = 0 AND l_partkey % 5 <> 0 THEN '10:15 AM' ELSE NULL END AS PRSN_DEATH_TIME,
- CASE WHEN o_custkey % 5 = 0 THEN 'MALE' WHEN l_partkey % 3 = 0 THEN 'FEMALE' WHEN l_partkey % 3 = 1 THEN 'MALE'
-  ELSE NULL END AS PRSN_GNDR_ID,
- CASE WHEN l_partkey % 2 = 0 THEN 'NOT DEPLOYED' ELSE 'DEPLOYED' END AS PRSN_AIRBAG_ID,
- CASE l_linenumber WHEN 7 THEN 'PEDESTRIAN' WHEN 6 THEN 'DRIVER OF MOTORCYCLE TYPE VEHICLE' ELSE 'DRIVER' END AS PRSN_TYPE_ID,
- CASE l_suppkey % 6 WHEN 0 THEN 'UNKNOWN' WHEN 1 THEN 'UNLICENSED' WHEN 2 THEN NULL ELSE 'CLASS C' END AS DRVR_LIC_CLS_ID,
- CASE l_partkey % 4 WHEN 0 THEN 'DRIVER LICENSE' WHEN 1 THEN 'COMMERCIAL DRIVER LIC.' WHEN 2 THEN 'NA' ELSE NULL END AS DRVR_LIC_TYPE_ID,
- CASE c_nationkey WHEN 0 THEN 'NA' WHEN 1 THEN 'Unknown' WHEN 2 THEN 'Other' WHEN 3 THEN NULL
-  ELSE concat('ST', CAST(c_nationkey AS VARCHAR(20))) END AS DRVR_LIC_STATE_ID,
- CASE l_partkey % 7 WHEN 0 THEN 'NA' WHEN 1 THEN 'OTHER' WHEN 2 THEN NULL
-  ELSE concat('ETH', CAST(l_partkey % 7 AS VARCHAR(20))) END AS PRSN_ETHNICITY_ID,
- CASE WHEN l_suppkey % 10 = 0 THEN NULL WHEN l_suppkey % 10 = 1 THEN 'UNKNOWN'
-  ELSE concat('0', CAST(7000 + l_suppkey % 40 AS VARCHAR(20))) END AS DRVR_ZIP
-FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey""",
-    "charges": """
-SELECT l_orderkey AS CRASH_ID, l_linenumber % 3 + 1 AS UNIT_NBR, l_linenumber AS PRSN_NBR,
- CASE l_partkey % 6 WHEN 0 THEN 'SPEEDING OVER LIMIT' WHEN 1 THEN 'DRIVING TOO FAST' WHEN 2 THEN 'speeding'
-  WHEN 3 THEN NULL ELSE 'RAN RED LIGHT' END AS CHARGE
-FROM lineitem""",
-    "damages": """
-SELECT o_orderkey AS CRASH_ID,
- CASE o_custkey % 6 WHEN 0 THEN 'NONE' WHEN 1 THEN 'none1' WHEN 2 THEN NULL WHEN 3 THEN 'FENCE' WHEN 4 THEN 'None'
-  ELSE 'NONE OBSERVED' END AS DAMAGED_PROPERTY
-FROM orders WHERE o_orderkey % 3 <> 0""",
+    "units": _select(
+        UNITS,
+        "lineitem JOIN part ON l_partkey = p_partkey\n"
+        "JOIN (SELECT 0 AS d UNION ALL SELECT 1 AS d) dup ON d = 0 OR l_partkey % 20 = 0",
+    ),
+    "primary_person": _select(
+        PRIMARY_PERSON, "lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey"
+    ),
+    "charges": _select(CHARGES, "lineitem"),
+    "damages": _select(DAMAGES, "orders WHERE o_orderkey % 3 <> 0"),
 }
 
 
 def with_tables(select: str, *names: str) -> str:
     """A SELECT preceded by the named crash tables as common table expressions."""
-    return "WITH " + ",\n".join(f"{name} AS ({SQL[name]}\n)" for name in names) + "\n" + select
+    return "WITH " + ",\n".join(f"{name} AS (\n{SQL[name]})" for name in names) + "\n" + select

@@ -17,7 +17,7 @@ from crashlens.functions import (
     parse_number,
 )
 from crashlens.operators.aggregates import count_rows, count_values, having, sum_columns
-from crashlens.operators.joins import anti, count_pairs, join_on, restrict_to_list, semi
+from crashlens.operators.joins import anti, count_pairs, join_on, join_per_key, restrict_to_list, semi
 from crashlens.operators.keys import distinct_on, duplicate_keys, duplicate_rows, key_ladder
 from crashlens.operators.profiling import category_values, describe, describe_numeric, null_profile
 from crashlens.operators.ranking import number_rows, rank_slice, sort_by, top1_per_group, top_values, topk
@@ -325,7 +325,7 @@ ON c.CRASH_ID = u.CRASH_ID AND c.UNIT_NBR = u.UNIT_NBR""",
 )
 def join_inner_2key(spark: SparkSession, sf_dir: str) -> DataFrame:
     vehicles = count_rows(distinct_on(fixtures.units(spark, sf_dir), v.VEHICLE), v.CRASH_UNIT, "vehicles")
-    return join_on(fixtures.charges(spark, sf_dir), vehicles, v.CRASH_UNIT)
+    return join_per_key(fixtures.charges(spark, sf_dir), vehicles, v.CRASH_UNIT)
 
 
 @query(
