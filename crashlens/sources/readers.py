@@ -68,12 +68,12 @@ def read_tables(
 
 
 def convert_tables(
-    spark: SparkSession, csv_paths: Mapping[str, str], parquet_paths: Mapping[str, str], **options
+    spark: SparkSession, paths: Mapping[str, str], parquet_paths: Mapping[str, str], fmt: str = "csv", **options
 ) -> dict[str, DataFrame]:
-    """Write CSV tables once as typed Parquet and return them read back.
+    """Write tables once as typed Parquet and return them read back.
 
     CSV has no column pruning on disk and no vectorised scan, so a table that several analyses read should
     be converted first.
     """
-    tables = read_tables(spark, csv_paths, "csv", **options)
+    tables = read_tables(spark, paths, fmt, **options)
     return {name: write_result(df, parquet_paths[name]) for name, df in tables.items()}

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,11 +18,6 @@ def write_result(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def write_results(results: Mapping[str, DataFrame], paths: Mapping[str, str]) -> dict[str, DataFrame]:
-    """Write one dataset per named result and return them read back."""
-    return {name: write_result(df, paths[name]) for name, df in results.items()}
-
-
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path for an intermediate table, in the folder that ``spark.checkpoint.dir`` names.
 
