@@ -6,7 +6,7 @@ from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructType
+from pyspark.sql.types import StructType
 
 from crashlens.sources.schemas import SCHEMAS
 from crashlens.sources.sinks import write_result
@@ -26,14 +26,14 @@ def to_schema(df: DataFrame, schema: StructType) -> DataFrame:
 
     Columns the file lacks become NULL too, and columns the schema does not name are dropped.
     """
-    present = {name.upper(): name for name in df.columns}
+    present = {field.name.upper(): field for field in df.schema.fields}
 
     def typed(field):
         source = present.get(field.name.upper())
         if source is None:
             return F.lit(None).cast(field.dataType).alias(field.name)
-        column = F.col(f"`{source}`")
-        if not (isinstance(field.dataType, StringType) and dict(df.dtypes)[source] == "string"):
+        column = F.col(f"`{source.name}`")
+        if source.dataType != field.dataType:
             column = column.try_cast(field.dataType)
         return column.alias(field.name)
 
