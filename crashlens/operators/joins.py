@@ -32,7 +32,7 @@ def _look_up(rows: DataFrame, per_key: DataFrame, keys: Sequence[str], how: str)
     which rules out splitting a hot key of ``rows``. Joining on one more column derived from the key gives the
     small aggregated side an exchange of its own and so allows the split.
     """
-    part = F.hash(*keys) % 2
+    part = F.hash(*keys).bitwiseAND(1)
     joined = rows.withColumn("_part", part).join(per_key.withColumn("_part", part), [*keys, "_part"], how)
     return joined.drop("_part")
 
@@ -53,11 +53,16 @@ def anti(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def restrict_to_list(df: DataFrame, members: DataFrame, column: str, bound: int) -> DataFrame:
-    """Rows whose ``column`` is in a list of at most ``bound`` values (NULL never matches)."""
-    values = members.select(column)
+    """Rows whose ``column`` is in a list of at most ``bound`` values (NULL never matches).
+
+    The optimizer would move a semi-join, or the NULL test that goes with a plain equality, below a distinct that
+    ``df`` ends in. A null-safe inner join to the distinct list stays where it is, so that distinct rows from
+    which the list itself was counted can be shared.
+    """
+    values = members.select(F.col(column).alias("_member")).na.drop().distinct()
     if bound <= BROADCAST_ROWS:
         values = F.broadcast(values)
-    return df.join(values, [column], "left_semi")
+    return df.join(values, F.col(column).eqNullSafe(F.col("_member")), "inner").drop("_member")
 
 
 def count_pairs(

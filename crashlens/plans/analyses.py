@@ -213,19 +213,24 @@ def _is_colour(column: str) -> Column:
 def makes_with_speed_charges(tables: Tables, k: int = 5, colours: int = 10, states: int = 25) -> DataFrame:
     """Rows per make for vehicles of the top colours and states, charged units and licensed persons.
 
-    Both top lists come from one count of the distinct vehicles per colour and state, which runs once. The
-    lists are bounded by their k, so they are broadcast and cut the vehicles down before these are shuffled;
-    the number test runs on the distinct spellings, not on every vehicle.
+    The vehicles are made distinct once: the result and the two top lists read the same shuffled rows. For that
+    the vehicles without a crash unit, which count for the lists but join nothing, are kept in a branch of their
+    own, as the join would otherwise filter one use of the rows and not the other. The lists are bounded by their
+    k and broadcast; the number test runs on the distinct spellings, not on every vehicle.
     """
     columns = [*v.VEHICLE, "VEH_LIC_STATE_ID", "VEH_COLOR_ID", "VEH_MAKE_ID"]
-    per_look = count_rows(distinct_on(tables["units"], columns), ["VEH_LIC_STATE_ID", "VEH_COLOR_ID"], "_vehicles")
+    in_crash = F.col("CRASH_ID").isNotNull() & F.col("UNIT_NBR").isNotNull()
+    vehicles = distinct_on(tables["units"].filter(in_crash), columns)
+    strays = distinct_on(tables["units"].filter(~in_crash), columns)
+
+    look = ["VEH_LIC_STATE_ID", "VEH_COLOR_ID"]
+    per_look = count_rows(vehicles, look, "_vehicles").unionAll(count_rows(strays, look, "_vehicles"))
     top_states = top_values(per_look, "VEH_LIC_STATE_ID", states, is_non_numeric("VEH_LIC_STATE_ID"), "_vehicles")
     top_colours = top_values(per_look, "VEH_COLOR_ID", colours, _is_colour("VEH_COLOR_ID"), "_vehicles")
 
-    units = restrict_to_list(tables["units"], top_colours, "VEH_COLOR_ID", colours)
-    units = restrict_to_list(units, top_states, "VEH_LIC_STATE_ID", states)
-    vehicles = distinct_on(units, columns)
+    listed = restrict_to_list(vehicles, top_colours, "VEH_COLOR_ID", colours)
+    listed = restrict_to_list(listed, top_states, "VEH_LIC_STATE_ID", states)
     charged = tables["charges"].filter(contains_any("CHARGE", v.SPEED_CHARGES))
     licensed = tables["primary_person"].filter(F.col("DRVR_LIC_TYPE_ID").isin(v.LICENCE_TYPES))
-    rows = count_pairs(vehicles, licensed, v.CRASH_UNIT, ["VEH_MAKE_ID"], within=charged)
+    rows = count_pairs(listed, licensed, v.CRASH_UNIT, ["VEH_MAKE_ID"], within=charged)
     return topk(rows, k, ["count"], ["VEH_MAKE_ID"])

@@ -215,6 +215,15 @@ def test_missing_state_takes_a_place_and_joins_nothing(spark):
     assert speeding(spark, vehicles, states=3) == [("MTX", 2), ("MLA", 1)]
 
 
+def test_vehicles_without_a_crash_count_for_the_lists_only(spark):
+    known = {"VEH_MAKE_ID": "M", "VEH_COLOR_ID": "RED", "VEH_LIC_STATE_ID": "TX"}
+    stray = {"VEH_MAKE_ID": "S", "VEH_COLOR_ID": "BLU", "VEH_LIC_STATE_ID": "LA"}
+    vehicles = [known, {**stray, "CRASH_ID": None, "VIN": "a"}, {**stray, "UNIT_NBR": None, "VIN": "b"}]
+    assert speeding(spark, vehicles) == [("M", 1)]
+    assert speeding(spark, vehicles, colours=1) == []
+    assert speeding(spark, vehicles, states=1) == []
+
+
 @pytest.mark.parametrize(("state", "found"), [("98", 0), ("NaN", 0), ("1D", 0), ("TX", 1)])
 def test_numeric_states_are_no_states(spark, state, found):
     vehicles = [{"VEH_MAKE_ID": "M", "VEH_COLOR_ID": "RED", "VEH_LIC_STATE_ID": state}]
