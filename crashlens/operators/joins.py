@@ -52,6 +52,11 @@ def anti(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
     return _look_up(left, right.select(*keys).distinct(), keys, "left_anti")
 
 
+def common_keys(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The keys that occur in both tables, each once. Both key sets meet in the exchange that made them distinct."""
+    return left.select(*keys).distinct().join(right.select(*keys).distinct(), list(keys), "left_semi")
+
+
 def restrict_to_list(df: DataFrame, members: DataFrame, column: str, bound: int) -> DataFrame:
     """Rows whose ``column`` is in a list of at most ``bound`` values (NULL never matches).
 

@@ -25,7 +25,7 @@ from crashlens.functions import (
     parse_number,
 )
 from crashlens.operators.aggregates import count_rows, sum_columns
-from crashlens.operators.joins import count_pairs, join_on, restrict_to_list, semi
+from crashlens.operators.joins import common_keys, count_pairs, join_on, restrict_to_list, semi
 from crashlens.operators.keys import distinct_on
 from crashlens.operators.ranking import rank_slice, sort_by, top1_per_group, top_values, topk
 from crashlens.plans import values as v
@@ -198,9 +198,9 @@ def insured_without_property_damage(tables: Tables, by_crash: bool = False) -> D
 def insured_crashes_without_property_damage(tables: Tables) -> DataFrame:
     """The crash ids of ``insured_without_property_damage``, each once.
 
-    Only crash ids are shuffled: the two key sets meet in a semi-join and the vehicle rows are never built.
+    Only crash ids are shuffled, once per table; the vehicle rows are never built.
     """
-    return semi(distinct_on(_heavy_damage_insured(tables), v.CRASH), _no_property_damage(tables), v.CRASH)
+    return common_keys(_heavy_damage_insured(tables), _no_property_damage(tables), v.CRASH)
 
 
 # 10. Makes with speeding charges

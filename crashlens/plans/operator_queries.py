@@ -17,7 +17,7 @@ from crashlens.functions import (
     parse_number,
 )
 from crashlens.operators.aggregates import count_rows, count_values, having, sum_columns
-from crashlens.operators.joins import anti, count_pairs, join_on, join_per_key, restrict_to_list, semi
+from crashlens.operators.joins import anti, common_keys, count_pairs, join_on, join_per_key, restrict_to_list, semi
 from crashlens.operators.keys import distinct_on, duplicate_keys, duplicate_rows, key_ladder
 from crashlens.operators.profiling import category_values, describe, describe_numeric, null_profile
 from crashlens.operators.ranking import number_rows, rank_slice, sort_by, top1_per_group, top_values, topk
@@ -367,6 +367,21 @@ def join_left_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return semi(parts, large.withColumnRenamed("l_partkey", "p_partkey"), ["p_partkey"])
 
 
+@query(
+    with_tables(
+        """
+SELECT CRASH_ID, UNIT_NBR FROM units INTERSECT
+SELECT CRASH_ID, UNIT_NBR FROM charges WHERE contains(CHARGE, 'SPEED') OR contains(CHARGE, 'FAST')""",
+        "units",
+        "charges",
+    )
+)
+def join_common_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Crash units that have a speeding charge: the join of two distinct key sets."""
+    speeding = fixtures.charges(spark, sf_dir).filter(contains_any("CHARGE", v.SPEED_CHARGES))
+    return common_keys(fixtures.units(spark, sf_dir), speeding, v.CRASH_UNIT)
+
+
 @query(
     """
 SELECT o_orderkey, o_custkey, o_orderpriority FROM orders

@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from crashlens.operators.aggregates import count_values, sum_columns
-from crashlens.operators.joins import anti, count_pairs, join_on, join_per_key, restrict_to_list, semi
+from crashlens.operators.joins import anti, common_keys, count_pairs, join_on, join_per_key, restrict_to_list, semi
 from crashlens.operators.keys import distinct_on, duplicate_keys, duplicate_rows, key_ladder
 from crashlens.operators.profiling import describe, null_profile
 from crashlens.operators.ranking import collect_bounded, first_row, number_rows, rank_slice, top1_per_group, top_values, topk
@@ -38,6 +38,8 @@ def test_joins_match_brute_force(spark, left, right):
     assert Counter(map(tuple, semi(l, r, ["k"]).collect())) == Counter(row for row in left if row[0] in right_keys)
     assert Counter(map(tuple, anti(l, r, ["k"]).collect())) == Counter(row for row in left if row[0] not in right_keys)
 
+    assert Counter(row.k for row in common_keys(l, r, ["k"]).collect()) == Counter({k for k, _, _ in pairs})
+
     for by, pick in ((["a"], (1,)), (["b"], (2,)), (["a", "b"], (1, 2)), (["k"], (0,)), (["k", "b"], (0, 2))):
         expected = Counter(tuple(pair[i] for i in pick) for pair in pairs)
         assert {tuple(row)[:-1]: row["count"] for row in count_pairs(l, r, ["k"], by).collect()} == expected

@@ -43,6 +43,12 @@ def test_states_without_women_scan_persons_once(stored):
     assert plan(analyses.states_without_women(stored)).count("FileScan") == 1
 
 
+def test_common_crashes_take_one_exchange_per_table(stored, conf):
+    conf(spark__sql__autoBroadcastJoinThreshold="-1")
+    text = plan(analyses.insured_crashes_without_property_damage(stored))
+    assert text.count("Exchange hashpartitioning") == 2
+
+
 def test_top_k_and_top_1_are_limited_before_the_exchange(stored):
     assert "TakeOrderedAndProject" in plan(analyses.zips_with_alcohol(stored))
     assert plan(analyses.top_ethnicity_per_body_style(stored)).count("WindowGroupLimit") == 2
