@@ -68,13 +68,15 @@ def scan_csv_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
     with_tables(
         """
 SELECT CHARGE, CASE WHEN PRSN_NBR = 3 THEN 'NA' ELSE CAST(PRSN_NBR AS VARCHAR) END AS PRSN_NBR,
- UNIT_NBR, CAST(CRASH_ID AS INT) AS CRASH_ID, 'x' AS REMARK
+ UNIT_NBR, CRASH_ID, 'x' AS REMARK
 FROM charges""",
         "charges",
     )
 )
 def scan_csv_inferred(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_table(spark, _charges_as_csv(spark, sf_dir), infer=True)
+    """Inferred types follow the data: the crash id is int or bigint by its size, so it is widened here."""
+    inferred = read_table(spark, _charges_as_csv(spark, sf_dir), infer=True)
+    return inferred.withColumn("CRASH_ID", F.col("CRASH_ID").cast("bigint"))
 
 
 @query("SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority FROM orders")
@@ -619,7 +621,7 @@ def sort_asc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sort_by(load(spark, sf_dir, "part").select("p_partkey", "p_name"), (), ["p_name", "p_partkey"])
 
 
-@query("SELECT p_brand, COUNT(*) AS parts FROM part GROUP BY p_brand ORDER BY parts DESC, p_brand LIMIT 5", )
+@query("SELECT p_brand, COUNT(*) AS parts FROM part GROUP BY p_brand ORDER BY parts DESC, p_brand LIMIT 5")
 def topk_brands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk(count_rows(load(spark, sf_dir, "part"), ["p_brand"], "parts"), 5, ["parts"], ["p_brand"])
 
