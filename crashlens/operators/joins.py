@@ -1,7 +1,7 @@
 """Equi-joins on shared column names; key columns appear once in the result.
 
-The physical join is Spark's choice from the sizes it knows; only lists with a proven row bound are broadcast by
-hint. Against hot keys:
+The physical join is Spark's choice from the sizes it knows; only top-k lists, which their k bounds, are
+broadcast by hint. Against hot keys:
 
 * the side that is only looked up is made distinct, or counted, per key first, with map-side aggregation, so its
   copies of a hot key fold before the exchange and no pairs of copies arise;
@@ -13,10 +13,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Largest list that is broadcast by hint: top-k lists are bounded by k, and k is checked against this.
+from crashlens.operators.ranking import top_values
+
+# Largest top-k list that is broadcast by hint.
 BROADCAST_ROWS = 10_000
 
 
@@ -57,17 +59,24 @@ def common_keys(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataF
     return left.select(*keys).distinct().join(right.select(*keys).distinct(), list(keys), "left_semi")
 
 
-def restrict_to_list(df: DataFrame, members: DataFrame, column: str, bound: int) -> DataFrame:
-    """Rows whose ``column`` is in a list of at most ``bound`` values (NULL never matches).
+def restrict_to_top(
+    df: DataFrame,
+    source: DataFrame,
+    column: str,
+    k: int,
+    eligible: Column | None = None,
+    rows: str | None = None,
+) -> DataFrame:
+    """Rows of ``df`` whose ``column`` is among the ``k`` most frequent values in ``source`` (see ``top_values``).
 
-    The optimizer would move a semi-join, or the NULL test that goes with a plain equality, below a distinct that
-    ``df`` ends in. A null-safe inner join to the distinct list stays where it is, so that distinct rows from
-    which the list itself was counted can be shared.
+    A NULL can take a place in the list but matches no row. The list holds at most k values, each once. The
+    optimizer would move a semi-join, or the NULL test that goes with a plain equality, below a distinct that
+    ``df`` ends in; a null-safe inner join stays where it is, so that ``df`` and ``source`` can share those rows.
     """
-    values = members.select(F.col(column).alias("_member")).na.drop().distinct()
-    if bound <= BROADCAST_ROWS:
-        values = F.broadcast(values)
-    return df.join(values, F.col(column).eqNullSafe(F.col("_member")), "inner").drop("_member")
+    members = top_values(source, column, k, eligible, rows).select(F.col(column).alias("_member")).na.drop()
+    if k <= BROADCAST_ROWS:
+        members = F.broadcast(members)
+    return df.join(members, F.col(column).eqNullSafe(F.col("_member")), "inner").drop("_member")
 
 
 def count_pairs(

@@ -59,7 +59,9 @@ def top1_per_group(
     return numbered.filter(F.col("_rank") == 1).drop("_rank")
 
 
-def top_values(df: DataFrame, column: str, k: int, eligible: Column | None = None, rows: str | None = None) -> DataFrame:
+def top_values(
+    df: DataFrame, column: str, k: int, eligible: Column | None = None, rows: str | None = None
+) -> DataFrame:
     """The ``k`` most frequent values of a column among the eligible ones, as (column, count).
 
     ``eligible`` is tested on the distinct values, not on every row: values that fail it are ranked behind all

@@ -25,9 +25,9 @@ from crashlens.functions import (
     parse_number,
 )
 from crashlens.operators.aggregates import count_rows, sum_columns
-from crashlens.operators.joins import common_keys, count_pairs, join_on, restrict_to_list, semi
+from crashlens.operators.joins import common_keys, count_pairs, join_on, restrict_to_top, semi
 from crashlens.operators.keys import distinct_on
-from crashlens.operators.ranking import rank_slice, sort_by, top1_per_group, top_values, topk
+from crashlens.operators.ranking import rank_slice, sort_by, top1_per_group, topk
 from crashlens.plans import values as v
 
 Tables = Mapping[str, DataFrame]
@@ -225,11 +225,12 @@ def makes_with_speed_charges(tables: Tables, k: int = 5, colours: int = 10, stat
 
     look = ["VEH_LIC_STATE_ID", "VEH_COLOR_ID"]
     per_look = count_rows(vehicles, look, "_vehicles").unionAll(count_rows(strays, look, "_vehicles"))
-    top_states = top_values(per_look, "VEH_LIC_STATE_ID", states, is_non_numeric("VEH_LIC_STATE_ID"), "_vehicles")
-    top_colours = top_values(per_look, "VEH_COLOR_ID", colours, _is_colour("VEH_COLOR_ID"), "_vehicles")
-
-    listed = restrict_to_list(vehicles, top_colours, "VEH_COLOR_ID", colours)
-    listed = restrict_to_list(listed, top_states, "VEH_LIC_STATE_ID", states)
+    listed = restrict_to_top(
+        vehicles, per_look, "VEH_COLOR_ID", colours, _is_colour("VEH_COLOR_ID"), "_vehicles"
+    )
+    listed = restrict_to_top(
+        listed, per_look, "VEH_LIC_STATE_ID", states, is_non_numeric("VEH_LIC_STATE_ID"), "_vehicles"
+    )
     charged = tables["charges"].filter(contains_any("CHARGE", v.SPEED_CHARGES))
     licensed = tables["primary_person"].filter(F.col("DRVR_LIC_TYPE_ID").isin(v.LICENCE_TYPES))
     rows = count_pairs(listed, licensed, v.CRASH_UNIT, ["VEH_MAKE_ID"], within=charged)

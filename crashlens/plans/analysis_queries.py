@@ -198,7 +198,8 @@ def analysis7(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_ethnicity_sql(", VEH_HNR_FL"))
 def analysis7_with_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return analyses.top_ethnicity_per_body_style(crash_tables(spark, sf_dir, "units", "primary_person"), with_hit_and_run=True)
+    tables = crash_tables(spark, sf_dir, "units", "primary_person")
+    return analyses.top_ethnicity_per_body_style(tables, with_hit_and_run=True)
 
 
 # 8

@@ -1,4 +1,4 @@
-"""The batch job: read the crash tables, run the ten analyses, store one dataset each, and answer from what was stored."""
+"""The batch job: read the crash tables, run and store the ten analyses, and answer from what was stored."""
 
 from __future__ import annotations
 

@@ -17,10 +17,10 @@ from crashlens.functions import (
     parse_number,
 )
 from crashlens.operators.aggregates import count_rows, count_values, having, sum_columns
-from crashlens.operators.joins import anti, common_keys, count_pairs, join_on, join_per_key, restrict_to_list, semi
+from crashlens.operators.joins import anti, common_keys, count_pairs, join_on, join_per_key, restrict_to_top, semi
 from crashlens.operators.keys import distinct_on, duplicate_keys, duplicate_rows, key_ladder
 from crashlens.operators.profiling import category_values, describe, describe_numeric, null_profile
-from crashlens.operators.ranking import number_rows, rank_slice, sort_by, top1_per_group, top_values, topk
+from crashlens.operators.ranking import number_rows, rank_slice, sort_by, top1_per_group, topk
 from crashlens.plans import fixtures
 from crashlens.plans import values as v
 from crashlens.plans.catalog import query
@@ -256,7 +256,11 @@ def filter_null(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixtures.charges(spark, sf_dir).filter(F.col("CHARGE").isNull()).select(*v.CRASH_UNIT)
 
 
-@query(with_tables("SELECT CRASH_ID, UNIT_NBR, DRVR_ZIP FROM primary_person WHERE DRVR_ZIP IS NOT NULL", "primary_person"))
+@query(
+    with_tables(
+        "SELECT CRASH_ID, UNIT_NBR, DRVR_ZIP FROM primary_person WHERE DRVR_ZIP IS NOT NULL", "primary_person"
+    )
+)
 def drop_null_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
     persons = fixtures.primary_person(spark, sf_dir).na.drop(subset=["DRVR_ZIP"])
     return persons.select(*v.CRASH_UNIT, "DRVR_ZIP")
@@ -391,7 +395,7 @@ WHERE o_custkey IN (SELECT o_custkey FROM orders GROUP BY o_custkey ORDER BY COU
 )
 def join_topk_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = load(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
-    return restrict_to_list(orders, top_values(orders, "o_custkey", 10), "o_custkey", 10)
+    return restrict_to_top(orders, orders, "o_custkey", 10)
 
 
 # Aggregations

@@ -120,10 +120,12 @@ def test_missing_counts_give_a_missing_total_ranked_last(spark):
 
 def test_text_counts_skip_text_that_is_no_number(spark):
     given = [{"VIN": str(i), "VEH_MAKE_ID": m} for i, m in enumerate("ABCC")]
-    counts = {name: F.when(F.col("VIN") == "3", "NA").otherwise(F.col("VIN")) for name in ("TOT_INJRY_CNT", "DEATH_CNT")}
+    count = F.when(F.col("VIN") == "3", "NA").otherwise(F.col("VIN"))
+    counts = {"TOT_INJRY_CNT": count, "DEATH_CNT": count}
     tables = {"units": r.units(spark, *given).withColumns(counts)}
     result = analyses.makes_by_casualties(tables, first=1, text_counts=True)
-    assert [tuple(row) for row in result.collect()] == [("C", 2.0, 2.0, 4.0), ("B", 1.0, 1.0, 2.0), ("A", 0.0, 0.0, 0.0)]
+    expected = [("C", 2.0, 2.0, 4.0), ("B", 1.0, 1.0, 2.0), ("A", 0.0, 0.0, 0.0)]
+    assert [tuple(row) for row in result.collect()] == expected
 
 
 def test_ethnicity_ties_go_to_the_smaller_name(spark):

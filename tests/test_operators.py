@@ -9,11 +9,20 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from crashlens.operators import joins
 from crashlens.operators.aggregates import count_values, sum_columns
-from crashlens.operators.joins import anti, common_keys, count_pairs, join_on, join_per_key, restrict_to_list, semi
+from crashlens.operators.joins import anti, common_keys, count_pairs, join_on, join_per_key, restrict_to_top, semi
 from crashlens.operators.keys import distinct_on, duplicate_keys, duplicate_rows, key_ladder
 from crashlens.operators.profiling import describe, null_profile
-from crashlens.operators.ranking import collect_bounded, first_row, number_rows, rank_slice, top1_per_group, top_values, topk
+from crashlens.operators.ranking import (
+    collect_bounded,
+    first_row,
+    number_rows,
+    rank_slice,
+    top1_per_group,
+    top_values,
+    topk,
+)
 
 key = st.one_of(st.none(), st.integers(0, 3))
 side = st.lists(st.tuples(key, st.sampled_from(["a", "b", None])), max_size=12)
@@ -59,11 +68,13 @@ def test_join_per_key_keeps_all_rows_of_a_key(spark):
     assert rows(join_per_key(l, per_key, ["k"])) == [(1, "a", 10), (1, "b", 10)]
 
 
-def test_restrict_to_list_above_the_broadcast_bound(spark):
-    l, _ = frames(spark, [(1, "a"), (2, "a"), (None, "b")], [])
-    members = spark.createDataFrame([(1,), (None,)], "k int")
-    for bound in (10, 1_000_000):
-        assert rows(restrict_to_list(l, members, "k", bound)) == [(1, "a")]
+def test_restriction_to_a_top_list_with_and_without_broadcast(spark, monkeypatch):
+    source, _ = frames(spark, [(1, "a")] * 3 + [(2, "a")] * 2 + [(None, "b")] * 4 + [(3, "c")], [])
+    df, _ = frames(spark, [(1, "x"), (2, "x"), (3, "x"), (None, "x")], [])
+    for bound in (10_000, 0):
+        monkeypatch.setattr(joins, "BROADCAST_ROWS", bound)
+        assert rows(restrict_to_top(df, source, "k", 2)) == [(1, "x")]
+        assert rows(restrict_to_top(df, source, "k", 2, F.col("k") != 1)) == [(2, "x"), (3, "x")]
 
 
 @settings(max_examples=6, deadline=None)
@@ -119,7 +130,8 @@ def test_top_values_rank_only_the_eligible(spark):
 
 
 def test_profiles(spark):
-    df = spark.createDataFrame([(1.0, "2", None), (float("nan"), "x", None), (None, None, None)], "d double, s string, e int")
+    data = [(1.0, "2", None), (float("nan"), "x", None), (None, None, None)]
+    df = spark.createDataFrame(data, "d double, s string, e int")
     assert tuple(null_profile(df).first()) == (2, 1, 3)
     text = {row["column"]: tuple(row)[1:] for row in describe(df, ["s", "e"]).collect()}
     assert text == {"s": (2, 2.0, None, "2", "x"), "e": (0, None, None, None, None)}

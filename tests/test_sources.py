@@ -1,3 +1,5 @@
+from types import SimpleNamespace
+
 import pytest
 from conftest import rows
 
@@ -58,6 +60,12 @@ def test_scratch_paths_are_fresh_and_in_the_shared_folder(spark):
     assert first.startswith(spark.conf.get("spark.checkpoint.dir"))
 
 
+def test_no_machine_folder_is_used_on_a_cluster():
+    cluster = SimpleNamespace(conf={}, sparkContext=SimpleNamespace(master="yarn"))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        scratch_path(cluster, "t")
+
+
 def test_conversion_keeps_types_and_rows(spark, tables, tmp_path):
     source, target = str(tmp_path / "csv"), str(tmp_path / "parquet")
     tables["primary_person"].write.csv(source, header=True)
