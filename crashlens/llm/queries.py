@@ -55,6 +55,29 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), vocabulary()).withColumnRenamed("source", "queue")
 
 
+@query(
+    """
+WITH placed AS (
+    SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+        row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS LAST, role NULLS FIRST, text NULLS FIRST) AS k
+    FROM conversations
+), logged AS (
+    SELECT conv_id, list({'role': role, 'text': text} ORDER BY k) AS turns,
+        string_agg('<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10), '' ORDER BY k) AS text
+    FROM placed GROUP BY conv_id
+), shorter AS (
+    SELECT DISTINCT turns[1:n] AS turns FROM (SELECT turns, unnest(range(1, len(turns))) AS n FROM logged)
+)
+SELECT min(conv_id) AS conv_id, CAST(len(turns) AS BIGINT) AS n_turns, count(*) AS copies, any_value(text) AS text
+FROM logged WHERE turns NOT IN (SELECT turns FROM shorter) GROUP BY turns
+"""
+)
+def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from crashlens.llm.chat import format_chats
+
+    return format_chats(table(spark, sf_dir, "conversations"))
+
+
 @query()
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from crashlens.llm.sharding import shard_by_bytes
@@ -63,6 +86,13 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.withColumns({"law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")})
 
 
+@query()
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from crashlens.llm.decontamination import contaminated
+
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query(
     """
 WITH words AS (
