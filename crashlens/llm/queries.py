@@ -93,6 +93,13 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@query()
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from crashlens.llm.near_dedup import near_classes
+
+    return near_classes(table(spark, sf_dir, "documents"))
+
+
 @query(
     """
 WITH words AS (
