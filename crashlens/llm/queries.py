@@ -93,6 +93,14 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@query()
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from crashlens.llm.suffix_dedup import remove_repeats
+
+    left = remove_repeats(table(spark, sf_dir, "documents"))
+    return left.withColumn("kept_sha256", F.sha2("kept", 256)).drop("kept")
+
+
 @query()
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from crashlens.llm.near_dedup import near_classes

@@ -25,7 +25,7 @@ SEVERAL = (1 << 16) - 1  # instead of a text's number: all texts of the slice th
 
 SENT = "range long, slice long, one binary, several binary, ids binary, digests binary, sizes binary, held binary, held_by binary"
 ANSWER = "slice long, numbers binary, keys binary, counts binary, ids binary, digests binary, sizes binary, held binary, held_by binary"
-RESULT = "id long, digest binary, n_keys long, n_total long, keys binary, counts binary"
+RESULT = "id long, digest binary, n_keys long, n_total long, keys binary, counts binary, most long"
 
 #: For a text's bytes: its distinct keys, ascending, and how often each is there.
 Keys = Callable[[np.ndarray, np.ndarray], list[tuple[np.ndarray, np.ndarray]]]
@@ -63,7 +63,7 @@ def _send(keys_of: Keys, range_bits: int):
                 held_by = text[np.repeat(count > 1, count)].astype(np.uint16)
                 held = np.stack([keys[multi], count[count > 1].astype(np.uint64)])
                 digests = b"".join(
-                    hashlib.blake2b(data[a:b], digest_size=16).digest() for a, b in zip(offsets.tolist(), offsets[1:].tolist(), strict=False)
+                    hashlib.md5(data[a:b], usedforsecurity=False).digest() for a, b in zip(offsets.tolist(), offsets[1:].tolist(), strict=False)
                 )
                 sizes = np.array([(len(k), c.sum()) for k, c in found], np.int64)
                 rows = [(number & ((1 << range_bits) - 1), number, None, None, part.column("id").to_numpy(zero_copy_only=False).astype(np.int64).tobytes(), digests, sizes.tobytes(), held.tobytes(), held_by.tobytes())]
@@ -150,7 +150,7 @@ def _tell(keep: Callable[[int, int, np.ndarray, np.ndarray], bool]):
         for i, (n_keys, n_total) in enumerate(sizes.tolist()):
             own = slice(bounds[i], bounds[i + 1])
             if keep(n_keys, n_total, keys[own], counts[own]):
-                yield int(ids[i]), info["digests"][16 * i : 16 * i + 16], n_keys, n_total, keys[own].tobytes(), counts[own].tobytes()
+                yield int(ids[i]), info["digests"][16 * i : 16 * i + 16], n_keys, n_total, keys[own].tobytes(), counts[own].tobytes(), int(counts[own].max(initial=1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slice_rows: list[dict] = []
@@ -174,7 +174,7 @@ def shared_keys(docs: DataFrame, keys_of: Keys, keep: Callable[[int, int, np.nda
     ``keys_of`` gives distinct keys of ``KEY_BITS`` bits; ``keep(n_keys, n_total, keys, counts)`` says whether a document is
     returned; ``rows`` is about the number of documents and sets how finely keys are parted.
 
-    Result: id, digest (of the text), n_keys, n_total, keys (64-bit, ascending), counts (64-bit).
+    Result: id, digest (md5 of the text), n_keys, n_total, keys (64-bit, ascending), counts (64-bit), most (the largest count).
     """
     range_bits = min(max((rows // 64).bit_length(), 8), 24)
     return (
