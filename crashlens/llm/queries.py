@@ -93,6 +93,14 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@query()
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from crashlens.llm.html_text import extract, fit
+
+    pages = table(spark, sf_dir, "pages")
+    return extract(pages, fit(pages))
+
+
 @query()
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from crashlens.llm.suffix_dedup import remove_repeats
