@@ -39,6 +39,16 @@ def vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+@query()
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from crashlens.llm import toxicity
+    from crashlens.llm.quality_classifier import held_out
+
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
 @query()
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     from crashlens.llm import quality_classifier as quality

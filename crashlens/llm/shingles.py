@@ -31,10 +31,14 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words in order, and the number of words before each text. Words are letters and digits; ASCII case is folded."""
+def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, start and end of all words in order, and the number of words before each text.
+
+    Words are letters and digits; ASCII case is folded.
+    """
     if not len(data):
-        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
+        none = np.zeros(0, np.int64)
+        return none.astype(np.uint64), none, none, np.zeros(len(offsets), np.int64)
     word = _WORD[data]
     begins = np.zeros(len(data) + 1, bool)
     begins[offsets] = True
@@ -43,7 +47,8 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     starts, ends = np.flatnonzero(word & ~before), np.flatnonzero(word & ~after) + 1
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(_LOWER[data] * powers(_BASE, len(data)), out=sums[1:])
-    return mixed((sums[ends] - sums[starts]) * powers(_INVERSE, len(data))[starts]), np.searchsorted(starts, offsets)
+    hashes = mixed((sums[ends] - sums[starts]) * powers(_INVERSE, len(data))[starts])
+    return hashes, starts, ends, np.searchsorted(starts, offsets)
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -51,7 +56,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> list[tuple[np.ndarray
 
     A text of fewer than five words, but at least one, has a single shingle of all its words.
     """
-    words, at = word_hashes(data, offsets)
+    words, _, _, at = word_spans(data, offsets)
     shift = np.uint64(64 - KEY_BITS)
     n = max(len(words) - WORDS + 1, 0)
     rolled = np.zeros(n, np.uint64)
