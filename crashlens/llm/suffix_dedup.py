@@ -166,27 +166,19 @@ def repeated_spans(docs: DataFrame, rows: int, hot_documents: int) -> DataFrame:
     return spans.union(copies)
 
 
-def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches, "text"):
-        data, offsets = utf8_buffer(batch.column("text"))
-        rows = []
-        for k, spans in enumerate(batch.column("spans")):
-            own = data[offsets[k] : offsets[k + 1]]
-            kept, runs_ = own.tobytes(), 0
-            if spans.is_valid and len(spans):
-                pairs = np.array([(s["start"], s["end"]) for s in spans.as_py()], np.int64)
-                edge = np.zeros(len(own) + 1, np.int32)
-                np.add.at(edge, np.minimum(pairs[:, 0], len(own)), 1)
-                np.add.at(edge, np.minimum(pairs[:, 1], len(own)), -1)
-                gone = np.cumsum(edge[:-1]) > 0
-                runs_ = int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum())
-                kept = own[~gone].tobytes()
-            rows.append((len(own), len(own) - len(kept), runs_, kept))
-        columns = list(zip(*rows, strict=True))
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("id"), *(pa.array(c, pa.int64()) for c in columns[:3]), pa.array(columns[3], pa.binary())],
-            ["id", "n_bytes", "n_removed", "n_spans", "kept"],
-        )
+def _left(data: np.ndarray, offsets: np.ndarray, spans: pa.Array) -> Iterator[tuple[int, int, bytes]]:
+    """Length, number of removed runs and remaining bytes of each text."""
+    for k, own_spans in enumerate(spans):
+        own = data[offsets[k] : offsets[k + 1]]
+        if not own_spans.is_valid or not len(own_spans):
+            yield len(own), 0, own.tobytes()
+            continue
+        pairs = np.array([(s["start"], s["end"]) for s in own_spans.as_py()], np.int64)
+        edge = np.zeros(len(own) + 1, np.int32)
+        np.add.at(edge, np.minimum(pairs[:, 0], len(own)), 1)
+        np.add.at(edge, np.minimum(pairs[:, 1], len(own)), -1)
+        gone = np.cumsum(edge[:-1]) > 0
+        yield len(own), int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum()), own[~gone].tobytes()
 
 
 def prepared(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
@@ -194,12 +186,21 @@ def prepared(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
     return docs.select(F.col(f"`{id_column}`").cast("long").alias("id"), F.unhex(F.md5(text)).alias("digest"), text.alias("text"))
 
 
-def remove_repeats(
-    docs: DataFrame,
-    hot_documents: int = 1024,
-    id_column: str = "doc_id",
-    text_column: str = "text",
-) -> DataFrame:
+def with_spans(docs: DataFrame, hot_documents: int, id_column: str, text_column: str) -> DataFrame:
+    """The rows with all their columns, and the spans to remove as one more, ``__spans``."""
+    rows = prepared(docs, id_column, text_column)
+    spans = (
+        repeated_spans(rows.where(F.col("id").isNotNull()), docs.count(), hot_documents)
+        .groupBy("id", "digest")
+        .agg(F.collect_list(F.struct("start", "end")).alias("__spans"))  # of one document
+        .withColumnsRenamed({"id": "__id", "digest": "__digest"})
+    )
+    digest = F.unhex(F.md5(F.coalesce(F.col(f"`{text_column}`"), F.lit(""))))
+    same = (F.col(f"`{id_column}`").cast("long") == F.col("__id")) & (digest == F.col("__digest"))
+    return docs.join(spans, same, "left").drop("__id", "__digest")
+
+
+def remove_repeats(docs: DataFrame, hot_documents: int = 1024, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Every document without the bytes of 50-byte strings that start in a document of smaller id.
 
     ``hot_documents``: keys of more documents than this go the way for hot keys; the result is the same. A null text is empty.
@@ -208,19 +209,35 @@ def remove_repeats(
 
     Result: id, n_bytes, n_removed, n_spans, kept (the remaining bytes, which can begin or end inside a character).
     """
-    rows = prepared(docs, id_column, text_column)
-    known = rows.where(F.col("id").isNotNull())
-    spans = (
-        repeated_spans(known, docs.count(), hot_documents)
-        .groupBy("id", "digest")
-        .agg(F.collect_list(F.struct("start", "end")).alias("spans"))  # of one document
-        .withColumnsRenamed({"id": "span_id", "digest": "span_digest"})
-    )
-    found = rows.join(spans, (F.col("id") == F.col("span_id")) & (F.col("digest") == F.col("span_digest")), "left")
-    return found.select("id", "text", "spans").mapInArrow(_remove, "id long, n_bytes long, n_removed long, n_spans long, kept binary").withColumnRenamed("id", id_column)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            rows = [(n, n - len(kept), spans, kept) for n, spans, kept in _left(*utf8_buffer(batch.column("text")), batch.column("__spans"))]
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
+            columns = [pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), *columns], ["id", "n_bytes", "n_removed", "n_spans", "kept"])
+
+    plain = docs.select(F.col(f"`{id_column}`").cast("long").alias("id"), F.col(f"`{text_column}`").alias("text"))
+    found = with_spans(plain, hot_documents, "id", "text")
+    return found.mapInArrow(run, "id long, n_bytes long, n_removed long, n_spans long, kept binary").withColumnRenamed("id", id_column)
 
-def whole_characters(data: bytes) -> str:
-    """Bytes as text; what was cut inside a character goes."""
-    return data.decode("utf-8", "ignore")
 
+def clean(docs: DataFrame, hot_documents: int = 1024, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """The rows with all their columns and what ``remove_repeats`` leaves of the text.
+
+    Bytes of a character that was cut go with it. A row of which nothing is left goes; one that was empty before stays.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, text_column):
+            column = batch.column(text_column)
+            left = [
+                (kept.decode("utf-8", "ignore") if spans else old.as_py(), not spans or bool(kept.strip()))
+                for old, (_, spans, kept) in zip(column, _left(*utf8_buffer(column), batch.column("__spans")), strict=True)
+            ]
+            texts, stays = zip(*left, strict=True)
+            at = batch.schema.get_field_index(text_column)
+            batch = batch.set_column(at, batch.schema.field(at), pa.array(texts, column.type))
+            yield batch.drop_columns(["__spans"]).filter(pa.array(stays))
+
+    return with_spans(docs, hot_documents, id_column, text_column).mapInArrow(run, docs.schema)
