@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from crashlens.llm.common import stored
+
 #: A word or number, with the end of a sentence before it.
 TOKEN = r"(?:[.!?\n]['\")\]\s]*)?(?:\p{L}[\p{L}\p{M}]*|\p{N}+(?:[.,]\p{N}+)*)"
 SENTENCE_END = ".!?\n'\")] \t\r"
@@ -24,7 +26,7 @@ UNITS = ("mm cm m km inch inches foot feet yard yards mile miles mg g kg gram gr
          "degrees dollar dollars cent cents euro euros meter meters metre metres kilometers kilograms").split()
 NUMBER, NAME, UNIT = "#number", "#name", "#unit"
 
-#: Benchmark windows up to this many rows (of 24 bytes) are broadcast; beyond, Spark joins by shuffle.
+#: Tables of narrow rows (24 bytes) are broadcast up to this many rows; beyond, Spark joins by shuffle.
 BROADCAST_ROWS = 1_000_000
 
 
@@ -67,6 +69,11 @@ def windows(hashes: str, width: int) -> Column:
     return F.transform(F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>")), at)
 
 
+def _small(df: DataFrame) -> DataFrame:
+    """With a broadcast hint if counting shows that it has few rows."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def contaminated(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -97,22 +104,24 @@ def contaminated(
         .select("item_id", F.col("w.window").alias("window"), F.col("w.at").alias("item_at"))
     )
     totals = item_windows.groupBy("item_id").agg(F.countDistinct("item_at").alias("item_windows"))
-    probe = F.broadcast(item_windows) if item_windows.count() <= BROADCAST_ROWS else item_windows
+    probe = _small(item_windows)
 
-    doc_tokens = docs.select(F.col(f"`{id_column}`").cast("long").alias("id"), tokens(F.col(f"`{text_column}`")).alias("tokens"))
-    met = (
-        doc_tokens.select("id", template("tokens").alias("template"))
+    texts = docs.select(F.col(f"`{id_column}`").cast("long").alias("id"), F.col(f"`{text_column}`").alias("text"))
+    met = stored(
+        texts.select("id", tokens(F.col("text")).alias("tokens"))
+        .select("id", template("tokens").alias("template"))
         .select("id", F.transform("template", lambda t: F.xxhash64(t)).alias("h"))
         .select("id", F.explode(windows("h", width)).alias("w"))
         .select("id", F.col("w.window").alias("window"), F.col("w.at").alias("at"))
         .join(probe, "window")
         .groupBy("id", "item_id", (F.col("at") - F.col("item_at")).alias("shift"))
-        .agg(F.sort_array(F.collect_set("item_at")).alias("found"))  # at most the windows of one item
+        .agg(F.sort_array(F.collect_set("item_at")).alias("found")),  # at most the windows of one item
+        "decontamination",
     )
 
     # The values in the slots: only documents with a hit are read again.
-    ids = met.select(F.col("id").alias("met_id")).distinct()
-    again = doc_tokens.join(ids, F.col("id").eqNullSafe(F.col("met_id")), "left_semi")
+    ids = _small(met.select(F.col("id").alias("met_id")).distinct())
+    again = texts.join(ids, F.col("id").eqNullSafe(F.col("met_id")), "left_semi").select("id", tokens(F.col("text")).alias("tokens"))
     covered = lambda k: F.exists("found", lambda f: (f <= k) & (k < f + width))
     slots = F.transform(
         "item_template",
@@ -160,5 +169,10 @@ def contaminated(
 
 def clean(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", **options) -> DataFrame:
     """The rows, with all their columns, of documents that hold no benchmark item."""
-    found = contaminated(docs, benchmark, id_column=id_column, **options).select(F.col(id_column).alias("__found")).distinct()
+    found = _small(
+        stored(
+            contaminated(docs, benchmark, id_column=id_column, **options).select(F.col(id_column).alias("__found")).distinct(),
+            "decontamination",
+        )
+    )
     return docs.join(found, docs[id_column].eqNullSafe(F.col("__found")), "left_anti")
