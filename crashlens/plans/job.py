@@ -9,16 +9,21 @@ from pyspark.sql import functions as F
 
 from crashlens.operators.ranking import collect_bounded, first_row, sort_by
 from crashlens.plans import analyses
+from crashlens.plans import values as v
 from crashlens.sources import convert_tables, read_tables, write_result
 
 TABLES = ("units", "primary_person", "charges", "damages")
 
-# What is stored per analysis. The first keeps the counts of all crashes, the ninth its vehicle rows.
+# Columns of the tables that no analysis reads, so files may lack them.
+UNREAD = ("VEH_DMAG_AREA_1_ID", "VEH_DMAG_AREA_2_ID")
+
+# What is stored per analysis. The first keeps the counts of all crashes, the fourth its pairs folded with their number, the
+# ninth its vehicle rows.
 STORED: dict[str, Callable[[analyses.Tables], DataFrame]] = {
     "analysis1": analyses.men_per_crash,
     "analysis2": analyses.two_wheelers,
     "analysis3": analyses.makes_with_driver_deaths,
-    "analysis4": analyses.licensed_hit_and_run,
+    "analysis4": analyses.licensed_hit_and_run_folded,
     "analysis5": analyses.states_without_women,
     "analysis6": analyses.makes_by_casualties,
     "analysis7": analyses.top_ethnicity_per_body_style,
@@ -38,13 +43,15 @@ def open_tables(
 ) -> dict[str, DataFrame]:
     """The four tables the analyses read.
 
-    With ``staging`` they are first stored there as typed Parquet, so that text is parsed once, not once per
-    analysis, and each analysis reads only its own columns.
+    CSV is first stored as typed Parquet in the folder ``staging``, so that text is parsed once, not once per
+    analysis, and each analysis reads only its own columns. Other formats are, if a folder is given.
     """
     used = {name: inputs[name] for name in TABLES}
+    if fmt == "csv" and staging is None:
+        raise ValueError("CSV needs a folder for staging, or each analysis would parse the files again")
     if staging is None or fmt == "parquet":
-        return read_tables(spark, used, fmt)
-    return convert_tables(spark, used, {name: f"{staging.rstrip('/')}/{name}" for name in TABLES}, fmt)
+        return read_tables(spark, used, fmt, optional=UNREAD)
+    return convert_tables(spark, used, {name: f"{staging.rstrip('/')}/{name}" for name in TABLES}, fmt, optional=UNREAD)
 
 
 def run_all(
@@ -53,13 +60,21 @@ def run_all(
     outputs: Mapping[str, str],
     fmt: str = "csv",
     staging: str | None = None,
+    all_pairs: bool = False,
 ) -> dict[str, DataFrame]:
     """Run and store all analyses; returns the stored datasets by analysis name.
 
-    Every plan runs once, in its write; ``answers`` reads the stored rows.
+    Every plan runs once, in its write; ``answers`` reads the stored rows. ``all_pairs``: store a row for each pair of
+    the fourth analysis, whose number grows with the product of the rows of a crash unit.
     """
     tables = open_tables(spark, inputs, fmt, staging)
-    return {name: write_result(analysis(tables), outputs[name]) for name, analysis in STORED.items()}
+    chosen = STORED | ({"analysis4": analyses.licensed_hit_and_run} if all_pairs else {})
+    return {name: write_result(analysis(tables), outputs[name]) for name, analysis in chosen.items()}
+
+
+def _pairs(stored: DataFrame) -> int:
+    """Number of pairs: the sum of the folded ones."""
+    return stored.agg(F.sum("pairs")).first()[0] or 0 if "pairs" in stored.columns else stored.count()
 
 
 def answers(stored: Mapping[str, DataFrame]) -> dict[str, object]:
@@ -68,18 +83,19 @@ def answers(stored: Mapping[str, DataFrame]) -> dict[str, object]:
     Counts, top lists and the best state are small Python values. Results that grow with the data, the crash
     ids of the ninth analysis among them, stay DataFrames.
     """
+    ranks = analyses.LAST - analyses.FIRST + 1
     makes3 = collect_bounded(
-        sort_by(stored["analysis3"], ["COUNT_OF_DRIVER_DEATH_AND_AB_FAILURE"], ["VEH_MAKE_ID"]), 5
+        sort_by(stored["analysis3"], [v.DRIVER_DEATHS], ["VEH_MAKE_ID"]), analyses.TOP
     )
-    makes6 = collect_bounded(sort_by(stored["analysis6"], ["AGG_COUNT"], ["VEH_MAKE_ID"]), 3)
-    zips8 = collect_bounded(sort_by(stored["analysis8"], ["ALCOHOL_CRASH_COUNT"], ["DRVR_ZIP"]), 5)
-    makes10 = collect_bounded(sort_by(stored["analysis10"], ["count"], ["VEH_MAKE_ID"]), 5)
-    state5 = first_row(stored["analysis5"], ["NO_FEMALE_ACCIDENT_COUNT"], ["DRVR_LIC_STATE_ID"])
+    makes6 = collect_bounded(sort_by(stored["analysis6"], [v.CASUALTIES], ["VEH_MAKE_ID"]), ranks)
+    zips8 = collect_bounded(sort_by(stored["analysis8"], [v.ALCOHOL_CRASHES], ["DRVR_ZIP"]), analyses.TOP)
+    makes10 = collect_bounded(sort_by(stored["analysis10"], ["count"], ["VEH_MAKE_ID"]), analyses.TOP)
+    state5 = first_row(stored["analysis5"], [v.WITHOUT_WOMEN], ["DRVR_LIC_STATE_ID"])
     return {
-        "analysis1": stored["analysis1"].filter(F.col("MALE_DEATH_COUNT") > 2).count(),
+        "analysis1": stored["analysis1"].filter(F.col(v.MEN_KILLED) > analyses.MANY_MEN).count(),
         "analysis2": stored["analysis2"].count(),
-        "analysis3": {row.VEH_MAKE_ID: row.COUNT_OF_DRIVER_DEATH_AND_AB_FAILURE for row in makes3},
-        "analysis4": stored["analysis4"].count(),
+        "analysis3": {row.VEH_MAKE_ID: row[v.DRIVER_DEATHS] for row in makes3},
+        "analysis4": _pairs(stored["analysis4"]),
         "analysis5": state5 and state5.DRVR_LIC_STATE_ID,
         "analysis6": [row.VEH_MAKE_ID for row in makes6],
         "analysis7": stored["analysis7"],

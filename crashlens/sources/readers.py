@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Collection, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,12 +21,20 @@ def read_strings(spark: SparkSession, path: str, **options) -> DataFrame:
     return spark.read.options(header=True, enforceSchema=False, **options).csv(path)
 
 
-def to_schema(df: DataFrame, schema: StructType) -> DataFrame:
-    """Pick the schema's columns by name and give them its types; text that does not parse becomes NULL.
+def to_schema(
+    df: DataFrame, schema: StructType, optional: Collection[str] = (), keep_other: bool = True
+) -> DataFrame:
+    """Give the schema's columns their names and types, first; text that does not parse becomes NULL.
 
-    Columns the file lacks become NULL too, and columns the schema does not name are dropped.
+    A column of the schema that ``df`` lacks is an error unless it is named in ``optional``, then it is NULL. Other
+    columns of ``df`` follow as they are, or go with ``keep_other=False``.
     """
     present = {field.name.upper(): field for field in df.schema.fields}
+    allowed = {name.upper() for name in optional}
+    named = {field.name.upper() for field in schema.fields}
+    lost = [field.name for field in schema.fields if field.name.upper() not in present.keys() | allowed]
+    if lost:
+        raise ValueError(f"columns missing: {', '.join(lost)}; there are {', '.join(df.columns)}")
 
     def typed(field):
         source = present.get(field.name.upper())
@@ -37,7 +45,8 @@ def to_schema(df: DataFrame, schema: StructType) -> DataFrame:
             column = column.try_cast(field.dataType)
         return column.alias(field.name)
 
-    return df.select([typed(field) for field in schema.fields])
+    others = [F.col(f"`{name}`") for name in df.columns if keep_other and name.upper() not in named]
+    return df.select([typed(field) for field in schema.fields] + others)
 
 
 def read_table(
@@ -46,18 +55,20 @@ def read_table(
     schema: StructType | None = None,
     fmt: str = "csv",
     infer: bool = False,
+    optional: Collection[str] = (),
+    keep_other: bool = True,
     **options,
 ) -> DataFrame:
     """Read one table.
 
-    With ``schema`` the columns are bound by name and typed by it. Without one, CSV columns stay text, or
+    With ``schema`` its columns are bound by name and typed by it (see ``to_schema``), and the others stay as they are. Without one, CSV columns stay text, or
     get data-dependent types with ``infer=True``, which costs one more pass over the files.
     """
     if fmt == "csv":
         df = read_strings(spark, path, inferSchema=infer and schema is None, **options)
     else:
         df = spark.read.format(fmt).options(**options).load(path)
-    return df if schema is None else to_schema(df, schema)
+    return df if schema is None else to_schema(df, schema, optional, keep_other)
 
 
 def read_tables(

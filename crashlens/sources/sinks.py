@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -18,15 +19,28 @@ def write_result(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path for an intermediate table, in the folder that ``spark.checkpoint.dir`` names.
+_FOLDERS: dict[str, str] = {}
+
+
+def scratch_folder(spark: SparkSession) -> str:
+    """The session's folder for intermediate tables, below the one that ``spark.checkpoint.dir`` names.
 
-    That folder has to be one every executor sees. Only a local-mode session without the setting falls back
-    to a temporary folder of this machine.
+    That folder has to be one every executor sees. Only a local-mode session without the setting uses a temporary folder of this
+    machine; it is one for the whole session and goes when Python ends.
     """
+    context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-        folder = tempfile.mkdtemp(prefix="crashlens-")
-    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if folder:
+        return f"{folder.rstrip('/')}/crashlens-{context.applicationId}"
+    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
+    if context.applicationId not in _FOLDERS:
+        own = tempfile.TemporaryDirectory(prefix="crashlens-", ignore_cleanup_errors=True)
+        atexit.register(own.cleanup)
+        _FOLDERS[context.applicationId] = own.name
+    return _FOLDERS[context.applicationId]
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh path for an intermediate table in the session's folder."""
+    return f"{scratch_folder(spark)}/{name}-{uuid.uuid4().hex}"

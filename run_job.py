@@ -16,12 +16,13 @@ def main() -> None:
     parser.add_argument("--table", action="append", required=True, metavar="NAME=PATH")
     parser.add_argument("--output", required=True, help="folder for the ten result datasets")
     parser.add_argument("--format", default="csv", help="format of the tables")
-    parser.add_argument("--staging", help="folder to store CSV tables as typed Parquet first")
+    parser.add_argument("--staging", help="folder to store the tables as typed Parquet first; CSV needs one")
+    parser.add_argument("--all-pairs", action="store_true", help="store every pair of the fourth analysis")
     args = parser.parse_args()
 
     spark = SparkSession.builder.appName("crashlens").getOrCreate()
     inputs = dict(table.split("=", 1) for table in args.table)
-    stored = run_all(spark, inputs, result_paths(args.output), args.format, args.staging)
+    stored = run_all(spark, inputs, result_paths(args.output), args.format, args.staging, args.all_pairs)
     for name, answer in answers(stored).items():
         if isinstance(answer, DataFrame):
             print(name)

@@ -4,8 +4,8 @@ import pytest
 from conftest import rows
 
 from crashlens.plans.fixtures import BUILDERS
-from crashlens.plans.job import STORED, answers, open_tables, result_paths, run_all
-from crashlens.sources import SCHEMAS, convert_tables, read_strings, read_table, scratch_path, write_result
+from crashlens.plans.job import STORED, UNREAD, answers, open_tables, result_paths, run_all
+from crashlens.sources import SCHEMAS, convert_tables, read_strings, read_table, read_tables, scratch_path, write_result
 
 
 def csv(folder, name, *lines):
@@ -16,7 +16,8 @@ def csv(folder, name, *lines):
 
 def test_fixed_types_make_bad_text_and_empty_cells_missing(spark, tmp_path):
     path = csv(tmp_path, "units.csv", "CRASH_ID,UNIT_NBR,TOT_INJRY_CNT,VIN", "1,1,NA,", "2,x,,NA", "3,1,4,007")
-    df = read_table(spark, path, SCHEMAS["units"])
+    lost = [name for name in SCHEMAS["units"].names if name not in ("CRASH_ID", "UNIT_NBR", "TOT_INJRY_CNT", "VIN")]
+    df = read_table(spark, path, SCHEMAS["units"], optional=lost)
     assert df.schema == SCHEMAS["units"]
     result = rows(df.select("CRASH_ID", "UNIT_NBR", "TOT_INJRY_CNT", "VIN", "DEATH_CNT"))
     assert result == [(1, 1, None, None, None), (2, None, None, "NA", None), (3, 1, 4, "007", None)]
@@ -24,12 +25,32 @@ def test_fixed_types_make_bad_text_and_empty_cells_missing(spark, tmp_path):
 
 def test_values_follow_the_header_not_the_position(spark, tmp_path):
     path = csv(tmp_path, "charges.csv", "CHARGE,EXTRA,prsn_nbr,UNIT_NBR,CRASH_ID", "SPEEDING,e,3,2,1")
-    assert rows(read_table(spark, path, SCHEMAS["charges"])) == [(1, 2, 3, "SPEEDING")]
+    df = read_table(spark, path, SCHEMAS["charges"])
+    assert df.columns == ["CRASH_ID", "UNIT_NBR", "PRSN_NBR", "CHARGE", "EXTRA"]
+    assert rows(df) == [(1, 2, 3, "SPEEDING", "e")]
+    assert rows(read_table(spark, path, SCHEMAS["charges"], keep_other=False)) == [(1, 2, 3, "SPEEDING")]
+
+
+def test_a_missing_column_is_an_error_unless_it_is_optional(spark, tmp_path):
+    path = csv(tmp_path, "charges.csv", "CRASH_IDENT,UNIT_NBR,PRSN_NBR,CHARGE", "1,2,3,SPEEDING")
+    with pytest.raises(ValueError, match="CRASH_ID"):
+        read_table(spark, path, SCHEMAS["charges"])
+    with pytest.raises(ValueError, match="missing: CRASH_ID;"):
+        read_tables(spark, {"charges": path})
+    df = read_table(spark, path, SCHEMAS["charges"], optional=["crash_id"])
+    assert rows(df.select("CRASH_ID", "CRASH_IDENT")) == [(None, "1")]
+
+
+def test_staging_keeps_all_columns(spark, tmp_path):
+    path = csv(tmp_path, "endorse.csv", "CRASH_ID,UNIT_NBR,DRVR_LIC_ENDORS_ID", "1,2,NONE")
+    staged = convert_tables(spark, {"endorse": path}, {"endorse": str(tmp_path / "staged")})["endorse"]
+    assert rows(staged) == [(1, 2, "NONE")] and staged.columns[-1] == "DRVR_LIC_ENDORS_ID"
 
 
 def test_zip_codes_keep_their_zeros(spark, tmp_path):
     path = csv(tmp_path, "persons.csv", "CRASH_ID,DRVR_ZIP", "1,07001", "2,75001")
-    typed = read_table(spark, path, SCHEMAS["primary_person"]).select("DRVR_ZIP")
+    lost = [name for name in SCHEMAS["primary_person"].names if name not in ("CRASH_ID", "DRVR_ZIP")]
+    typed = read_table(spark, path, SCHEMAS["primary_person"], optional=lost).select("DRVR_ZIP")
     assert rows(typed) == [("07001",), ("75001",)]
     assert dict(read_table(spark, path, infer=True).dtypes)["DRVR_ZIP"] == "int"
     assert dict(read_strings(spark, path).dtypes) == {"CRASH_ID": "string", "DRVR_ZIP": "string"}
@@ -61,7 +82,7 @@ def test_scratch_paths_are_fresh_and_in_the_shared_folder(spark):
 
 
 def test_no_machine_folder_is_used_on_a_cluster():
-    cluster = SimpleNamespace(conf={}, sparkContext=SimpleNamespace(master="yarn"))
+    cluster = SimpleNamespace(conf={}, sparkContext=SimpleNamespace(master="yarn", applicationId="test"))
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         scratch_path(cluster, "t")
 
@@ -74,16 +95,17 @@ def test_conversion_keeps_types_and_rows(spark, tables, tmp_path):
     assert rows(stored.select(columns)) == rows(tables["primary_person"])
 
 
-@pytest.mark.parametrize("mode", ["csv", "staged", "parquet"])
+@pytest.mark.parametrize("mode", ["all_pairs", "staged", "parquet"])
 def test_job_gives_the_known_answers(spark, tables, tmp_path, mode):
     fmt = "parquet" if mode == "parquet" else "csv"
     inputs = {name: str(tmp_path / f"in-{name}") for name in BUILDERS}
     for name, path in inputs.items():
         writer = tables[name].write
         writer.parquet(path) if fmt == "parquet" else writer.csv(path, header=True)
-    staging = str(tmp_path / "staging") if mode == "staged" else None
+    staging = str(tmp_path / "staging") if fmt == "csv" else None
 
-    stored = run_all(spark, inputs, result_paths(str(tmp_path / "out")), fmt, staging)
+    stored = run_all(spark, inputs, result_paths(str(tmp_path / "out")), fmt, staging, mode == "all_pairs")
+    assert ("pairs" in stored["analysis4"].columns) == (mode != "all_pairs")
     found = answers(stored)
 
     assert found["analysis1"] == 89
@@ -99,6 +121,25 @@ def test_job_gives_the_known_answers(spark, tables, tmp_path, mode):
     assert found["analysis10"] == ["NA", "BRAND#13", "BRAND#14", "BRAND#25", "BRAND#16"]
 
 
+def test_csv_needs_staging(spark):
+    with pytest.raises(ValueError, match="staging"):
+        open_tables(spark, dict.fromkeys(BUILDERS, "x.csv"))
+
+
+def test_queries_share_the_csv_files(spark, sf_dir):
+    from crashlens.plans.operator_queries import _charges_as_csv, scan_csv, scan_csv_strings
+
+    first = _charges_as_csv(spark, sf_dir)
+    read = [set(df.inputFiles()) for df in (scan_csv(spark, sf_dir), scan_csv_strings(spark, sf_dir))]
+    assert read[0] == read[1] and all(first in file for file in read[0])
+
+
+def test_a_local_session_without_a_shared_folder_has_one_of_its_own():
+    local = SimpleNamespace(conf={}, sparkContext=SimpleNamespace(master="local[2]", applicationId="test"))
+    first, second = scratch_path(local, "t"), scratch_path(local, "t")
+    assert first != second and first.rsplit("/", 1)[0] == second.rsplit("/", 1)[0]
+
+
 def test_job_on_empty_tables(spark, tmp_path):
     inputs = {name: str(tmp_path / name) for name in BUILDERS}
     for name, path in inputs.items():
@@ -110,7 +151,7 @@ def test_job_on_empty_tables(spark, tmp_path):
 def test_typed_parquet_is_read_without_casts(spark, tables, tmp_path):
     path = str(tmp_path / "units")
     write_result(tables["units"], path)
-    df = open_tables(spark, dict.fromkeys(BUILDERS, path), "parquet")["units"].filter("UNIT_NBR = 2")
+    df = read_tables(spark, {"units": path}, "parquet", optional=UNREAD)["units"].filter("UNIT_NBR = 2")
     assert "cast" not in df._jdf.queryExecution().optimizedPlan().toString()
 
 
