@@ -39,12 +39,19 @@ def duplicate_rows(df: DataFrame, keys: Sequence[str], count: str = "count") ->
 def key_ladder(df: DataFrame, key_sets: Mapping[str, Sequence[str]]) -> DataFrame:
     """Row count and number of distinct combinations per named key set; NULL counts as a value.
 
-    Each rung reads only its own columns, and the rungs run as independent branches of one job.
+    A key set that is part of another one is made distinct from that one's distinct rows, so nested sets take one
+    scan of the table and shuffle its keys once; sets that are part of no other run as branches of their own.
     """
-    rungs = [("rows", df.select(F.lit(1)))]
-    rungs += [(name, distinct_on(df, columns)) for name, columns in key_sets.items()]
-    counted = [
-        rows.agg(F.count(F.lit(1)).alias("combinations")).select(F.lit(name).alias("key_set"), "combinations")
-        for name, rows in rungs
-    ]
-    return reduce(DataFrame.unionAll, counted)
+    ladder: dict[str, DataFrame] = {}
+    for name in sorted(key_sets, key=lambda n: -len(key_sets[n])):
+        finer = [other for other in ladder if set(key_sets[name]) <= set(key_sets[other])]
+        source = ladder[min(finer, key=lambda n: len(key_sets[n]))] if finer else df
+        # The test of the count, always true, keeps the optimizer from reading the table anew for the coarser set.
+        groups = source.groupBy(*key_sets[name]).agg(F.count(F.lit(1)).alias("_rows"))
+        ladder[name] = groups.filter("_rows > 0").select(*key_sets[name])
+
+    def counted(name: str, rows: DataFrame) -> DataFrame:
+        return rows.agg(F.count(F.lit(1)).alias("combinations")).select(F.lit(name).alias("key_set"), "combinations")
+
+    rungs = [counted("rows", df.select(F.lit(1)))] + [counted(name, ladder[name]) for name in key_sets]
+    return reduce(DataFrame.unionAll, rungs)

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, FloatType, NumericType
+from pyspark.sql.types import DoubleType, FloatType, NumericType, StringType
 
 from crashlens.functions import parse_number
 
@@ -28,20 +28,25 @@ def describe(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """One row per column: count of non-NULL values, mean, sample deviation, smallest and largest value.
 
     All statistics come from one aggregation over the table. Text columns are averaged over the values that
-    parse as numbers and ordered as text; smallest and largest are given as text for every column.
+    parse as numbers and ordered as text; dates, times and other types have no mean and deviation. Smallest and largest
+    are given as text for every column, NULL for types without an order.
     """
     kinds = {field.name: field.dataType for field in df.schema.fields}
 
     def summary(name: str) -> Column:
         column = F.col(name)
-        number = column.cast("double") if isinstance(kinds[name], NumericType) else parse_number(name)
+        if isinstance(kinds[name], NumericType):
+            number = column.cast("double")
+        else:
+            number = parse_number(name) if isinstance(kinds[name], StringType) else F.lit(None).cast("double")
+        ordered = F.lit(None) if kinds[name].typeName() in ("map", "variant") else column
         return F.struct(
             F.lit(name).alias("column"),
             F.count(column).alias("count"),
             F.avg(number).alias("mean"),
             F.stddev(number).alias("stddev"),
-            F.min(column).cast("string").alias("min"),
-            F.max(column).cast("string").alias("max"),
+            F.min(ordered).cast("string").alias("min"),
+            F.max(ordered).cast("string").alias("max"),
         )
 
     names = list(columns or df.columns)

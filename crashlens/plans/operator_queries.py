@@ -31,19 +31,28 @@ from crashlens.sources import SCHEMAS, read_strings, read_table, scratch_path, w
 
 
 def _charges_as_csv(spark: SparkSession, sf_dir: str) -> str:
-    """Charges as CSV with the columns in another order, one more column, and NA for some person numbers."""
-    path = scratch_path(spark, "charges-csv")
-    person = F.when(F.col("PRSN_NBR") == 3, "NA").otherwise(F.col("PRSN_NBR").cast("string"))
-    charges = fixtures.charges(spark, sf_dir)
-    rows = charges.select("CHARGE", person.alias("PRSN_NBR"), "UNIT_NBR", "CRASH_ID", F.lit("x").alias("REMARK"))
-    rows.write.csv(path, header=True)
-    return path
+    """Charges as CSV with the columns in another order, one more column, and NA for some person numbers.
+
+    Written once in a session for each data folder.
+    """
+    if (spark.sparkContext.applicationId, sf_dir) not in _CSV:
+        path = scratch_path(spark, "charges-csv")
+        person = F.when(F.col("PRSN_NBR") == 3, "NA").otherwise(F.col("PRSN_NBR").cast("string"))
+        charges = fixtures.charges(spark, sf_dir)
+        rows = charges.select("CHARGE", person.alias("PRSN_NBR"), "UNIT_NBR", "CRASH_ID", F.lit("x").alias("REMARK"))
+        rows.write.csv(path, header=True)
+        _CSV[spark.sparkContext.applicationId, sf_dir] = path
+    return _CSV[spark.sparkContext.applicationId, sf_dir]
+
+
+_CSV: dict[tuple[str, str], str] = {}
 
 
 @query(
     with_tables(
         """
-SELECT CRASH_ID, UNIT_NBR, CASE WHEN PRSN_NBR <> 3 THEN PRSN_NBR END AS PRSN_NBR, CHARGE FROM charges""",
+SELECT CRASH_ID, UNIT_NBR, CASE WHEN PRSN_NBR <> 3 THEN PRSN_NBR END AS PRSN_NBR, CHARGE, 'x' AS REMARK
+FROM charges""",
         "charges",
     )
 )
@@ -79,10 +88,9 @@ def scan_csv_inferred(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inferred.withColumn("CRASH_ID", F.col("CRASH_ID").cast("bigint"))
 
 
-@query("SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority FROM orders")
+@query("SELECT * FROM orders")
 def sink_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = load(spark, sf_dir, "orders").drop("o_orderdate")
-    return write_result(orders, scratch_path(spark, "orders"))
+    return write_result(load(spark, sf_dir, "orders"), scratch_path(spark, "orders"))
 
 
 # Projections
@@ -507,31 +515,19 @@ def duplicates_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Profiles
 
-_PROFILED_UNITS = [
-    "CRASH_ID",
-    "VIN",
-    "VEH_MAKE_ID",
-    "VEH_BODY_STYL_ID",
-    "VEH_HNR_FL",
-    "CONTRIB_FACTR_1_ID",
-    "CONTRIB_FACTR_P1_ID",
-    "VEH_DMAG_SCL_1_ID",
-    "FIN_RESP_TYPE_ID",
-    "VEH_LIC_STATE_ID",
-    "VEH_COLOR_ID",
-]
+_UNIT_COLUMNS = [column.rsplit(" AS ", 1)[1] for column in fixtures.UNITS]
 
 
 @query(
     with_tables(
         "SELECT "
-        + ", ".join(f"COUNT(CASE WHEN {name} IS NULL THEN 1 END) AS {name}" for name in _PROFILED_UNITS)
+        + ", ".join(f"COUNT(CASE WHEN {name} IS NULL THEN 1 END) AS {name}" for name in _UNIT_COLUMNS)
         + " FROM units",
         "units",
     )
 )
 def null_profile_units(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return null_profile(fixtures.units(spark, sf_dir), _PROFILED_UNITS)
+    return null_profile(fixtures.units(spark, sf_dir))
 
 
 @query(
@@ -547,17 +543,37 @@ def null_profile_numeric(spark: SparkSession, sf_dir: str) -> DataFrame:
     return null_profile(load(spark, sf_dir, "lineitem").select("l_orderkey", ratio))
 
 
+def _line_summary(name: str, number: str) -> str:
+    return f"""SELECT '{name}' AS "column", COUNT({name}) AS "count", ROUND(AVG({number}), 4) AS "mean",
+ ROUND(STDDEV_SAMP({number}), 4) AS "stddev", CAST(MIN({name}) AS VARCHAR) AS "min", CAST(MAX({name}) AS VARCHAR) AS "max"
+FROM lineitem"""
+
+
+@query(
+    "\nUNION ALL ".join(
+        [
+            _line_summary(name, name)
+            for name in "l_orderkey l_partkey l_suppkey l_linenumber l_quantity l_extendedprice l_discount l_tax".split()
+        ]
+        + [_line_summary(name, f"TRY_CAST({name} AS DOUBLE)") for name in ("l_returnflag", "l_linestatus")]
+        + [_line_summary("l_shipdate", "CAST(NULL AS DOUBLE)")]
+    )
+)
+def describe_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    summary = describe(load(spark, sf_dir, "lineitem"))
+    return summary.withColumns({name: F.round(name, 4) for name in ("mean", "stddev")})
+
+
 @query(
     "\nUNION ALL ".join(
         f"""SELECT '{name}' AS "column", COUNT({name}) AS "count", ROUND(AVG({name}), 4) AS "mean",
  ROUND(STDDEV_SAMP({name}), 4) AS "stddev", CAST(MIN({name}) AS DOUBLE) AS "min", CAST(MAX({name}) AS DOUBLE) AS "max"
-FROM lineitem"""
-        for name in ("l_linenumber", "l_quantity", "l_extendedprice", "l_discount")
+FROM part"""
+        for name in ("p_partkey", "p_size", "p_retailprice")
     )
 )
-def describe_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    columns = ["l_linenumber", "l_quantity", "l_extendedprice", "l_discount"]
-    summary = describe_numeric(load(spark, sf_dir, "lineitem"), columns)
+def describe_part_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    summary = describe_numeric(load(spark, sf_dir, "part"), ["p_partkey", "p_size", "p_retailprice"])
     return summary.withColumns({name: F.round(name, 4) for name in ("mean", "stddev")})
 
 

@@ -141,3 +141,20 @@ def test_collecting_more_than_the_bound_is_refused(spark):
     assert len(collect_bounded(spark.range(5), 5)) == 5
     with pytest.raises(ValueError):
         collect_bounded(spark.range(6), 5)
+
+
+def test_describe_takes_every_column_type_of_the_tables(spark, sf_dir):
+    import os
+
+    for file in sorted(os.listdir(sf_dir)):
+        df = spark.read.parquet(f"{sf_dir}/{file}")
+        summary = describe(df).collect()
+        assert [row["column"] for row in summary] == df.columns
+        kinds = dict(df.dtypes)
+        for row in summary:
+            assert row["count"] == df.where(F.col(row["column"]).isNotNull()).count()
+            assert row["mean"] is None or kinds[row["column"]] not in ("timestamp_ntz", "date", "timestamp")
+    odd = spark.sql("SELECT map(1, 2) AS m, DATE'2020-01-02' AS d, true AS b, array(1.5) AS a, interval 1 day AS i, X'01' AS x")
+    summary = {row["column"]: row for row in describe(odd).collect()}
+    assert summary["m"]["count"] == 1 and summary["m"]["max"] is None
+    assert summary["d"]["min"] == "2020-01-02" and summary["d"]["mean"] is None and summary["b"]["max"] == "true"

@@ -6,7 +6,8 @@ from conftest import rows
 import __spark_entry__ as entry_points
 from crashlens.plans.catalog import ORACLES, QUERIES
 
-TYPES = {"int": "INTEGER", "bigint": "BIGINT", "string": "VARCHAR", "double": "DOUBLE", "boolean": "BOOLEAN"}
+TYPES = {"int": "INTEGER", "bigint": "BIGINT", "string": "VARCHAR", "double": "DOUBLE", "boolean": "BOOLEAN",
+         "timestamp_ntz": "TIMESTAMP"}
 
 
 def test_every_query_has_an_oracle():
