@@ -24,7 +24,7 @@ from crashlens.functions import (
     not_in,
     parse_number,
 )
-from crashlens.operators.aggregates import count_rows, sum_columns
+from crashlens.operators.aggregates import count_rows, count_values, sum_columns
 from crashlens.operators.joins import common_keys, count_pairs, join_on, restrict_to_top, semi
 from crashlens.operators.keys import distinct_on
 from crashlens.operators.ranking import rank_slice, sort_by, top1_per_group, topk
@@ -32,20 +32,52 @@ from crashlens.plans import values as v
 
 Tables = Mapping[str, DataFrame]
 
+#: What the analyses ask for unless told otherwise: more men than this, so many of a top list, ranks from and to.
+MANY_MEN, TOP, FIRST, LAST = 2, 5, 3, 5
+
+
+def _matched(
+    vehicles: DataFrame, persons: DataFrame, by: str, count: str, of: str, within: DataFrame | None = None
+) -> DataFrame:
+    """Per ``by``: pairs of vehicle and person, or different crashes or vehicles (rows of ``vehicles``) among the pairs.
+
+    No way builds the pairs. Crashes and vehicles are rows of one side that have a partner on the other, by semi-joins, which
+    fold a hot key of the partner and may split one of the rows.
+    """
+    if of == "pairs":
+        return count_pairs(vehicles, persons, v.CRASH_UNIT, [by], count, within)
+    by_vehicle = by in vehicles.columns
+    rows, partner = (vehicles, persons) if by_vehicle else (persons, vehicles)
+    if within is not None:
+        rows = semi(rows, within, v.CRASH_UNIT)
+    if of == "crashes":
+        return count_rows(semi(rows, partner, v.CRASH_UNIT).select(by, *v.CRASH).distinct(), [by], count)
+    if of == "vehicles" and by_vehicle:
+        return count_rows(semi(rows, partner, v.CRASH_UNIT), [by], count)
+    raise ValueError(f"cannot count {of} here")
+
+
+def _only(tables: Tables, vehicles: Column | None) -> DataFrame:
+    """The units, or those that meet a condition."""
+    return tables["units"] if vehicles is None else tables["units"].filter(vehicles)
+
 
 # 1. Crashes with more than two men killed
 
 
 def men_per_crash(tables: Tables, any_injury: bool = False) -> DataFrame:
-    """Men killed per crash; men of any injury state with ``any_injury``."""
+    """Men killed per crash; men of any injury state with ``any_injury``.
+
+    The crash id is counted, so men without one are no crash: their group counts 0.
+    """
     condition = F.col("PRSN_GNDR_ID") == v.MALE
     if not any_injury:
         condition &= F.col("PRSN_INJRY_SEV_ID") == v.KILLED
-    name = "MALE_COUNT" if any_injury else "MALE_DEATH_COUNT"
-    return count_rows(tables["primary_person"].filter(condition), v.CRASH, name)
+    name = "MALE_COUNT" if any_injury else v.MEN_KILLED
+    return count_values(tables["primary_person"].filter(condition), v.CRASH, "CRASH_ID", name)
 
 
-def crashes_with_many_men(tables: Tables, any_injury: bool = False, more_than: int = 2) -> DataFrame:
+def crashes_with_many_men(tables: Tables, any_injury: bool = False, more_than: int = MANY_MEN) -> DataFrame:
     counts = men_per_crash(tables, any_injury)
     return counts.filter(F.col(counts.columns[-1]) > more_than)
 
@@ -61,15 +93,20 @@ def two_wheelers(tables: Tables) -> DataFrame:
 # 3. Makes with driver deaths and no airbag
 
 
-def makes_with_driver_deaths(tables: Tables, by_death_time: bool = False, k: int = 5) -> DataFrame:
-    """Death is the injury state, or a recorded time of death with ``by_death_time``."""
+def makes_with_driver_deaths(
+    tables: Tables, by_death_time: bool = False, k: int = TOP, of: str = "pairs", only: Column | None = None
+) -> DataFrame:
+    """Death is the injury state, or a recorded time of death with ``by_death_time``.
+
+    ``of``: what is counted, pairs of vehicle and driver, crashes or vehicles. ``only``: a condition on the vehicles.
+    """
     died = F.col("PRSN_DEATH_TIME").isNotNull() if by_death_time else F.col("PRSN_INJRY_SEV_ID") == v.KILLED
     drivers = tables["primary_person"].filter(
         died & (F.col("PRSN_AIRBAG_ID") == v.AIRBAG_NOT_DEPLOYED) & F.col("PRSN_TYPE_ID").contains(v.DRIVER)
     )
-    vehicles = distinct_on(_known_make(tables["units"]), [*v.VEHICLE, "VEH_MAKE_ID"])
-    name = "COUNT_OF_DRIVER_DEATH_AND_AB_FAILURE"
-    return topk(count_pairs(vehicles, drivers, v.CRASH_UNIT, ["VEH_MAKE_ID"], name), k, [name], ["VEH_MAKE_ID"])
+    vehicles = distinct_on(_known_make(_only(tables, only)), [*v.VEHICLE, "VEH_MAKE_ID"])
+    name = v.DRIVER_DEATHS
+    return topk(_matched(vehicles, drivers, "VEH_MAKE_ID", name, of), k, [name], ["VEH_MAKE_ID"])
 
 
 def _known_make(units: DataFrame) -> DataFrame:
@@ -96,6 +133,22 @@ def licensed_hit_and_run(tables: Tables, any_person: bool = False) -> DataFrame:
     return pairs.select(*v.VEHICLE, "VEH_HNR_FL", "DRVR_LIC_TYPE_ID", "DRVR_LIC_CLS_ID")
 
 
+def licensed_hit_and_run_folded(tables: Tables, any_person: bool = False) -> DataFrame:
+    """``licensed_hit_and_run`` with equal rows folded: ``pairs`` says how many there are.
+
+    A vehicle has as many rows as there are kinds of licence at its unit, however many persons hold them.
+    """
+    persons = _licensed_drivers(tables, any_person)
+    kinds = count_rows(persons, persons.columns, "pairs")
+    columns = [*v.VEHICLE, "VEH_HNR_FL", "DRVR_LIC_TYPE_ID", "DRVR_LIC_CLS_ID", "pairs"]
+    return join_on(_hit_and_run_vehicles(tables), kinds, v.CRASH_UNIT).select(*columns)
+
+
+def hit_and_run_vehicles_with_licence(tables: Tables, any_person: bool = False) -> DataFrame:
+    """The hit-and-run vehicles that a licensed driver (or person) belongs to, each once."""
+    return semi(_hit_and_run_vehicles(tables), _licensed_drivers(tables, any_person), v.CRASH_UNIT)
+
+
 def licensed_hit_and_run_count(tables: Tables, any_person: bool = False) -> DataFrame:
     """Number of rows of ``licensed_hit_and_run``, without building them."""
     return count_pairs(_licensed_drivers(tables, any_person), _hit_and_run_vehicles(tables), v.CRASH_UNIT)
@@ -125,8 +178,8 @@ def states_without_women(tables: Tables) -> DataFrame:
         crash_states.withColumn("_women", F.max("_woman").over(Window.partitionBy("CRASH_ID")))
         .filter(~F.col("_women") & state.isNotNull())
     )
-    counts = count_rows(without_women, ["DRVR_LIC_STATE_ID"], "NO_FEMALE_ACCIDENT_COUNT")
-    return sort_by(counts, ["NO_FEMALE_ACCIDENT_COUNT"], ["DRVR_LIC_STATE_ID"])
+    counts = count_rows(without_women, ["DRVR_LIC_STATE_ID"], v.WITHOUT_WOMEN)
+    return sort_by(counts, [v.WITHOUT_WOMEN], ["DRVR_LIC_STATE_ID"])
 
 
 def top_state_without_women(tables: Tables) -> DataFrame:
@@ -136,16 +189,16 @@ def top_state_without_women(tables: Tables) -> DataFrame:
 # 6. Makes ranked third to fifth by injuries and deaths
 
 
-def makes_by_casualties(tables: Tables, first: int = 3, last: int = 5, text_counts: bool = False) -> DataFrame:
+def makes_by_casualties(tables: Tables, first: int = FIRST, last: int = LAST, text_counts: bool = False) -> DataFrame:
     """``text_counts``: the counts are text, so they are summed as double precision numbers."""
     units = _known_make(tables["units"])
     counts = ["TOT_INJRY_CNT", "DEATH_CNT"]
     vehicles = distinct_on(units, [*v.VEHICLE, "VEH_MAKE_ID", *counts])
     if text_counts:
         vehicles = vehicles.withColumns({name: parse_number(name) for name in counts})
-    totals = sum_columns(vehicles, ["VEH_MAKE_ID"], {"AGG_INJURIES": counts[0], "AGG_DEATHS": counts[1]})
-    totals = totals.withColumn("AGG_COUNT", F.col("AGG_INJURIES") + F.col("AGG_DEATHS"))
-    return rank_slice(totals, first, last, ["AGG_COUNT"], ["VEH_MAKE_ID"])
+    totals = sum_columns(vehicles, ["VEH_MAKE_ID"], {v.INJURIES: counts[0], v.DEATHS: counts[1]})
+    totals = totals.withColumn(v.CASUALTIES, F.col(v.INJURIES) + F.col(v.DEATHS))
+    return rank_slice(totals, first, last, [v.CASUALTIES], ["VEH_MAKE_ID"])
 
 
 # 7. Most frequent ethnic group per body style
@@ -167,12 +220,13 @@ def top_ethnicity_per_body_style(tables: Tables, with_hit_and_run: bool = False)
 # 8. Zip codes with most alcohol-related crashes
 
 
-def zips_with_alcohol(tables: Tables, k: int = 5) -> DataFrame:
+def zips_with_alcohol(tables: Tables, k: int = TOP, of: str = "pairs", only: Column | None = None) -> DataFrame:
+    """``of``: what is counted, pairs of vehicle and person, or crashes. ``only``: a condition on the vehicles."""
     alcohol = any_column(lambda factor: icontains(factor, v.ALCOHOL), v.CONTRIBUTING_FACTORS)
-    vehicles = distinct_on(tables["units"].filter(alcohol), [*v.VEHICLE, "VEH_HNR_FL", "VEH_BODY_STYL_ID"])
+    vehicles = distinct_on(_only(tables, only).filter(alcohol), [*v.VEHICLE, "VEH_HNR_FL", "VEH_BODY_STYL_ID"])
     persons = tables["primary_person"].na.drop(subset=["DRVR_ZIP"])
-    name = "ALCOHOL_CRASH_COUNT"
-    return topk(count_pairs(vehicles, persons, v.CRASH_UNIT, ["DRVR_ZIP"], name), k, [name], ["DRVR_ZIP"])
+    name = v.ALCOHOL_CRASHES
+    return topk(_matched(vehicles, persons, "DRVR_ZIP", name, of), k, [name], ["DRVR_ZIP"])
 
 
 # 9. Insured vehicles with heavy damage and no damaged property
@@ -210,9 +264,13 @@ def _is_colour(column: str) -> Column:
     return (F.col(column) != v.NOT_AVAILABLE) & is_non_numeric(column)
 
 
-def makes_with_speed_charges(tables: Tables, k: int = 5, colours: int = 10, states: int = 25) -> DataFrame:
+def makes_with_speed_charges(
+    tables: Tables, k: int = TOP, colours: int = 10, states: int = 25, of: str = "pairs"
+) -> DataFrame:
     """Rows per make for vehicles of the top colours and states, charged units and licensed persons.
 
+    ``of``: what is counted, pairs of vehicle and person, crashes or vehicles.
+
     The vehicles are made distinct once: the result and the two top lists read the same shuffled rows. For that
     the vehicles without a crash unit, which count for the lists but join nothing, are kept in a branch of their
     own, as the join would otherwise filter one use of the rows and not the other. The lists are bounded by their
@@ -233,5 +291,5 @@ def makes_with_speed_charges(tables: Tables, k: int = 5, colours: int = 10, stat
     )
     charged = tables["charges"].filter(contains_any("CHARGE", v.SPEED_CHARGES))
     licensed = tables["primary_person"].filter(F.col("DRVR_LIC_TYPE_ID").isin(v.LICENCE_TYPES))
-    rows = count_pairs(listed, licensed, v.CRASH_UNIT, ["VEH_MAKE_ID"], within=charged)
+    rows = _matched(listed, licensed, "VEH_MAKE_ID", "count", of, charged)
     return topk(rows, k, ["count"], ["VEH_MAKE_ID"])

@@ -7,16 +7,17 @@ from pyspark.sql import functions as F
 
 from crashlens.operators.aggregates import count_rows
 from crashlens.plans import analyses
-from crashlens.plans.catalog import query
-from crashlens.plans.fixtures import crash_tables, with_tables
+from crashlens.plans import values as v
+from crashlens.plans.catalog import ORACLES, query
+from crashlens.plans.fixtures import crash_tables, missing_keys_sql, with_missing_keys, with_tables
 
 # 1
 
-_MEN_KILLED = """SELECT CRASH_ID, COUNT(*) AS MALE_DEATH_COUNT FROM primary_person
+_MEN_KILLED = """SELECT CRASH_ID, COUNT(CRASH_ID) AS MALE_DEATH_COUNT FROM primary_person
 WHERE PRSN_INJRY_SEV_ID = 'KILLED' AND PRSN_GNDR_ID = 'MALE' GROUP BY CRASH_ID"""
 
 
-@query(with_tables(_MEN_KILLED + " HAVING COUNT(*) > 2", "primary_person"))
+@query(with_tables(_MEN_KILLED + " HAVING COUNT(CRASH_ID) > 2", "primary_person"))
 def analysis1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analyses.crashes_with_many_men(crash_tables(spark, sf_dir, "primary_person"))
 
@@ -26,15 +27,15 @@ def analysis1_all_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analyses.men_per_crash(crash_tables(spark, sf_dir, "primary_person"))
 
 
-@query(with_tables(f"SELECT COUNT(*) AS crashes FROM ({_MEN_KILLED} HAVING COUNT(*) > 2) c", "primary_person"))
+@query(with_tables(f"SELECT COUNT(*) AS crashes FROM ({_MEN_KILLED} HAVING COUNT(CRASH_ID) > 2) c", "primary_person"))
 def analysis1_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_rows(analysis1(spark, sf_dir), count="crashes")
 
 
 @query(
     with_tables(
-        """SELECT CRASH_ID, COUNT(*) AS MALE_COUNT FROM primary_person
-WHERE PRSN_GNDR_ID = 'MALE' GROUP BY CRASH_ID HAVING COUNT(*) > 2""",
+        """SELECT CRASH_ID, COUNT(CRASH_ID) AS MALE_COUNT FROM primary_person
+WHERE PRSN_GNDR_ID = 'MALE' GROUP BY CRASH_ID HAVING COUNT(CRASH_ID) > 2""",
         "primary_person",
     )
 )
@@ -61,10 +62,10 @@ def analysis2_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 # 3
 
 
-def _driver_deaths_sql(death: str) -> str:
+def _driver_deaths_sql(death: str, counted: str = "*", only: str = "") -> str:
     return with_tables(
-        f"""SELECT u.VEH_MAKE_ID, COUNT(*) AS COUNT_OF_DRIVER_DEATH_AND_AB_FAILURE
-FROM (SELECT DISTINCT CRASH_ID, UNIT_NBR, VIN, VEH_MAKE_ID FROM units WHERE VEH_MAKE_ID <> 'NA') u
+        f"""SELECT u.VEH_MAKE_ID, COUNT({counted}) AS COUNT_OF_DRIVER_DEATH_AND_AB_FAILURE
+FROM (SELECT DISTINCT CRASH_ID, UNIT_NBR, VIN, VEH_MAKE_ID FROM units WHERE VEH_MAKE_ID <> 'NA'{only}) u
 JOIN primary_person p ON u.CRASH_ID = p.CRASH_ID AND u.UNIT_NBR = p.UNIT_NBR
 WHERE {death} AND p.PRSN_AIRBAG_ID = 'NOT DEPLOYED' AND contains(p.PRSN_TYPE_ID, 'DRIVER')
 GROUP BY u.VEH_MAKE_ID ORDER BY 2 DESC, 1 LIMIT 5""",
@@ -83,6 +84,25 @@ def analysis3_by_death_time(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analyses.makes_with_driver_deaths(crash_tables(spark, sf_dir, "units", "primary_person"), by_death_time=True)
 
 
+_KILLED = "p.PRSN_INJRY_SEV_ID = 'KILLED'"
+
+
+@query(_driver_deaths_sql(_KILLED, "DISTINCT u.CRASH_ID"))
+def analysis3_by_crash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analyses.makes_with_driver_deaths(crash_tables(spark, sf_dir, "units", "primary_person"), of="crashes")
+
+
+@query(_driver_deaths_sql(_KILLED, "DISTINCT (u.CRASH_ID, u.UNIT_NBR, u.VIN)"))
+def analysis3_by_vehicle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analyses.makes_with_driver_deaths(crash_tables(spark, sf_dir, "units", "primary_person"), of="vehicles")
+
+
+@query(_driver_deaths_sql(_KILLED, only=" AND NOT contains(VEH_BODY_STYL_ID, 'MOTORCYCLE')"))
+def analysis3_no_motorcycles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cars = ~F.col("VEH_BODY_STYL_ID").contains(v.MOTORCYCLE)
+    return analyses.makes_with_driver_deaths(crash_tables(spark, sf_dir, "units", "primary_person"), only=cars)
+
+
 # 4
 
 
@@ -122,6 +142,21 @@ def analysis4_any_person_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analyses.licensed_hit_and_run_count(crash_tables(spark, sf_dir, "units", "primary_person"), any_person=True)
 
 
+@query(
+    _licensed_sql(
+        _LICENSED_COLUMNS + ", COUNT(*) AS pairs",
+        _DRIVER + f" GROUP BY {_LICENSED_COLUMNS}",
+    )
+)
+def analysis4_folded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analyses.licensed_hit_and_run_folded(crash_tables(spark, sf_dir, "units", "primary_person"))
+
+
+@query(_licensed_sql("DISTINCT u.*", _DRIVER))
+def analysis4_by_vehicle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analyses.hit_and_run_vehicles_with_licence(crash_tables(spark, sf_dir, "units", "primary_person"))
+
+
 # 5
 
 _STATES = """SELECT DRVR_LIC_STATE_ID, COUNT(*) AS NO_FEMALE_ACCIDENT_COUNT FROM (
@@ -205,9 +240,9 @@ def analysis7_with_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
 # 8
 
 
-@query(
-    with_tables(
-        """SELECT p.DRVR_ZIP, COUNT(*) AS ALCOHOL_CRASH_COUNT
+def _alcohol_sql(counted: str = "*") -> str:
+    return with_tables(
+        f"""SELECT p.DRVR_ZIP, COUNT({counted}) AS ALCOHOL_CRASH_COUNT
 FROM (SELECT DISTINCT CRASH_ID, UNIT_NBR, VIN, VEH_HNR_FL, VEH_BODY_STYL_ID FROM units
  WHERE contains(lower(CONTRIB_FACTR_1_ID), 'alcohol') OR contains(lower(CONTRIB_FACTR_2_ID), 'alcohol')
   OR contains(lower(CONTRIB_FACTR_P1_ID), 'alcohol')) u
@@ -216,7 +251,14 @@ WHERE p.DRVR_ZIP IS NOT NULL GROUP BY p.DRVR_ZIP ORDER BY 2 DESC, 1 LIMIT 5""",
         "units",
         "primary_person",
     )
-)
+
+
+@query(_alcohol_sql("DISTINCT u.CRASH_ID"))
+def analysis8_by_crash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analyses.zips_with_alcohol(crash_tables(spark, sf_dir, "units", "primary_person"), of="crashes")
+
+
+@query(_alcohol_sql())
 def analysis8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analyses.zips_with_alcohol(crash_tables(spark, sf_dir, "units", "primary_person"))
 
@@ -258,9 +300,9 @@ def analysis9_by_crash(spark: SparkSession, sf_dir: str) -> DataFrame:
 # 10
 
 
-@query(
-    with_tables(
-        """, vehicles AS (
+def _speed_sql(counted: str = "*") -> str:
+    return with_tables(
+        f""", vehicles AS (
  SELECT DISTINCT CRASH_ID, UNIT_NBR, VIN, VEH_LIC_STATE_ID, VEH_COLOR_ID, VEH_MAKE_ID FROM units),
 states AS (
  SELECT VEH_LIC_STATE_ID FROM vehicles WHERE TRY_CAST(VEH_LIC_STATE_ID AS FLOAT) IS NULL
@@ -268,7 +310,7 @@ states AS (
 colours AS (
  SELECT VEH_COLOR_ID FROM vehicles WHERE VEH_COLOR_ID <> 'NA' AND TRY_CAST(VEH_COLOR_ID AS FLOAT) IS NULL
  GROUP BY VEH_COLOR_ID ORDER BY COUNT(*) DESC, VEH_COLOR_ID LIMIT 10)
-SELECT v.VEH_MAKE_ID, COUNT(*) AS "count"
+SELECT v.VEH_MAKE_ID, COUNT({counted}) AS "count"
 FROM vehicles v
 JOIN (SELECT DISTINCT CRASH_ID, UNIT_NBR FROM charges WHERE contains(CHARGE, 'SPEED') OR contains(CHARGE, 'FAST')) c
  ON v.CRASH_ID = c.CRASH_ID AND v.UNIT_NBR = c.UNIT_NBR
@@ -281,6 +323,51 @@ GROUP BY v.VEH_MAKE_ID ORDER BY 2 DESC, 1 NULLS LAST LIMIT 5""",
         "primary_person",
         "charges",
     )
-)
+
+
+@query(_speed_sql("DISTINCT v.CRASH_ID"))
+def analysis10_by_crash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analyses.makes_with_speed_charges(crash_tables(spark, sf_dir, "units", "primary_person", "charges"), of="crashes")
+
+
+@query(_speed_sql())
 def analysis10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analyses.makes_with_speed_charges(crash_tables(spark, sf_dir, "units", "primary_person", "charges"))
+
+
+# The same over tables in which crash ids and unit numbers are missing
+
+_MISSING_KEYS = {
+    "analysis1": analyses.crashes_with_many_men,
+    "analysis1_all_counts": analyses.men_per_crash,
+    "analysis1_any_injury": lambda t: analyses.crashes_with_many_men(t, any_injury=True),
+    "analysis2": analyses.two_wheelers,
+    "analysis3": analyses.makes_with_driver_deaths,
+    "analysis3_by_crash": lambda t: analyses.makes_with_driver_deaths(t, of="crashes"),
+    "analysis3_by_vehicle": lambda t: analyses.makes_with_driver_deaths(t, of="vehicles"),
+    "analysis4": analyses.licensed_hit_and_run,
+    "analysis4_folded": analyses.licensed_hit_and_run_folded,
+    "analysis4_count": analyses.licensed_hit_and_run_count,
+    "analysis4_by_vehicle": analyses.hit_and_run_vehicles_with_licence,
+    "analysis5": analyses.states_without_women,
+    "analysis6": analyses.makes_by_casualties,
+    "analysis7": analyses.top_ethnicity_per_body_style,
+    "analysis8": analyses.zips_with_alcohol,
+    "analysis8_by_crash": lambda t: analyses.zips_with_alcohol(t, of="crashes"),
+    "analysis9": analyses.insured_crashes_without_property_damage,
+    "analysis9_rows": analyses.insured_without_property_damage,
+    "analysis10": analyses.makes_with_speed_charges,
+    "analysis10_by_crash": lambda t: analyses.makes_with_speed_charges(t, of="crashes"),
+}
+
+
+def _with_missing_keys(name: str, analysis) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return analysis(with_missing_keys(crash_tables(spark, sf_dir)))
+
+    run.__name__ = f"{name}_missing_keys"
+    query(missing_keys_sql(ORACLES[name]))(run)
+
+
+for _name, _analysis in _MISSING_KEYS.items():
+    _with_missing_keys(_name, _analysis)

@@ -94,6 +94,21 @@ def crash_tables(spark: SparkSession, sf_dir: str, *names: str) -> dict[str, Dat
     return {name: BUILDERS[name](spark, sf_dir) for name in names or BUILDERS}
 
 
+#: Keys that are missing for some rows. Applied to the tables above, which have none.
+MISSING = {
+    "CRASH_ID": "CASE WHEN CRASH_ID % 7 = 3 THEN NULL ELSE CRASH_ID END",
+    "UNIT_NBR": "CASE WHEN (CRASH_ID + UNIT_NBR) % 5 = 2 THEN NULL ELSE UNIT_NBR END",
+}
+
+
+def with_missing_keys(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """The tables with a crash id missing in every seventh crash, and a unit number in some units."""
+    return {
+        name: df.select(*(F.expr(MISSING[c]).alias(c) if c in MISSING else F.col(c) for c in df.columns))
+        for name, df in tables.items()
+    }
+
+
 def _select(columns: list[str], source: str) -> str:
     return "SELECT " + ",\n ".join(columns) + f"\nFROM {source}"
 
@@ -113,6 +128,15 @@ SQL = {
 }
 
 
+def missing_keys_sql(sql: str) -> str:
+    """A text made by ``with_tables``, with the tables of ``with_missing_keys`` in place of the others."""
+    columns = {name: [c for c in MISSING if f"AS {c}" in own] for name, own in SQL.items()}
+    for name, own in SQL.items():
+        changed = ", ".join(f"{MISSING[c]} AS {c}" for c in columns[name])
+        sql = sql.replace(f"{name} AS (\n{own})", f"{name} AS (\nSELECT * REPLACE ({changed}) FROM (\n{own}) whole)")
+    return sql
+
+
 def with_tables(select: str, *names: str) -> str:
     """A SELECT preceded by the named crash tables as common table expressions."""
     return "WITH " + ",\n".join(f"{name} AS (\n{SQL[name]})" for name in names) + "\n" + select

@@ -26,4 +26,11 @@ CRASH_UNIT = ["CRASH_ID", "UNIT_NBR"]
 VEHICLE = ["CRASH_ID", "UNIT_NBR", "VIN"]
 CONTRIBUTING_FACTORS = ["CONTRIB_FACTR_1_ID", "CONTRIB_FACTR_2_ID", "CONTRIB_FACTR_P1_ID"]
 DAMAGE_SCALES = ["VEH_DMAG_SCL_1_ID", "VEH_DMAG_SCL_2_ID"]
+
+# Columns of stored results.
+MEN_KILLED = "MALE_DEATH_COUNT"
+DRIVER_DEATHS = "COUNT_OF_DRIVER_DEATH_AND_AB_FAILURE"
+WITHOUT_WOMEN = "NO_FEMALE_ACCIDENT_COUNT"
+INJURIES, DEATHS, CASUALTIES = "AGG_INJURIES", "AGG_DEATHS", "AGG_COUNT"
+ALCOHOL_CRASHES = "ALCOHOL_CRASH_COUNT"
 # End of fixed values.

@@ -249,3 +249,58 @@ def test_empty_tables_give_empty_results(spark):
         assert analysis(empty).count() == 0, name
     assert analyses.top_state_without_women(empty).count() == 0
     assert rows(analyses.licensed_hit_and_run_count(empty)) == [(0,)]
+
+
+def test_men_without_a_crash_id_are_no_crash(spark):
+    men = {"PRSN_INJRY_SEV_ID": "KILLED", "PRSN_GNDR_ID": "MALE"}
+    given = [{"CRASH_ID": None}] * 4 + [{"CRASH_ID": 1}] * 3 + [{"CRASH_ID": 2}] * 2
+    tables = {"primary_person": r.persons(spark, *given, **men)}
+    assert rows(analyses.men_per_crash(tables)) == [(1, 3), (2, 2), (None, 0)]
+    assert rows(analyses.crashes_with_many_men(tables)) == [(1, 3)]
+    assert rows(analyses.crashes_with_many_men(tables, any_injury=True)) == [(1, 3)]
+
+
+def test_pairs_crashes_and_vehicles_are_counted_apart(spark):
+    tables = {
+        "units": r.units(
+            spark,
+            {"VIN": "V1"},
+            {"VIN": "V2"},
+            {"CRASH_ID": 2},
+            {"CRASH_ID": 3, "VEH_BODY_STYL_ID": "MOTORCYCLE"},
+            VEH_MAKE_ID="M",
+            VEH_HNR_FL="Y",
+            CONTRIB_FACTR_1_ID="Alcohol",
+            VEH_COLOR_ID="RED",
+            VEH_LIC_STATE_ID="TX",
+        ),
+        "primary_person": r.persons(
+            spark,
+            {"PRSN_NBR": 1},
+            {"PRSN_NBR": 2},
+            {"PRSN_NBR": 3, "DRVR_LIC_CLS_ID": "CLASS A"},
+            {"CRASH_ID": 3},
+            **LICENSED | DEAD_DRIVER,
+            DRVR_ZIP="07001",
+        ),
+        "charges": r.charges(spark, {"CHARGE": "SPEEDING"}, {"CRASH_ID": 3, "CHARGE": "TOO FAST"}),
+    }
+    made = lambda of, **more: rows(analyses.makes_with_driver_deaths(tables, of=of, **more))
+    assert (made("pairs"), made("crashes"), made("vehicles")) == ([("M", 7)], [("M", 2)], [("M", 3)])
+    no_bikes = F.col("VEH_BODY_STYL_ID").isNull()
+    assert made("pairs", only=no_bikes) == [("M", 6)] and made("crashes", only=no_bikes) == [("M", 1)]
+    zips = lambda **more: rows(analyses.zips_with_alcohol(tables, **more))
+    assert (zips(), zips(of="crashes"), zips(of="crashes", only=no_bikes)) == ([("07001", 7)], [("07001", 2)], [("07001", 1)])
+    with pytest.raises(ValueError, match="vehicles"):
+        zips(of="vehicles")
+    speed = lambda of: rows(analyses.makes_with_speed_charges(tables, of=of))
+    assert (speed("pairs"), speed("crashes"), speed("vehicles")) == ([("M", 7)], [("M", 2)], [("M", 3)])
+    assert analyses.hit_and_run_vehicles_with_licence(tables).count() == 3
+    folded = analyses.licensed_hit_and_run_folded(tables)
+    assert sorted(row["pairs"] for row in folded.collect()) == [1, 1, 1, 2, 2]
+
+
+def test_folded_pairs_expand_to_all_pairs(tables):
+    folded = analyses.licensed_hit_and_run_folded(tables)
+    again = folded.withColumn("i", F.explode(F.sequence(F.lit(1).cast("bigint"), "pairs"))).drop("i", "pairs")
+    assert rows(again) == rows(analyses.licensed_hit_and_run(tables))

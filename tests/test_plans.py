@@ -4,12 +4,11 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
-import __spark_entry__ as entry_points
 from crashlens.operators.joins import anti, count_pairs, join_per_key, semi
 from crashlens.operators.keys import duplicate_rows
-from crashlens.plans import analyses
+from crashlens.plans import analyses, analysis_queries, operator_queries  # noqa: F401  (they fill the catalogue)
+from crashlens.plans.catalog import QUERIES
 
-QUERIES = entry_points.queries()
 
 
 def plan(df):
@@ -121,3 +120,37 @@ def test_hot_key_on_both_sides_costs_no_pairs(spark, hot):
     assert sum(row["count"] for row in by_one.collect()) == total
     assert sum(row["count"] for row in count_pairs(hot, other, ["k"], ["g", "h"]).collect()) == total
     assert "skew=true" in plan(by_one).split("== Initial Plan ==")[0]
+
+
+def test_folded_pairs_of_a_hot_unit_stay_few(spark, hot):
+    """A third of all vehicles and of all licensed persons under one unit would make 4e10 pairs."""
+    units = hot.select(
+        F.col("k").alias("CRASH_ID"), F.lit(1).alias("UNIT_NBR"), F.col("v").cast("string").alias("VIN"), F.lit("Y").alias("VEH_HNR_FL")
+    )
+    persons = hot.select(
+        F.col("k").alias("CRASH_ID"),
+        F.lit(1).alias("UNIT_NBR"),
+        F.lit("DRIVER").alias("PRSN_TYPE_ID"),
+        F.concat(F.lit("CLASS "), "g").alias("DRVR_LIC_CLS_ID"),
+        F.lit("DRIVER LICENSE").alias("DRVR_LIC_TYPE_ID"),
+    )
+    tables = {"units": units, "primary_person": persons}
+    folded = analyses.licensed_hit_and_run_folded(tables)
+    found = folded.groupBy(F.col("VIN").substr(1, 2)).agg(F.sum("pairs").alias("pairs"))
+    size = dict(rows(hot.groupBy("k").count()))
+    assert sum(row["pairs"] for row in found.collect()) == sum(n * n for n in size.values())
+    assert "skew=true" in plan(found).split("== Initial Plan ==")[0]
+    crashes = analyses.hit_and_run_vehicles_with_licence(tables).groupBy(F.col("VIN").substr(1, 2)).count()
+    assert sum(row["count"] for row in crashes.collect()) == 600_000
+    assert "skew=true" in plan(crashes).split("== Initial Plan ==")[0]
+
+
+def test_nested_key_sets_scan_the_table_once(spark, stored, conf):
+    from crashlens.operators.keys import key_ladder
+
+    conf(spark__sql__autoBroadcastJoinThreshold="-1")
+    df = key_ladder(stored["charges"], {"unit": ["CRASH_ID", "UNIT_NBR"], "person": ["CRASH_ID", "UNIT_NBR", "PRSN_NBR"]})
+    df.collect()
+    final = plan(df).split("== Initial Plan ==")[0]
+    scans = [line for line in final.splitlines() if "FileScan" in line and "PRSN_NBR" in line]
+    assert len(scans) == 1 and "ReusedExchange" in final
