@@ -96,7 +96,53 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.withColumns({"law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")})
 
 
-@query()
+def _template_sql() -> str:
+    """Documents that hold the template of a benchmark item, as ``decontamination.contaminated`` with its defaults finds them."""
+    from crashlens.llm.decontamination import NAME, NUMBER, NUMBER_WORDS, TOKEN, UNIT, UNITS
+
+    quoted = lambda values: "(" + ", ".join(f"'{value}'" for value in values) + ")"
+    text = lambda value: "'" + value.replace("'", "''") + "'"
+    ends = "'.!?' || chr(10) || chr(39) || '\")] ' || chr(9) || chr(13)"
+    bare = lambda token: f"ltrim({token}, {ends})"
+    number = lambda token: f"(regexp_matches({token}, '^[0-9]') OR lower({token}) IN {quoted(NUMBER_WORDS)})"
+    template = f"""list_transform(tokens, lambda x, i: CASE WHEN {number(bare("x"))} THEN '{NUMBER}'
+        WHEN lower({bare("x")}) IN {quoted(UNITS)} AND i > 1 AND {number(bare("tokens[i - 1]"))} THEN '{UNIT}'
+        WHEN i > 1 AND length({bare("x")}) = length(x) AND {bare("x")}[1] <> lower({bare("x")}[1])
+            AND {bare("x")}[2] <> upper({bare("x")}[2]) THEN '{NAME}'
+        ELSE lower({bare("x")}) END)"""
+    typed = quoted((NUMBER, NAME, UNIT))
+    parted = lambda table, key: f"""SELECT {key}, tokens, {template} AS template FROM (
+        SELECT {key}, regexp_extract_all(coalesce(text, ''), {text(TOKEN)}) AS tokens FROM {table})"""
+    windows = lambda table, key: f"""SELECT {key}, place, template[place:place + 7] AS w FROM (
+        SELECT {key}, template, unnest(range(1, len(template) - 6)) AS place FROM {table})"""
+    return f"""
+WITH docs AS ({parted("documents", "doc_id")}), items AS ({parted("benchmark", "item_id")}),
+item_windows AS (SELECT * FROM ({windows("items", "item_id")}) WHERE 2 * len(list_filter(w, lambda x: x NOT IN {typed})) >= 8),
+totals AS (SELECT item_id, count(DISTINCT place) AS item_windows FROM item_windows GROUP BY item_id),
+met AS (
+    SELECT DISTINCT doc_id, item_id, d.place - i.place AS shift, i.place AS item_at
+    FROM ({windows("docs", "doc_id")}) d JOIN item_windows i USING (w)
+), covered AS (
+    SELECT DISTINCT doc_id, item_id, shift, item_at + k AS place FROM met, range(8) AS r(k)
+), slots AS (
+    SELECT doc_id, item_id, shift, i.template[place] AS kind, lower({bare("i.tokens[place]")}) AS asked,
+        lower({bare("d.tokens[place + shift]")}) AS given
+    FROM covered JOIN items i USING (item_id) JOIN docs d USING (doc_id) WHERE i.template[place] IN {typed}
+), judged AS (
+    SELECT doc_id, item_id, shift, count(*) AS n_slots, count(*) FILTER (WHERE asked <> given) AS changed_slots,
+        count(DISTINCT (kind, asked, given)) AS pairs, count(DISTINCT (kind, asked)) AS asked, count(DISTINCT (kind, given)) AS given
+    FROM slots GROUP BY doc_id, item_id, shift
+), consistent AS (
+    SELECT met.*, coalesce(n_slots, 0) AS n_slots, coalesce(changed_slots, 0) AS changed_slots
+    FROM met LEFT JOIN judged USING (doc_id, item_id, shift) WHERE coalesce(pairs = asked AND pairs = given, true)
+)
+SELECT doc_id, item_id, count(DISTINCT item_at) AS n_windows, any_value(item_windows) AS item_windows, max(n_slots) AS n_slots,
+    max(changed_slots) AS changed_slots, max(changed_slots) = 0 AS verbatim
+FROM consistent JOIN totals USING (item_id) GROUP BY doc_id, item_id
+HAVING count(DISTINCT item_at) >= least(6, any_value(item_windows))"""
+
+
+@query(_template_sql())
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from crashlens.llm.decontamination import contaminated
 
