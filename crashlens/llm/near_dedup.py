@@ -9,8 +9,8 @@ where they weigh over a fifth is similar to none. The others go by:
 
 1. equal texts become one document,
 2. in every bucket of a band, the members meet the member of smallest id; links join components,
-3. in buckets that still hold several components, members outside the largest meet all members of other components, in
-   blocks and where their weights allow the similarity,
+3. in buckets that still hold several components, members outside the largest meet those of other components, block against
+   block and where their weights allow the similarity; only links leave a task,
 4. components of all links are the classes.
 """
 
@@ -143,27 +143,59 @@ def verified(pairs: DataFrame, features: DataFrame, least: float) -> DataFrame:
     return joined.mapInArrow(_compare, "a long, b long, similarity double").where(F.col("similarity") >= least)
 
 
-def _meet(least: float):
-    """Pairs of a member and the members of a block that are in another component and may be similar enough."""
+def _links_between(asking: list[dict], block: list[dict], bucket: int, least: float) -> Iterator[tuple[int, int]]:
+    """Links of at least the similarity ``least`` between members of two blocks of a bucket, as many as join their components.
+
+    A pair is compared in the first band it shares, and where the weights of shingles that others have allow the similarity.
+    """
+    column = lambda rows, name: np.array([r[name] for r in rows])
+    ids, parts, totals, commons, open_ = (column(block, n) for n in ("id", "component", "total", "common", "open"))
+    bands = column(block, "bands")
+    keys = [np.frombuffer(r["keys"], np.uint64) for r in block]
+    owner = np.repeat(np.arange(len(block)), [len(k) for k in keys])
+    keys, weights = np.concatenate(keys), np.concatenate([np.frombuffer(r["weights"], np.float32) for r in block])
+    order = np.argsort(keys, kind="stable")
+    keys, weights, owner = keys[order], weights[order], owner[order]
+    joined: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while joined.get(x, x) != x:
+            x = joined[x]
+        return x
+
+    for row in asking:
+        most = np.minimum(commons, row["common"])
+        may = (parts != row["component"]) & ~(open_ & (ids < row["id"])) & (most >= least * (totals + row["total"] - most) * (1 - 1e-6))
+        shared = bands == np.array(row["bands"])
+        may &= bands[np.arange(len(block)), shared.argmax(axis=1)] == bucket
+        if not may.any():
+            continue
+        own, own_weights = np.frombuffer(row["keys"], np.uint64), np.frombuffer(row["weights"], np.float32)
+        first, last = np.searchsorted(keys, own), np.searchsorted(keys, own, side="right")
+        times = last - first
+        at = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times) + np.repeat(first, times)
+        common = np.bincount(owner[at], np.minimum(weights[at], np.repeat(own_weights, times)).astype(np.float64), len(block))
+        for k in np.flatnonzero(may & (common >= least * (totals + row["total"] - common))).tolist():
+            mine, other = find(row["component"]), find(int(parts[k]))
+            if mine != other:
+                joined[mine] = other
+                yield row["id"], int(ids[k])
 
+
+def _meet(least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = [], []
-            for row in batch.to_pylist():
-                ids, parts = np.array(row["ids"], np.int64), np.array(row["components"], np.int64)
-                totals, commons = np.array(row["totals"]), np.array(row["commons"])
-                most = np.minimum(commons, row["common"])
-                may = (parts != row["component"]) & (most >= least * (totals + row["total"] - most) * (1 - 1e-6))
-                partners = ids[may]
-                a.append(np.minimum(partners, row["id"]))
-                b.append(np.maximum(partners, row["id"]))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else [], pa.int64()) for x in (a, b)], ["a", "b"])
+            for k in range(batch.num_rows):
+                (row,) = batch.slice(k, 1).to_pylist()
+                links = list(_links_between(row["asking"], row["members"], row["bucket"], least))
+                columns = [pa.array([link[i] for link in links], pa.int64()) for i in (0, 1)]
+                yield pa.RecordBatch.from_arrays(columns, ["a", "b"])
 
     return run
 
 
-def _rest(members: DataFrame, labels: DataFrame, least: float, block: int) -> DataFrame:
-    """The pairs of a bucket that the first round left open: of different components, with weights that allow the similarity."""
+def _rest(members: DataFrame, labels: DataFrame, features: DataFrame, least: float, block_bytes: int) -> DataFrame:
+    """Links that the first round left open: in buckets of several components, those outside the largest against all others."""
     named = members.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
     sizes = named.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
     mixed_buckets = (
@@ -172,25 +204,25 @@ def _rest(members: DataFrame, labels: DataFrame, least: float, block: int) -> Da
         .where("parts > 1")
         .select("bucket", "largest")
     )
-    open_members = stored(named.join(mixed_buckets, "bucket"), "near-open")
-    # Blocks of similar weight: by bucket and a logarithmic class of the weight, salted by id within the class.
+    # Classes of similar weight: more than two classes apart, the weights alone forbid the similarity.
     width = -np.log(least) / 2
-    placed = open_members.withColumn("class", F.floor(F.log(F.col("total")) / width))
-    salted = placed.join(placed.groupBy("bucket", "class").agg(F.count(F.lit(1)).alias("n")), ["bucket", "class"])
-    blocks = salted.groupBy("bucket", "class", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / block)).alias("salt")).agg(
-        *(F.collect_list(c).alias(f"{c}s") for c in ("id", "component", "total", "common"))
-    )  # about ``block`` members each
-    asking = placed.where("component <> largest").select("bucket", "id", "component", "total", "common", "class")
-    near = asking.withColumn("class", F.explode(F.array(*(F.col("class") + F.lit(d) for d in range(-2, 3)))))
-    return near.join(blocks, ["bucket", "class"]).select(
-        "id", "component", "total", "common", "ids", "components", "totals", "commons"
-    ).mapInArrow(_meet(least), "a long, b long").distinct()
+    placed = named.join(mixed_buckets, "bucket").select(
+        "bucket", "id", "component", (F.col("component") != F.col("largest")).alias("open"), F.floor(F.log("total") / width).alias("class")
+    )
+    filled = stored(placed.join(features, "id"), "near-open")
+    weight = filled.groupBy("bucket", "class").agg(F.ceil(F.sum(F.octet_length("keys") * 1.5 + 200) / block_bytes).alias("blocks"))
+    salted = filled.join(weight, ["bucket", "class"]).withColumn("salt", F.pmod(F.xxhash64("id"), "blocks"))
+    member = F.struct("id", "component", "open", "total", "common", "bands", "keys", "weights")
+    blocks = salted.groupBy("bucket", "class", "salt").agg(F.collect_list(member).alias("members"))  # about block_bytes each
+    asking = salted.where("open").groupBy("bucket", "class", "salt").agg(F.collect_list(member).alias("asking"))
+    near = asking.select("bucket", "asking", F.explode(F.array(*(F.col("class") + F.lit(d) for d in range(-2, 3)))).alias("class"))
+    return near.join(blocks, ["bucket", "class"]).select("bucket", "asking", "members").mapInArrow(_meet(least), "a long, b long")
 
 
 def near_classes(
     docs: DataFrame,
     least: float = 0.8,
-    block: int = 1024,
+    block_bytes: int = 2 << 20,
     id_column: str = "doc_id",
     text_column: str = "text",
 ) -> DataFrame:
@@ -230,8 +262,8 @@ def near_classes(
     pairs = stars.join(weighed, "head").where(may).select(F.col("head").alias("a"), F.col("id").alias("b"))
     links = stored(verified(pairs, features, least), "near-links")
     labels = components(links, "near-first")
-    more = verified(_rest(buckets.select("bucket", "id", "total", "common"), labels, least, block), features, least)
-    final = components(links.union(stored(more, "near-more")), "near-all")
+    more = _rest(buckets.select("bucket", "id", "total"), labels, features, least, block_bytes)
+    final = components(links.select("a", "b").union(stored(more, "near-more")), "near-all")
 
     classes = members.join(final.withColumnRenamed("id", "rep"), "rep", "left").select("id", F.coalesce("component", "rep").alias("class_id"))
     return (

@@ -21,6 +21,9 @@ from crashlens.llm.common import slices, utf8_buffer
 #: Bits of a key. A range takes at least 8 of them, so the rest and the text's number in its slice fit into 64.
 KEY_BITS = 56
 SLICE_ROWS = 1 << 16
+
+#: Bytes of text whose keys are made at a time, and of packed keys that are sorted at a time.
+MAKE_BYTES, SORT_BYTES = 512 << 10, 4 << 20
 SEVERAL = (1 << 16) - 1  # instead of a text's number: all texts of the slice that have the key
 
 SENT = "range long, slice long, one binary, several binary, ids binary, digests binary, sizes binary, held binary, held_by binary"
@@ -50,8 +53,12 @@ def _send(keys_of: Keys, range_bits: int):
         for batch in slices(batches, "text"):
             for start in range(0, batch.num_rows, SLICE_ROWS - 1):
                 part = batch.slice(start, SLICE_ROWS - 1)
-                data, offsets = utf8_buffer(part.column("text"))
-                found = keys_of(data, offsets)
+                found, digests = [], []
+                for few in slices([part], "text", MAKE_BYTES):
+                    data, offsets = utf8_buffer(few.column("text"))
+                    found += keys_of(data, offsets)
+                    spans = zip(offsets.tolist(), offsets[1:].tolist(), strict=False)
+                    digests += [hashlib.md5(data[a:b], usedforsecurity=False).digest() for a, b in spans]
                 number += 1
                 keys = np.concatenate([k for k, _ in found])
                 text = np.repeat(np.arange(len(found)), [len(k) for k, _ in found])
@@ -62,11 +69,9 @@ def _send(keys_of: Keys, range_bits: int):
                 single, multi = first[count == 1], first[count > 1]
                 held_by = text[np.repeat(count > 1, count)].astype(np.uint16)
                 held = np.stack([keys[multi], count[count > 1].astype(np.uint64)])
-                digests = b"".join(
-                    hashlib.md5(data[a:b], usedforsecurity=False).digest() for a, b in zip(offsets.tolist(), offsets[1:].tolist(), strict=False)
-                )
                 sizes = np.array([(len(k), c.sum()) for k, c in found], np.int64)
-                rows = [(number & ((1 << range_bits) - 1), number, None, None, part.column("id").to_numpy(zero_copy_only=False).astype(np.int64).tobytes(), digests, sizes.tobytes(), held.tobytes(), held_by.tobytes())]
+                # What belongs to the slice travels with one of its ranges, each slice's with another.
+                rows = [(number * 0x9E3779B1 % ((1 << 61) - 1) & ((1 << range_bits) - 1), number, None, None, part.column("id").to_numpy(zero_copy_only=False).astype(np.int64).tobytes(), b"".join(digests), sizes.tobytes(), held.tobytes(), held_by.tobytes())]
                 packed = [
                     (keys[at] >> low_bits, ((keys[at] & np.uint64((1 << int(low_bits)) - 1)) << np.uint64(16)) | extra.astype(np.uint64))
                     for at, extra in ((single, text[single]), (multi, count[count > 1]))
@@ -81,46 +86,52 @@ def _send(keys_of: Keys, range_bits: int):
 
 
 def _answer(range_bits: int):
+    """Counts of keys, from rows sorted by range: some ranges at a time, so a task holds few of its keys."""
     low_bits = np.uint64(KEY_BITS - range_bits)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def counted(rows: list[dict]) -> Iterator[tuple]:
         keys, extra, source, several = [], [], [], []
-        numbers = []
-        for batch in batches:
-            passed = []
-            for row in batch.to_pylist():
-                if row["ids"] is not None:
-                    passed.append((row["slice"], None, None, None, *(row[c] for c in ("ids", "digests", "sizes", "held", "held_by"))))
-                    continue
-                for packed, many in ((row["one"], False), (row["several"], True)):
-                    if packed:
-                        entries = np.frombuffer(packed, np.uint64)
-                        keys.append((entries >> np.uint64(16)) | (np.uint64(row["range"]) << low_bits))
-                        extra.append((entries & np.uint64(SEVERAL)).astype(np.int64))
-                        source.append(np.full(len(entries), len(numbers), np.int32))
-                        several.append(np.full(len(entries), many))
-                numbers.append(row["slice"])
-            yield _table(passed, ANSWER)
-        if not keys:
-            return
+        for n, row in enumerate(rows):
+            for packed, many in ((row["one"], False), (row["several"], True)):
+                if packed:
+                    entries = np.frombuffer(packed, np.uint64)
+                    keys.append((entries >> np.uint64(16)) | (np.uint64(row["range"]) << low_bits))
+                    extra.append((entries & np.uint64(SEVERAL)).astype(np.int32))
+                    source.append(np.full(len(entries), n, np.int32))
+                    several.append(np.full(len(entries), many))
         keys, extra, source, several = (np.concatenate(x) for x in (keys, extra, source, several))
         order = np.argsort(keys, kind="stable")
         keys, extra, source, several = keys[order], extra[order], source[order], several[order]
         first = _runs(keys)
-        total = np.add.reduceat(np.where(several, extra, 1), first)
+        total = np.add.reduceat(np.where(several, extra, 1).astype(np.int64), first)
         total = np.repeat(total, np.diff(np.r_[first, len(keys)]))
         shared = np.flatnonzero(total > 1)
-        shared = shared[np.argsort(source[shared], kind="stable")]
-        bounds = [*_runs(source[shared]).tolist(), len(shared)] if len(shared) else [0]
-        rows = []
+        slice_of = np.array([row["slice"] for row in rows])[source[shared]]
+        order = np.argsort(slice_of, kind="stable")
+        shared, slice_of = shared[order], slice_of[order]
+        bounds = [*_runs(slice_of).tolist(), len(shared)] if len(shared) else [0]
         for a, b in zip(bounds, bounds[1:], strict=False):
             at = shared[a:b]
             texts = np.where(several[at], SEVERAL, extra[at]).astype(np.uint16)
-            rows.append((numbers[source[at[0]]], texts.tobytes(), keys[at].tobytes(), total[at].astype(np.int64).tobytes(), None, None, None, None, None))
-            if len(rows) >= 1000:
-                yield _table(rows, ANSWER)
-                rows = []
-        yield _table(rows, ANSWER)
+            yield int(slice_of[a]), texts.tobytes(), keys[at].tobytes(), total[at].tobytes(), None, None, None, None, None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict] = []
+        size = 0
+        for batch in batches:
+            out = []
+            for row in batch.to_pylist():
+                if row["ids"] is not None:
+                    out.append((row["slice"], None, None, None, *(row[c] for c in ("ids", "digests", "sizes", "held", "held_by"))))
+                    continue
+                if held and size > SORT_BYTES and row["range"] != held[-1]["range"]:
+                    out += counted(held)
+                    held, size = [], 0
+                held.append(row)
+                size += len(row["one"]) + len(row["several"])
+            yield _table(out, ANSWER)
+        if held:
+            yield _table(list(counted(held)), ANSWER)
 
     return run
 
@@ -181,6 +192,7 @@ def shared_keys(docs: DataFrame, keys_of: Keys, keep: Callable[[int, int, np.nda
         docs.select("id", "text")
         .mapInArrow(_send(keys_of, range_bits), SENT)
         .repartition("range")
+        .sortWithinPartitions("range")
         .mapInArrow(_answer(range_bits), ANSWER)
         .repartition("slice")
         .sortWithinPartitions("slice")
