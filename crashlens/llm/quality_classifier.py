@@ -72,7 +72,7 @@ class OrdinalModel:
         return 1 / (1 + np.exp(np.clip(self.thresholds[None, :] - scores[:, None], -500, 500)))
 
 
-def fit_ordinal(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, steps: int = 200, penalty: float = 1e-6) -> OrdinalModel:
+def fit_ordinal(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, steps: int = 150, penalty: float = 1e-6) -> OrdinalModel:
     """Maximum likelihood by Adam steps over all rows; each row has table indices and their values."""
     n, levels = len(rows), max(int(grades.max(initial=1)) + 1, 2)
     counts = np.bincount(grades, minlength=levels) + 1.0
@@ -82,16 +82,17 @@ def fit_ordinal(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, s
     weights = np.zeros(SIZE)
     if not n:
         return OrdinalModel(weights, start)
-    index = np.concatenate([r[0] for r in rows])
-    value = np.concatenate([r[1] for r in rows]).astype(np.float64)
-    row = np.repeat(np.arange(n), [len(r[0]) for r in rows])
+    index = np.concatenate([r[0] for r in rows]).astype(np.intp)
+    value = np.concatenate([r[1] for r in rows]).astype(np.float32)
+    sizes = np.array([len(r[0]) for r in rows])
+    starts = np.cumsum(sizes) - sizes
 
     def thresholds(p: np.ndarray) -> np.ndarray:
         return np.cumsum(np.r_[p[0], np.exp(p[1:])])
 
     moments = [(np.zeros_like(x), np.zeros_like(x)) for x in (weights, params)]
     for step in range(1, steps + 1):
-        score = np.bincount(row, value * weights[index], n)
+        score = np.add.reduceat(value * weights[index], starts)
         edges = np.r_[-np.inf, thresholds(params), np.inf]
         low, high = (1 / (1 + np.exp(np.clip(score - edges[grades + k], -500, 500))) for k in (0, 1))
         p = np.maximum(high - low, 1e-12)
@@ -100,7 +101,7 @@ def fit_ordinal(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, s
         d_edges = np.bincount(grades + 1, d_high, levels + 1) + np.bincount(grades, d_low, levels + 1)
         after = np.cumsum(d_edges[1:-1][::-1])[::-1]
         d_params = np.r_[after[0], after[1:] * np.exp(params[1:])]
-        d_weights = np.bincount(index, value * d_score[row], len(weights)) + penalty * weights
+        d_weights = np.bincount(index, value * np.repeat(d_score.astype(np.float32), sizes), len(weights)) + penalty * weights
         for x, g, (m, v), rate in ((weights, d_weights, moments[0], 0.5), (params, d_params, moments[1], 0.05)):
             m += 0.1 * (g - m)
             v += 0.01 * (g * g - v)
@@ -112,8 +113,9 @@ def held_out(id_column: str = "doc_id"):
     return F.crc32(F.coalesce(F.col(f"`{id_column}`").cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
-def labelled(docs: DataFrame, labels: DataFrame, fit_rows: int, id_column: str, text_column: str) -> DataFrame:
-    """Texts and grades of at most ``fit_rows`` rated documents: those of smallest hash that are not held out.
+def labelled(docs: DataFrame, labels: DataFrame, fit_rows: int, most_bytes: int, id_column: str, text_column: str) -> DataFrame:
+    """Texts and grades of at most ``fit_rows`` rated documents: those of smallest hash that are not held out; texts over ``most_bytes``
+    bytes are left out of the sample.
 
     Grades from the ratings: 0 is low quality, 1 is toxic and otherwise good, 2 is good.
     """
@@ -127,13 +129,16 @@ def labelled(docs: DataFrame, labels: DataFrame, fit_rows: int, id_column: str,
         .select("id", F.when(F.col("quality") < 1, 0).when(F.col("toxic") > 0, 1).otherwise(2).alias("grade"))
     )
     # fit_rows bounds what is broadcast.
-    return docs.select(key.cast("long").alias("id"), F.col(f"`{text_column}`").alias("text")).join(F.broadcast(chosen), "id")
+    text = F.col(f"`{text_column}`")
+    short = docs.where(F.coalesce(F.octet_length(text), F.lit(0)) <= most_bytes)
+    return short.select(key.cast("long").alias("id"), text.alias("text")).join(F.broadcast(chosen), "id")
 
 
 def fit(
     docs: DataFrame,
     labels: DataFrame,
-    fit_rows: int = 3000,
+    fit_rows: int = 2000,
+    most_bytes: int = 20_000,
     id_column: str = "doc_id",
     text_column: str = "text",
 ) -> OrdinalModel:
@@ -161,7 +166,7 @@ def fit(
             )
 
     rows = (
-        labelled(docs, labels, fit_rows, id_column, text_column)
+        labelled(docs, labels, fit_rows, most_bytes, id_column, text_column)
         .mapInArrow(features, "id long, grade int, i binary, v binary")
         .limit(2 * fit_rows)
         .collect()
