@@ -39,6 +39,11 @@ nav li links 0|article p prose 1|footer legal 0
 div.popup prose 0|div.header site 0|div.entry p prose 1|div.entry p prose 1|div.entry p prose 1|ol.comment-list li p prose 0|ol.comment-list li p prose 0|div.comment-form form short 0|div.footer short 0
 div.notice p prose 0|main article h1 title 1|main article p prose 1|main article ul li prose 1|main aside p prose 0|main div.advert p prose 0|main form label short 0|footer div legal 0
 div.nav links 0|div p prose 1|div p prose 1|div p short 1|div.discussion p prose 0|div.bottom legal 0
+nav li links 0|article h1 title 1|article p prose 1|article div.ad prose 0|article p prose 1|article section.comments p prose 0|footer legal 0
+div.ad prose 0|article h1 title 1|article p prose 1|article aside p prose 0|article p short 1|article form p short 0|article footer p short 0|footer legal 0
+div.menu links 0|div.article h2 title 1|div.article p prose 1|div.article div.ads p prose 0|div.article p prose 1|div.article div.comment p prose 0|div.footer legal 0
+header site 0|main h1 title 1|main p prose 1|main div.advertisement prose 0|main p short 1|main div.related p prose 0|main ul.comments li prose 0|footer legal 0
+article header h1 title 1|article nav ul li links 0|article p prose 1|article div.notice prose 0|article ul li short 1|article p prose 1|article div.share short 0|aside p prose 0
 header p prose 0|div.article-content p prose 1|div.article-content figure figcaption short 1|div.article-content p prose 1|div.reader-comments div prose 0|div.subscribe short 0|footer p legal 0
 """.strip().split("\n")
 
@@ -47,8 +52,17 @@ INSIDE = frozenset("article main".split())
 OUTSIDE = frozenset("nav aside footer form button select dialog".split())
 OUTSIDE_NAMES = frozenset("ad advert advertisement comment sidebar cookie notice banner promo share related newsletter menu nav footer".split())
 
+#: Words of classes and ids that say of a block that it is no main text, or that it is.
+BESIDE = OUTSIDE_NAMES | frozenset(
+    "adv advertising sponsor sponsored sponsorship consent gdpr alert popup modal overlay breadcrumb navigation navbar topbar toolbar header "
+    "masthead copyright legal disclaimer social sharing recommended recommendation recommend suggestion popular trending widget aside respond "
+    "reply discussion disqus thread response reader feedback form login signup subscribe subscription search pagination pager tag cloud meta "
+    "byline author bio rating review skip".split()
+)
+MAIN = frozenset("article content main post entry story body text blog prose".split())
 
-def training_pages(copies: int = 6) -> list[tuple[list[Block], list[int]]]:
+
+def training_pages(copies: int = 12) -> list[tuple[list[Block], list[int]]]:
     """The layouts with texts of several lengths; words are of random letters, so that no word tells a label."""
     draw = random.Random(5)
     word = lambda: "".join(draw.choice("aeinorstldu") for _ in range(draw.randint(2, 9)))
@@ -104,6 +118,16 @@ def features(found: list[Block]) -> list[list[int]]:
             "first" if k == 0 else "last" if k == len(found) - 1 else "middle",
             "bias",
         }
+        parts |= {
+            name
+            for name, holds in (
+                ("beside name", b.names & BESIDE),
+                ("main name", b.names & MAIN),
+                ("beside tag", OUTSIDE.intersection(b.path)),
+                ("main tag", INSIDE.intersection(b.path)),
+            )
+            if holds
+        }
         if "©" in b.text[:40]:
             parts.add("copyright")
         for part in parts:
@@ -140,7 +164,7 @@ class Chain:
         return labels[::-1]
 
 
-def train(pages: Iterable[tuple[list[list[int]], list[int]]], rounds: int = 120, penalty: float = 1e-3) -> Chain:
+def train(pages: Iterable[tuple[list[list[int]], list[int]]], rounds: int = 250, penalty: float = 1e-4) -> Chain:
     """Maximum conditional likelihood of the labels of whole pages, by forward-backward over all pages at once and Adam."""
     pages = sorted((p for p in pages if p[0]), key=lambda p: -len(p[0]))
     weights, steps = np.zeros(1 << BITS), np.zeros((2, 2))
@@ -182,7 +206,7 @@ def train(pages: Iterable[tuple[list[list[int]], list[int]]], rounds: int = 120,
     return Chain(weights, steps)
 
 
-def fit(pages: DataFrame, sample_rows: int = 200, id_column: str = "page_id", html_column: str = "html") -> Chain:
+def fit(pages: DataFrame, sample_rows: int = 100, id_column: str = "page_id", html_column: str = "html") -> Chain:
     """Train on the labelled layouts and on about ``sample_rows`` pages with sectioning tags, by hash; never on over twice as many.
 
     The sampled pages are parted into features where they are read; the driver gets these.
