@@ -15,7 +15,10 @@ from pyspark.sql import DataFrame, SparkSession
 from crashlens.sources.sinks import scratch_path, write_result
 
 #: Bytes of text that a task works on at a time; a longer text is worked on alone.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
+
+#: The session option by which Spark removes a query's shuffle files when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 _SHIPPED: set[str] = set()
 
@@ -44,9 +47,16 @@ def ship(spark: SparkSession) -> None:
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet to the folder that ``spark.checkpoint.dir`` names and return it read back.
 
-    This cuts the lineage: an executor lost later costs a reread, not the work so far.
+    This cuts the lineage: an executor lost later costs a reread, not the work so far. The shuffle files of the plan go once it
+    has been written.
     """
-    return write_result(df, scratch_path(df.sparkSession, name))
+    conf = df.sparkSession.conf
+    before = conf.get(CLEANUP, "false")
+    conf.set(CLEANUP, "true")
+    try:
+        return write_result(df, scratch_path(df.sparkSession, name))
+    finally:
+        conf.set(CLEANUP, before)
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:

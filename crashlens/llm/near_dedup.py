@@ -245,7 +245,10 @@ def near_classes(
 
     told = stored(shared_keys(known, shingle_sets, keep, documents), "near-shared")
     equal = told.groupBy("digest").agg(F.min("id").alias("rep"))
-    members = told.groupBy("id").agg(F.min("digest").alias("digest")).join(equal, "digest").select("id", "rep")
+    # One more join column gives the small side an exchange of its own, so that Spark can split a text of many copies.
+    part = F.pmod(F.xxhash64("digest"), F.lit(2)).alias("part")
+    named = told.groupBy("id").agg(F.min("digest").alias("digest")).select("id", "digest", part)
+    members = named.join(equal.select("digest", "rep", part), ["digest", "part"]).select("id", "rep")
     members = stored(members, "near-members")
     reps = told.join(members.where("id = rep"), "id").where("n_keys > 0").groupBy("id").agg(
         F.min_by(F.struct("keys", "counts"), "digest").alias("k")

@@ -8,7 +8,7 @@ Texts with characters beyond the plain ones below go to the tokenizer whole.
 from __future__ import annotations
 
 import re
-from functools import cache
+from functools import cache, cached_property
 
 import numpy as np
 import regex
@@ -19,29 +19,29 @@ NOT_PLAIN = re.compile("[^\t\n\r\x20-\x7e\xa1-\xac\xae-\xffŒœ]")
 CONTROLS = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]")
 WORD_END = "</w>"
 
-#: Words kept in a worker; beyond that it starts anew.
-KEPT_WORDS = 600_000
+#: Chunks and pretokens kept in a worker; beyond that it starts anew.
+KEPT_CHUNKS, KEPT_PRETOKENS = 450_000, 450_000
 
 
 class Encoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.path = path
         self.by_word = Tokenizer.from_file(path)  # the same merges, for pretokens parted by spaces
         self.by_word.normalizer = normalizers.Sequence([])
         self.by_word.pre_tokenizer = pre_tokenizers.Sequence(
             [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
         )
-        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
-        self.ends[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith(WORD_END)]] = True
+        self.ends = np.zeros(self.by_word.get_vocab_size(), bool)
+        self.ends[[i for token, i in self.by_word.get_vocab().items() if token.endswith(WORD_END)]] = True
         self.pretokens: dict[str, bytes] = {}
         self.chunks: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text, as 16-bit numbers."""
-        for kept in (self.chunks, self.pretokens):
-            if len(kept) > KEPT_WORDS:
+        for kept, most in ((self.chunks, KEPT_CHUNKS), (self.pretokens, KEPT_PRETOKENS)):
+            if len(kept) > most:
                 kept.clear()
         parted = [text.lower().split() if plain(text) else None for text in texts]
         self._learn(set().union(*filter(None, parted)).difference(self.chunks))
@@ -51,6 +51,13 @@ class Encoder:
             for text, words in zip(texts, parted, strict=True)
         ]
 
+    @cached_property
+    def tokenizer(self):
+        """The tokenizer as it is, for texts that are not plain."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def _whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u2")
 
