@@ -22,8 +22,8 @@ from crashlens.llm.common import slices, utf8_buffer
 KEY_BITS = 56
 SLICE_ROWS = 1 << 16
 
-#: Bytes of text whose keys are made at a time, and of packed keys that are sorted at a time.
-MAKE_BYTES, SORT_BYTES = 512 << 10, 4 << 20
+#: Bytes of text in a slice, of text whose keys are made at a time, and of packed keys that are sorted at a time.
+SEND_BYTES, MAKE_BYTES, SORT_BYTES = 4 << 20, 512 << 10, 4 << 20
 SEVERAL = (1 << 16) - 1  # instead of a text's number: all texts of the slice that have the key
 
 SENT = "range long, slice long, one binary, several binary, ids binary, digests binary, sizes binary, held binary, held_by binary"
@@ -50,7 +50,7 @@ def _send(keys_of: Keys, range_bits: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SEND_BYTES):
             for start in range(0, batch.num_rows, SLICE_ROWS - 1):
                 part = batch.slice(start, SLICE_ROWS - 1)
                 found, digests = [], []
