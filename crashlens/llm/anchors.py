@@ -1,7 +1,7 @@
 """Anchor keys: which part of a text a window of bytes belongs to, by the bytes in it only.
 
 The key of a ``WINDOW``-byte string is the smallest hash of the ``GRAM``-byte strings in it. Equal windows have equal keys, so two texts
-that share a window share a key, and consecutive windows mostly have the same one: a run of about fourteen.
+that share a window share a key, and consecutive windows mostly have the same one: a run of about sixteen.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ import numpy as np
 from crashlens.llm.shared_keys import KEY_BITS
 from crashlens.llm.shingles import mixed
 
-WINDOW, GRAM = 50, 24
+WINDOW, GRAM = 50, 20
 PLACES = WINDOW - GRAM + 1
 
 _BASE = 0x9E3779B97F4A7C15

@@ -22,7 +22,10 @@ from crashlens.llm.shingles import mixed
 from crashlens.llm.suffix_sort import earlier_windows
 
 #: Bytes of segments sorted at a time, and of text cut at a time.
-SORT_BYTES, CUT_BYTES = 2 << 20, 1 << 20
+SORT_BYTES, CUT_BYTES = 1 << 20, 1 << 20
+
+#: Rows of an id and a digest that are broadcast; beyond, Spark joins by shuffle.
+BROADCAST_ROWS = 500_000
 
 #: A span that takes a whole text.
 WHOLE = 1 << 60
@@ -122,7 +125,7 @@ def _sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _hot_spans(segments: DataFrame) -> DataFrame:
-    """Spans for keys of very many documents: equal segments meet as one row, and their windows by their bytes."""
+    """Arrays of spans for keys of very many documents: equal segments meet as one row, and their windows by their bytes."""
     different = segments.groupBy("key", "segment").agg(F.min("id").alias("first"))
     places = F.sequence(F.lit(0), F.length("segment") - WINDOW)
     windows = stored(
@@ -132,37 +135,52 @@ def _hot_spans(segments: DataFrame) -> DataFrame:
         "suffix-windows",
     )
     least = windows.groupBy("window").agg(F.min("first").alias("least"))
+    window = F.struct(F.col("inside").cast("long").alias("start"), (F.col("inside") + WINDOW).cast("long").alias("end"), "least")
     known = (
         windows.join(least, "window")
         .groupBy("key", "segment")
-        .agg(F.array_sort(F.collect_list(F.struct("inside", "least"))).alias("found"), F.min("least").alias("least"))
+        .agg(F.collect_list(window).alias("found"), F.min("least").alias("least"))  # the windows of one segment
     )
-    met = segments.join(known, ["key", "segment"]).where(F.col("least") < F.col("id"))
-    return met.select("id", "digest", "start", F.explode(F.filter("found", lambda w: w["least"] < F.col("id"))).alias("w")).select(
-        "id", "digest", (F.col("start") + F.col("w.inside")).alias("start"), (F.col("start") + F.col("w.inside") + WINDOW).alias("end")
+    # One more join column gives the small side an exchange of its own, so that Spark can split a hot segment.
+    part = F.pmod(F.col("key"), F.lit(2)).alias("part")
+    met = segments.select("*", part).join(known.select("*", part), ["key", "segment", "part"]).where(F.col("least") < F.col("id"))
+    spans = F.transform(
+        F.filter("found", lambda w: w["least"] < F.col("id")),
+        lambda w: F.struct((F.col("start") + w["start"]).alias("start"), (F.col("start") + w["end"]).alias("end")),
     )
+    return met.select("id", "digest", spans.alias("spans"))
 
 
 def repeated_spans(docs: DataFrame, rows: int, hot_documents: int) -> DataFrame:
-    """Spans to remove (id, digest, start, end), which may overlap; docs: id, not null, digest, text."""
+    """Spans to remove (id, digest, arrays of start and end), which may overlap; docs: id, not null, digest, text."""
     told = stored(
         shared_keys(docs, anchor_keys, lambda n_keys, n_total, keys, counts: len(keys) > 0, rows).withColumnRenamed("id", "told_id"),
         "suffix-shared",
     )
+    # The first of equal texts stays; copies are found by id and digest, so many copies of one text do not meet in one task.
     firsts = told.groupBy("digest").agg(F.min("told_id").alias("first_id")).withColumnRenamed("digest", "first_digest")
-    told = told.join(firsts, F.col("digest") == F.col("first_digest")).withColumnRenamed("digest", "told_digest")
-    copies = told.where("told_id > first_id").select(
-        F.col("told_id").alias("id"), F.col("told_digest").alias("digest"), F.lit(0).cast("long").alias("start"), F.lit(WHOLE).alias("end")
+    is_first = (F.col("told_id") == F.col("first_id")) & (F.col("digest") == F.col("first_digest"))
+    copies = told.select("told_id", "digest").join(firsts, is_first, "left_anti").select(
+        F.col("told_id").alias("id"),
+        "digest",
+        F.array(F.struct(F.lit(0).cast("long").alias("start"), F.lit(WHOLE).alias("end"))).alias("spans"),
     )
+    told = told.join(firsts, is_first, "left_semi").withColumnRenamed("digest", "told_digest")
     same = (F.col("id") == F.col("told_id")) & (F.col("digest") == F.col("told_digest"))
-    texts = docs.join(told.where("told_id = first_id").dropDuplicates(["told_id", "told_digest"]), same)
-    hot_texts = texts.where(F.col("most") > hot_documents)
+    told = told.dropDuplicates(["told_id", "told_digest"])
+    texts = docs.join(told, same)
     columns = ["id", "digest", "text", "keys", "counts"]
     sorted_segments = texts.select(columns).mapInArrow(_cut(False, hot_documents), CUT).repartition("key").sortWithinPartitions("key")
-    spans = sorted_segments.mapInArrow(_sort, SPANS)
-    hot_segments = stored(hot_texts.select(columns).mapInArrow(_cut(True, hot_documents), CUT), "suffix-hot")
-    if not hot_segments.isEmpty():
-        spans = spans.union(_hot_spans(hot_segments))
+    spans = stored(sorted_segments.mapInArrow(_sort, SPANS), "suffix-spans").select(
+        "id", "digest", F.array(F.struct("start", "end")).alias("spans")
+    )
+    hot = told.where(F.col("most") > hot_documents)
+    if (hot_rows := hot.count()) > 0:
+        # Few documents with hot keys: only their texts move. Their ids are narrow rows, broadcast up to a number.
+        chosen = docs.join(F.broadcast(hot.select("told_id", "told_digest")), same, "left_semi") if hot_rows <= BROADCAST_ROWS else docs
+        hot_texts = chosen.join(hot, same)
+        hot_segments = stored(hot_texts.select(columns).mapInArrow(_cut(True, hot_documents), CUT), "suffix-hot")
+        spans = spans.union(stored(_hot_spans(hot_segments), "suffix-hot-spans"))
     return spans.union(copies)
 
 
@@ -192,7 +210,7 @@ def with_spans(docs: DataFrame, hot_documents: int, id_column: str, text_column:
     spans = (
         repeated_spans(rows.where(F.col("id").isNotNull()), docs.count(), hot_documents)
         .groupBy("id", "digest")
-        .agg(F.collect_list(F.struct("start", "end")).alias("__spans"))  # of one document
+        .agg(F.flatten(F.collect_list("spans")).alias("__spans"))  # of one document
         .withColumnsRenamed({"id": "__id", "digest": "__digest"})
     )
     digest = F.unhex(F.md5(F.coalesce(F.col(f"`{text_column}`"), F.lit(""))))
@@ -200,10 +218,11 @@ def with_spans(docs: DataFrame, hot_documents: int, id_column: str, text_column:
     return docs.join(spans, same, "left").drop("__id", "__digest")
 
 
-def remove_repeats(docs: DataFrame, hot_documents: int = 1024, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, hot_documents: int = 20_000, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Every document without the bytes of 50-byte strings that start in a document of smaller id.
 
-    ``hot_documents``: keys of more documents than this go the way for hot keys; the result is the same. A null text is empty.
+    ``hot_documents``: keys of more documents than this, whose segments would be over some MB in a task, go the way for hot keys;
+    the result is the same. A null text is empty.
     Texts of under 50 bytes stay as they are. A document without an id is compared with none. Rows of the same id are not
     smaller than one another: each keeps what no smaller id has. An empty table gives no rows; other columns are not read.
 
@@ -222,7 +241,7 @@ def remove_repeats(docs: DataFrame, hot_documents: int = 1024, id_column: str =
     return found.mapInArrow(run, "id long, n_bytes long, n_removed long, n_spans long, kept binary").withColumnRenamed("id", id_column)
 
 
-def clean(docs: DataFrame, hot_documents: int = 1024, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def clean(docs: DataFrame, hot_documents: int = 20_000, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The rows with all their columns and what ``remove_repeats`` leaves of the text.
 
     Bytes of a character that was cut go with it. A row of which nothing is left goes; one that was empty before stays.

@@ -9,6 +9,7 @@ from __future__ import annotations
 import numpy as np
 
 from crashlens.llm.anchors import WINDOW, Prefixes
+from crashlens.llm.shingles import mixed
 
 
 def compare(prefixes: Prefixes, x: np.ndarray, y: np.ndarray, x_length: np.ndarray, y_length: np.ndarray) -> np.ndarray:
@@ -70,13 +71,40 @@ def same_bytes(data: np.ndarray, x: np.ndarray, y: np.ndarray, length: np.ndarra
     return same
 
 
-def classes(prefixes: Prefixes, place: np.ndarray, length: np.ndarray, group: np.ndarray) -> np.ndarray:
+def _candidates(
+    prefixes: Prefixes, place: np.ndarray, length: np.ndarray, group: np.ndarray, owner: np.ndarray
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Strings to sort, and strings that repeat one of them in the same document, with that one.
+
+    A string of whose hash there is no other in its group is equal to none and is left out.
+    """
+    salt = group.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + length.astype(np.uint64)
+    told = mixed(prefixes.of(place, length) ^ mixed(salt))
+    order = np.lexsort((owner, told))
+    told, owner = told[order], owner[order]
+    same = told[1:] == told[:-1]
+    held = np.r_[same, False] | np.r_[False, same]
+    again = np.r_[False, same & (owner[1:] == owner[:-1])]
+    first = order[np.maximum.accumulate(np.where(again, 0, np.arange(len(order))))]
+    repeats = np.flatnonzero(again)
+    repeats = repeats[same_bytes(prefixes.data, place[order[repeats]], place[first[repeats]], length[order[repeats]])]
+    held[repeats] = False
+    return np.sort(order[held]), order[repeats], first[repeats]
+
+
+def classes(prefixes: Prefixes, place: np.ndarray, length: np.ndarray, group: np.ndarray, owner: np.ndarray) -> np.ndarray:
     """A class number for each string: equal for equal strings of a group (``group`` ascending), else different.
 
-    Neighbours in the sorted order whose hashes agree are compared byte by byte, so a collision of hashes joins nothing.
+    Only strings that can be equal to one of another document (``owner``) are sorted, a repeated one of a document once. Neighbours
+    in the sorted order whose hashes agree are compared byte by byte, so a collision of hashes joins nothing.
     """
+    number = np.arange(len(place))
+    if not len(place):
+        return number
+    chosen, repeats, repeated = _candidates(prefixes, place, length, group, owner)
+    place, length, group = place[chosen], length[chosen], group[chosen]
     if not len(place):
-        return np.zeros(0, np.int64)
+        return number
     starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
     order = sort_in_groups(prefixes, place, length, starts)
     x, y = order[:-1], order[1:]
@@ -85,8 +113,9 @@ def classes(prefixes: Prefixes, place: np.ndarray, length: np.ndarray, group: np
     at = at[prefixes.of(place[x[at]], length[x[at]]) == prefixes.of(place[y[at]], length[y[at]])]
     same[:] = False
     same[at[same_bytes(prefixes.data, place[x[at]], place[y[at]], length[x[at]])]] = True
-    number = np.empty(len(place), np.int64)
-    number[order] = np.cumsum(np.r_[False, ~same])
+    first = np.flatnonzero(np.r_[True, ~same])
+    number[chosen[order]] = np.repeat(chosen[order[first]], np.diff(np.r_[first, len(order)]))
+    number[repeats] = number[repeated]
     return number
 
 
@@ -105,10 +134,9 @@ def earlier_windows(data: np.ndarray, offsets: np.ndarray, keys: np.ndarray, ids
     """
     prefixes = Prefixes(data)
     begin, length = offsets[:-1], np.diff(offsets)
-    whole = classes(prefixes, begin, length, keys)
+    whole = classes(prefixes, begin, length, keys, ids)
     first_id = _least(ids, whole)
-    _, one = np.unique(whole, return_index=True)  # a segment of each class
-    one = np.sort(one)
+    one = np.flatnonzero(whole == np.arange(len(whole)))  # a class has the number of one of its segments
     lone = np.flatnonzero(np.r_[True, keys[one][1:] != keys[one][:-1]])
     several = one[np.repeat(np.diff(np.r_[lone, len(one)]) > 1, np.diff(np.r_[lone, len(one)]))]
 
@@ -130,7 +158,7 @@ def earlier_windows(data: np.ndarray, offsets: np.ndarray, keys: np.ndarray, ids
     size = np.bincount(group)[group] if len(group) else group
     shared = size > 1
     segment, inside, place, group = segment[shared], inside[shared], place[shared], group[shared]
-    number = classes(prefixes, place, np.full(len(place), WINDOW), group)
+    number = classes(prefixes, place, np.full(len(place), WINDOW), group, ids[segment])
     first = _least(first_id[segment], number)
 
     # Back to all segments: the smallest id of each window of a class of segments.
