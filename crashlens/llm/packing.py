@@ -76,7 +76,7 @@ def tokenize(docs: DataFrame, vocabulary: str, id_column: str, text_column: str,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, used = TaskContext.get().partitionId(), {}
         encode = encoder(vocabulary).encode
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", 4 << 20):
             data, counts, starts = [], [], []
             sources = batch.column("source").to_pylist()
             for ids, source in zip(encode(texts(batch.column("text"))), sources, strict=True):

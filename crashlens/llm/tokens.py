@@ -20,7 +20,7 @@ CONTROLS = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]")
 WORD_END = "</w>"
 
 #: Chunks and pretokens kept in a worker; beyond that it starts anew.
-KEPT_CHUNKS, KEPT_PRETOKENS = 450_000, 450_000
+KEPT_CHUNKS, KEPT_PRETOKENS = 600_000, 600_000
 
 
 class Encoder:
