@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 #: Names of elements.
@@ -12,12 +13,17 @@ INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data dfn em font i
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CLOSES_ITSELF = frozenset("p li dt dd tr td th option h1 h2 h3 h4 h5 h6".split())
 
-_RAW = "script|style|title|textarea|template|noscript|iframe|svg"
+#: Elements of raw text, which goes to their end tag or the end of the page, and those whose content is markup that is not shown.
+RAW = frozenset("script style title textarea iframe".split())
+HIDDEN = frozenset("svg template noscript".split())
+
+# A quote opens a value only after "="; one that never closes is part of an unquoted value.
+_ATTRIBUTES = r"(?:[\s/]+|=?[^\s/>=]+(?:\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s>]*))?|=)*+"
 _MARKUP = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({_RAW})\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)",
-    re.DOTALL | re.IGNORECASE,
+    rf"<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)({_ATTRIBUTES})(?:>|\Z)",
+    re.DOTALL,
 )
+_RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*(?:>|\Z)", re.IGNORECASE) for tag in RAW}
 _NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
 _NAME_PART = re.compile(r"[a-z]+")
 
@@ -38,6 +44,38 @@ def _names(attributes: str) -> frozenset[str]:
     return frozenset(found)
 
 
+def _markup(page: str) -> Iterator[tuple[int, int, str, bool, str]]:
+    """Start, end, name (none for comments), whether it is an end tag, and attributes of all markup that counts.
+
+    Raw text is part of its tag, and so is what a hidden element holds; one that is closed by itself or never ends at its own tag.
+    """
+    found, ends = [], {}
+    open_at: dict[str, list[int]] = {tag: [] for tag in HIDDEN}
+    place = 0
+    while match := _MARKUP.search(page, place):
+        place = match.end()
+        tag, ending, attributes = (match[2] or "").lower(), bool(match[1]), match[3] or ""
+        closed = attributes.endswith("/")
+        if tag in RAW and not ending and not (closed and open_at["svg"]):
+            end = _RAW_END[tag].search(page, place)
+            place = end.end() if end else len(page)
+            tag = ""
+        elif tag in HIDDEN:
+            if ending and open_at[tag]:
+                ends[open_at[tag].pop()] = (len(found), place)
+            elif not ending and not (closed and tag == "svg"):
+                open_at[tag].append(len(found))
+        found.append((match.start(), place, tag, ending, attributes))
+    k = 0
+    while k < len(found):
+        start, end, tag, ending, attributes = found[k]
+        if tag in HIDDEN:
+            k, end = ends.get(k, (k, end))
+            tag = ""
+        yield start, end, tag, ending, attributes
+        k += 1
+
+
 def blocks(page: str) -> list[Block]:
     """Blocks with text in page order; character references decoded, white space made one space."""
     found: list[Block] = []
@@ -63,30 +101,28 @@ def blocks(page: str) -> list[Block]:
             if in_link:
                 linked += len(text.strip())
 
-    for match in _MARKUP.finditer(page):
-        take(page[place : match.start()])
-        place = match.end()
-        tag = match[3]
+    for start, end, tag, ending, attributes in _markup(page):
+        take(page[place:start])
+        place = end
         if not tag:
             continue
-        tag = tag.lower()
         if tag in INLINE:
             if tag == "br":
                 parts.append(" ")
             elif tag == "a":
-                in_link = 0 if match[2] else 1
+                in_link = 0 if ending else 1
             continue
         close()
         in_link = 0
-        if match[2]:
+        if ending:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == tag:
                     del stack[k:]
                     break
-        elif tag not in VOID and not match[4].endswith("/"):
+        elif tag not in VOID and not attributes.endswith("/"):
             if stack and stack[-1][0] == tag and tag in CLOSES_ITSELF or stack and stack[-1][0] == "p":
                 stack.pop()
-            stack.append((tag, _names(match[4]) if match[4] else frozenset()))
+            stack.append((tag, _names(attributes) if attributes else frozenset()))
     take(page[place:])
     close()
     return found

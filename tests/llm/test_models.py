@@ -190,3 +190,25 @@ def test_blocks_of_broken_markup():
     found = blocks("<div class='Side-Bars'><p>one<p>two<b>bold</div>three<li>four<li>five &am")
     assert [b.text for b in found] == ["one", "twobold", "three", "four", "five &am"]
     assert found[0].names == {"side", "bar"} and found[0].path == ("div", "p") and found[1].path == ("div", "p")
+
+
+@pytest.mark.parametrize(
+    ("page", "texts"),
+    [
+        ("<p>a</p><svg-icon name=x></svg-icon><p>rest</p>", ["a", "rest"]),
+        ("<p>a</p><title-bar>b</title-bar><template-card><p>c</template-card><p>rest", ["a", "b", "c", "rest"]),
+        ("<p>a</p><svg/><p>rest</p>", ["a", "rest"]),
+        ('<p>a</p><svg class="i" /><p>rest</p><svg><title/><text>no</text></svg><p>more', ["a", "rest", "more"]),
+        ("<p>a</p><svg><path><p>rest</p><svg><text>no</text></svg><p>more", ["a", "rest", "more"]),
+        ("<p>a</p><svg><svg><text>no</text></svg><text>no</text></svg><p>rest", ["a", "rest"]),
+        ("<p>a</p><template><p>b</p><noscript><p>rest", ["a", "b", "rest"]),
+        ("<p>a</p><template><svg><p>no</template></svg><p>rest</p><SVG></SVG ><noscript>no</noscript><p>more", ["a", "rest", "more"]),
+        ("<p title=John's>a</p><p>rest</p><p>it's", ["a", "rest", "it's"]),
+        ('<p title="it\'s > b" class=\'x"y\'>a</p><p class = "c>d">rest</p>', ["a", "rest"]),
+        ('<p>a</p><p title="open>b</p><p>rest</p>', ["a", "b", "rest"]),
+        ("<p>a</p><!--><p>rest</p><!-- no --><p>more", ["a", "rest", "more"]),
+        ('<script data-x="a>b">no</script foo><p>a</p><style>no</style\n><p>rest<script>"<svg>"</script><p>more', ["a", "rest", "more"]),
+    ],
+)
+def test_no_markup_swallows_the_text_after_it(page, texts):
+    assert [b.text for b in blocks(page)] == texts
