@@ -52,6 +52,20 @@ def repetition(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 SIZE = (len(LENGTHS) << BITS) + 256
 
 
+def spread(weights: np.ndarray, seen: np.ndarray) -> np.ndarray:
+    """Weights in which each cell of repetition that no row of the fit fell into (``seen``: indices of the others) has that of the nearest
+    one: texts of any length, also longer than all of the sample, are judged by how far they compress."""
+    first = len(LENGTHS) << BITS
+    seen = np.unique(seen)
+    if not len(seen):
+        return weights
+    weights = weights.copy()
+    cells = np.arange(first, SIZE)
+    length, ratio = (np.abs(part(cells - first)[:, None] - part(seen - first)) for part in (lambda c: c // 16, lambda c: c % 16))
+    weights[cells] = weights[seen[np.argmin(16 * (length + ratio) + ratio, axis=1)]]
+    return weights
+
+
 @dataclass(frozen=True)
 class OrdinalModel:
     weights: np.ndarray  # a table for each length, then one for repetition
@@ -144,7 +158,8 @@ def fit(
 ) -> OrdinalModel:
     """Fit on a bounded sample of rated documents; their features are made in tasks and meet on the driver.
 
-    Without ratings the weights are zero. Ids that are null rate nothing; of several ratings of an id the lowest quality
+    Without ratings the weights are zero. Texts over ``most_bytes`` bytes take no part; when scored, they are weighed like the longest
+    that do. Ids that are null rate nothing; of several ratings of an id the lowest quality
     counts, and a copy of a rated row counts as often as it is there, ``2 * fit_rows`` rows at most.
     """
 
@@ -173,7 +188,9 @@ def fit(
     )
     rows.sort(key=lambda r: (r["id"], r["i"], r["v"]))
     parts = [(np.frombuffer(r["i"], np.int32), np.frombuffer(r["v"], np.float32)) for r in rows]
-    return fit_ordinal(parts, np.array([r["grade"] for r in rows], np.int64))
+    model = fit_ordinal(parts, np.array([r["grade"] for r in rows], np.int64))
+    seen = np.array([index[0] for index, value in parts if value[0]], np.int64)  # repetition comes first
+    return OrdinalModel(spread(model.weights, seen), model.thresholds)
 
 
 def score(docs: DataFrame, model: OrdinalModel, grade: int = 1, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

@@ -59,6 +59,25 @@ def test_quality_edge_cases(spark, edge_docs, edge_rows, no_docs, quality_model,
     assert len(quality_classifier.fit(corpus[0], odd).thresholds) >= 1
 
 
+def test_texts_longer_than_the_sample_keep_their_repetition(spark, prose):
+    """Good texts of many words and low ones of the same 20 words over and over: the same letters, so it is compression that tells."""
+    long = lambda seed, n, low: " ".join([prose(seed, 20)] * (n // 20)) if low else prose(seed, n)
+    texts = [(k, long(k, 400 if k < 200 else 2000, k % 2 == 0)) for k in range(400)]
+    most = max(len(t) for _, t in texts)
+    longer = [(1000 + 2 * k + (not low), long(5000 + k, n, low)) for low in (True, False) for k, n in enumerate((7500, 9000, 15_000, 60_000, 200_000))]
+    docs = spark.createDataFrame(texts + longer, "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(k, k % 2, 0) for k, _ in texts], "doc_id long, quality int, toxic int")
+    assert most <= 20_000 < 32_768 <= min(len(t) for _, t in longer)
+    model = quality_classifier.fit(docs, labels)
+    reached = quality_classifier.repetition(*utf8_buffer(pa.array([t for _, t in longer])))
+    assert model.weights[reached].all()
+    rows = quality_classifier.score(docs, model).where("doc_id >= 1000").collect()
+    assert len(rows) == 10 and all((r["tail"] >= 0.5) == (r["doc_id"] % 2 == 1) for r in rows)
+    for k in (1, 7, 30):
+        cell = lambda n, k=k: (len(quality_classifier.LENGTHS) << quality_classifier.BITS) + min(15, k) + 16 * n
+        assert model.weights[cell(8)] == model.weights[cell(12)]
+
+
 def test_likelihood_gradient_orders_the_grades():
     draw = np.random.RandomState(0)
     grades = draw.randint(0, 3, 400)
