@@ -219,6 +219,19 @@ def _rest(members: DataFrame, labels: DataFrame, features: DataFrame, least: flo
     return near.join(blocks, ["bucket", "class"]).select("bucket", "asking", "members").mapInArrow(_meet(least), "a long, b long")
 
 
+def _several_texts(rows: DataFrame) -> DataFrame:
+    """Ids (not null) whose rows have different texts, and the smallest digest over all of these rows."""
+    digest = F.unhex(F.md5("text"))
+    found = (
+        rows.where(F.col("id").isNotNull())
+        .select("id", digest.alias("digest"))
+        .groupBy("id")
+        .agg(F.min("digest").alias("chosen"), F.max("digest").alias("last"))
+        .where("chosen <> last")
+    )
+    return stored(found.select(F.col("id").alias("several_id"), "chosen"), "near-several")
+
+
 def near_classes(
     docs: DataFrame,
     least: float = 0.8,
@@ -230,10 +243,14 @@ def near_classes(
 
     Texts without words are similar only if equal, null and empty ones among them. Texts of one to four words have one
     shingle of all their words. Rows that repeat an id are one document: with different texts, those of the row with the
-    smallest digest. A null id has no class, so it gets a null class_id. An empty table gives no rows. Other columns are not read.
+    smallest digest over all of them. A null id has no class, so it gets a null class_id. An empty table gives no rows. Other columns are not read.
     """
     rows = docs.select(F.col(f"`{id_column}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text_column}`"), F.lit("")).alias("text"))
     known = rows.where(F.col("id").isNotNull())
+    several = _several_texts(rows)
+    if not several.isEmpty():  # from here on an id has one text
+        other = (F.col("id") == F.col("several_id")) & (F.unhex(F.md5("text")) != F.col("chosen"))
+        known = known.join(several, other, "left_anti")
     documents = docs.count()
     top = 1.0  # the weight of a shingle of one document
 
@@ -276,16 +293,23 @@ def near_classes(
     )
 
 
-def one_of_each(docs: DataFrame, id_column: str = "doc_id", **options) -> DataFrame:
-    """The rows, with all their columns, of the document of smallest id in each class; of rows that repeat an id, one stays.
+def one_of_each(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", **options) -> DataFrame:
+    """The rows, with all their columns, of the document of smallest id in each class; of rows that repeat an id, one stays: with
+    different texts, one with the text that was compared.
 
     Rows without an id stay.
     """
-    classes = near_classes(docs, id_column=id_column, **options)
+    classes = near_classes(docs, id_column=id_column, text_column=text_column, **options)
     gone = classes.where(F.col(id_column) != F.col("class_id")).select(F.col(id_column).alias("__gone")).distinct()
     left = docs.join(gone, F.col(f"`{id_column}`") == F.col("__gone"), "left_anti")
     repeated = stored(docs.groupBy(F.col(f"`{id_column}`").alias("__again")).count().where("`count` > 1").select("__again"), "near-repeated")
     if repeated.isEmpty():
         return left
     again = F.col(f"`{id_column}`") == F.col("__again")
-    return left.join(repeated, again, "left_anti").union(left.join(repeated, again, "left_semi").dropDuplicates([id_column]))
+    digest = F.unhex(F.md5(F.coalesce(F.col(f"`{text_column}`"), F.lit(""))))
+    one = (
+        left.join(repeated, again, "left_semi")
+        .groupBy(F.col(f"`{id_column}`").alias("__one"))
+        .agg(F.min_by(F.struct(*(F.col(f"`{c}`") for c in docs.columns)), digest).alias("__row"))
+    )
+    return left.join(repeated, again, "left_anti").union(one.select("__row.*"))

@@ -1,5 +1,6 @@
 """Near-duplicates and repeated strings against brute force, on hand-made groups and edge cases."""
 
+import hashlib
 import random
 from collections import Counter, defaultdict
 
@@ -104,6 +105,34 @@ def test_near_edge_cases(edge_docs, edge_rows, no_docs):
     assert near_classes(no_docs).count() == 0 and one_of_each(no_docs).count() == 0
 
 
+@pytest.mark.parametrize("null_first", [True, False])
+def test_an_id_with_two_texts_is_the_one_of_smallest_digest(spark, prose, null_first):
+    """One of the texts is null, unlike or like other documents; the rest shares shingles with them."""
+    digest = lambda t: hashlib.md5((t or "").encode()).hexdigest()
+    base = next(t for k in range(100) if ((t := prose(3000 + k, 150)) and (digest(None) < digest(t)) == null_first))
+    alone = sorted((prose(4000 + k, 150) for k in range(20)), key=digest)
+    near, like = base + " near", [f"{base} tail{k}" for k in range(20)]
+    like.sort(key=digest)
+    docs = [
+        (1, near, "a"), (2, base, "a"), (2, None, "b"), (3, "z" + alone[0], "a"), (3, base + " end", "a"),
+        (4, alone[0], "a"), (4, like[-1], "b"), (5, like[0], "a"), (5, alone[-1], "b"), (6, None, "a"), (7, alone[0], "c"), (8, alone[-1] + " x", "c"),
+    ]
+    assert digest(alone[0]) < digest(like[-1]) and digest(like[0]) < digest(alone[-1])
+    one = {}
+    for row in docs:
+        if row[0] not in one or digest(row[1]) < digest(one[row[0]][1]):
+            one[row[0]] = row
+    expected = brute_classes([one[i] for i in sorted(one)])
+    assert expected[4] == expected[7] != 1 and expected[5] == 1
+    frames = [frame(spark, order) for order in (docs, docs[::-1])]
+    for df in frames:
+        got = near_classes(df)
+        assert got.count() == len(docs) and classes_of(got) == expected
+        kept = one_of_each(df)
+        assert kept.columns == df.columns and kept.dtypes == df.dtypes
+        assert {(r["doc_id"], r["text"]) for r in kept.collect()} == {one[i][:2] for i in expected.values()}
+
+
 def test_samples_agree_as_often_as_texts_are_similar():
     draw = np.random.RandomState(1)
     hits, sims = [], []
