@@ -1,4 +1,4 @@
-"""The registered queries of the ten operators, each over its whole table, with SQL where SQL can express it."""
+"""The registered queries of the numbered operators, each over its whole table, with SQL where SQL can express it."""
 
 from __future__ import annotations
 
@@ -210,3 +210,45 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from crashlens.llm.quality_rules import apply_rules
 
     return apply_rules(table(spark, sf_dir, "documents")).drop("rejected_by", "rules_run")
+
+
+@query()
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from crashlens.llm.spelling import spelling_groups
+
+    return spelling_groups(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from crashlens.llm.whitening import fit, whiten
+
+    vectors = table(spark, sf_dir, "embeddings")
+    return whiten(vectors, fit(vectors)).withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
+@query(
+    """
+WITH parted AS (
+    SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
+), urls AS (
+    SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+        regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
+    FROM parted
+), rules(name, start, verdict) AS (
+    VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'),
+        ('net', '/fr/', 'block')
+), fitting AS (
+    SELECT page_id, url_row, host, path, name || start AS rule, verdict,
+        row_number() OVER (PARTITION BY url_row ORDER BY length(name || start) DESC NULLS LAST, length(name) DESC) AS place
+    FROM (SELECT *, row_number() OVER () AS url_row FROM urls)
+    LEFT JOIN rules ON (host = name OR ends_with(host, '.' || name)) AND starts_with(path, start)
+)
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM fitting WHERE place = 1
+"""
+)
+def op13_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from crashlens.llm.url_rules import judge, rules_table
+
+    rules = rules_table(spark, allow=["com/", "www.example.com/en/"], block=["example.com/en/", "net/es/", "net/fr/"])
+    return judge(table(spark, sf_dir, "pages"), rules)
