@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 
 ColumnOrName = Column | str
 
-# Leading characters of any text the float cast can accept: blanks and control characters are trimmed, then a
-# digit, a sign, a point, or the first letter of NaN / Infinity.
-_MAY_BE_NUMBER = r"^[\x00-\x20\x7f]*[-+.0-9NnIi]"
+# Any text the float cast can accept: blanks and control characters are trimmed; then come a sign, if any, and a digit or a point, or
+# NaN, Inf or Infinity and nothing else, in any case. "NA", "NONE" and the like are not tried.
+_MAY_BE_NUMBER = r"^[\x00-\x20\x7f]*[-+]?([.0-9]|(?i:nan|inf|infinity)[\x00-\x20\x7f]*$)"
 
 
 def _column(column: ColumnOrName) -> Column:
@@ -62,7 +62,7 @@ def parse_number(column: ColumnOrName, kind: str = "double") -> Column:
     """Text as a number, NULL where it does not parse.
 
     A failed parse raises and catches an exception inside the cast, which is some hundred times dearer than a
-    look at the first character, so only text that could be a number is tried.
+    look at its beginning, so only text that could be a number is tried.
     """
     text = _column(column)
     return F.when(text.rlike(_MAY_BE_NUMBER), text.try_cast(kind))

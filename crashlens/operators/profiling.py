@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,9 +28,10 @@ def null_profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
 def describe(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """One row per column: count of non-NULL values, mean, sample deviation, smallest and largest value.
 
-    All statistics come from one aggregation over the table. Text columns are averaged over the values that
-    parse as numbers and ordered as text; dates, times and other types have no mean and deviation. Smallest and largest
-    are given as text for every column, NULL for types without an order.
+    Number columns share one aggregation and all others another one, as the extremes of text would keep the numbers from compiled
+    code; each reads its own columns. Text columns are averaged over the values that parse as numbers and ordered as text;
+    dates, times and other types have no mean and deviation. Smallest and largest are given as text for every column, NULL for
+    types without an order.
     """
     kinds = {field.name: field.dataType for field in df.schema.fields}
 
@@ -50,7 +52,11 @@ def describe(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
         )
 
     names = list(columns or df.columns)
-    return df.agg(F.array(*[summary(name) for name in names]).alias("s")).select(F.inline("s"))
+    numbers = [name for name in names if isinstance(kinds[name], NumericType)]
+    others = [name for name in names if name not in numbers]
+    parts = [df.agg(F.array(*map(summary, part)).alias("s")).select(F.inline("s")) for part in (numbers, others) if part]
+    place = F.array_position(F.array(*map(F.lit, names)), F.col("column"))
+    return reduce(DataFrame.unionAll, parts).coalesce(1).sortWithinPartitions(place)  # one row a column, in their order
 
 
 def describe_numeric(df: DataFrame, columns: Sequence[str]) -> DataFrame:

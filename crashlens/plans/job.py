@@ -11,6 +11,7 @@ from crashlens.operators.ranking import collect_bounded, first_row, sort_by
 from crashlens.plans import analyses
 from crashlens.plans import values as v
 from crashlens.sources import convert_tables, read_tables, write_result
+from crashlens.sources.readers import OnBad
 
 TABLES = ("units", "primary_person", "charges", "damages")
 
@@ -39,19 +40,20 @@ def result_paths(folder: str) -> dict[str, str]:
 
 
 def open_tables(
-    spark: SparkSession, inputs: Mapping[str, str], fmt: str = "csv", staging: str | None = None
+    spark: SparkSession, inputs: Mapping[str, str], fmt: str = "csv", staging: str | None = None, on_bad: OnBad = "raise"
 ) -> dict[str, DataFrame]:
     """The four tables the analyses read.
 
     CSV is first stored as typed Parquet in the folder ``staging``, so that text is parsed once, not once per
-    analysis, and each analysis reads only its own columns. Other formats are, if a folder is given.
+    analysis, and each analysis reads only its own columns. Other formats are, if a folder is given. ``on_bad``: what becomes of broken
+    records, see ``stage_table``.
     """
     used = {name: inputs[name] for name in TABLES}
     if fmt == "csv" and staging is None:
         raise ValueError("CSV needs a folder for staging, or each analysis would parse the files again")
     if staging is None or fmt == "parquet":
         return read_tables(spark, used, fmt, optional=UNREAD)
-    return convert_tables(spark, used, {name: f"{staging.rstrip('/')}/{name}" for name in TABLES}, fmt, optional=UNREAD)
+    return convert_tables(spark, used, {name: f"{staging.rstrip('/')}/{name}" for name in TABLES}, fmt, on_bad, optional=UNREAD)
 
 
 def run_all(
@@ -61,13 +63,14 @@ def run_all(
     fmt: str = "csv",
     staging: str | None = None,
     all_pairs: bool = False,
+    on_bad: OnBad = "raise",
 ) -> dict[str, DataFrame]:
     """Run and store all analyses; returns the stored datasets by analysis name.
 
     Every plan runs once, in its write; ``answers`` reads the stored rows. ``all_pairs``: store a row for each pair of
     the fourth analysis, whose number grows with the product of the rows of a crash unit.
     """
-    tables = open_tables(spark, inputs, fmt, staging)
+    tables = open_tables(spark, inputs, fmt, staging, on_bad)
     chosen = STORED | ({"analysis4": analyses.licensed_hit_and_run} if all_pairs else {})
     return {name: write_result(analysis(tables), outputs[name]) for name, analysis in chosen.items()}
 

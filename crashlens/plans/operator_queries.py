@@ -19,13 +19,14 @@ from crashlens.functions import (
 from crashlens.operators.aggregates import count_rows, count_values, having, sum_columns
 from crashlens.operators.joins import anti, common_keys, count_pairs, join_on, join_per_key, restrict_to_top, semi
 from crashlens.operators.keys import distinct_on, duplicate_keys, duplicate_rows, key_ladder
+from crashlens.operators.positions import deep_rank_slice, global_row_ids, number_rows_in_ranges
 from crashlens.operators.profiling import category_values, describe, describe_numeric, null_profile
 from crashlens.operators.ranking import number_rows, rank_slice, sort_by, top1_per_group, topk
 from crashlens.plans import fixtures
 from crashlens.plans import values as v
 from crashlens.plans.catalog import query
 from crashlens.plans.fixtures import load, with_tables
-from crashlens.sources import SCHEMAS, read_strings, read_table, scratch_path, write_result
+from crashlens.sources import SCHEMAS, read_rejects, read_strings, read_table, scratch_path, stage_table, write_result
 
 # Sources and sinks
 
@@ -48,6 +49,19 @@ def _charges_as_csv(spark: SparkSession, sf_dir: str) -> str:
 _CSV: dict[tuple[str, str], str] = {}
 
 
+def _broken_charges_as_csv(spark: SparkSession, sf_dir: str) -> str:
+    """Charges as CSV; of persons 4 to 6 the records have two fields too many, two too few, or an open quote."""
+    path = scratch_path(spark, "broken-csv")
+    record = F.concat_ws(",", F.coalesce("CHARGE", F.lit("")), "PRSN_NBR", "UNIT_NBR", "CRASH_ID")
+    person = F.col("PRSN_NBR")
+    broken = F.when(person == 4, F.concat(record, F.lit(",more,1"))).when(person == 5, F.concat_ws(",", "UNIT_NBR", "CRASH_ID"))
+    broken = broken.when(person == 6, F.concat(F.lit('"'), record)).otherwise(record)
+    # One column that holds whole records, so that the writer adds the header and leaves them as they are.
+    lines = fixtures.charges(spark, sf_dir).select(broken.alias("CHARGE,PRSN_NBR,UNIT_NBR,CRASH_ID"))
+    lines.write.options(header=True, sep="\x01", quote="", escapeQuotes=False).csv(path)
+    return path
+
+
 @query(
     with_tables(
         """
@@ -88,6 +102,27 @@ def scan_csv_inferred(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inferred.withColumn("CRASH_ID", F.col("CRASH_ID").cast("bigint"))
 
 
+@query(
+    with_tables(
+        """
+SELECT CASE PRSN_NBR WHEN 4 THEN concat(record, ',more,1') WHEN 5 THEN concat(UNIT_NBR, ',', CRASH_ID) ELSE concat('"', record) END AS record
+FROM (SELECT *, concat(coalesce(CHARGE, ''), ',', PRSN_NBR, ',', UNIT_NBR, ',', CRASH_ID) AS record FROM charges) r
+WHERE PRSN_NBR IN (4, 5, 6)""",
+        "charges",
+    )
+)
+def scan_csv_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_rejects(spark, _broken_charges_as_csv(spark, sf_dir)).select("record")
+
+
+@query(
+    with_tables("SELECT CRASH_ID, UNIT_NBR, PRSN_NBR, CHARGE FROM charges WHERE PRSN_NBR NOT IN (4, 5, 6)", "charges")
+)
+def scan_csv_staged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    source, target = _broken_charges_as_csv(spark, sf_dir), scratch_path(spark, "charges")
+    return stage_table(spark, source, target, SCHEMAS["charges"], on_bad="reject").table
+
+
 @query("SELECT * FROM orders")
 def sink_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return write_result(load(spark, sf_dir, "orders"), scratch_path(spark, "orders"))
@@ -655,3 +690,36 @@ def top1_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rank_slice_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = load(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
     return rank_slice(orders, 3, 5, ["o_totalprice"], ["o_orderkey"])
+
+
+@query(
+    """
+SELECT l_orderkey, l_linenumber, l_extendedprice,
+ ROW_NUMBER() OVER (ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber) - 1 AS row_id
+FROM lineitem"""
+)
+def sort_global_row_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = load(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice")
+    return global_row_ids(lines, ["l_extendedprice"], ["l_orderkey", "l_linenumber"])
+
+
+@query(
+    """
+SELECT l_returnflag, l_shipdate, l_orderkey, l_linenumber,
+ ROW_NUMBER() OVER (PARTITION BY l_returnflag ORDER BY l_shipdate DESC, l_orderkey, l_linenumber) AS rn
+FROM lineitem"""
+)
+def window_row_number_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = load(spark, sf_dir, "lineitem").select("l_returnflag", "l_shipdate", "l_orderkey", "l_linenumber")
+    return number_rows_in_ranges(lines, ["l_returnflag"], ["l_shipdate"], ["l_orderkey", "l_linenumber"])
+
+
+@query(
+    """
+SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey
+LIMIT 500 OFFSET (SELECT COUNT(*) // 2 FROM orders)"""
+)
+def rank_slice_deep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = load(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
+    middle = orders.count() // 2
+    return deep_rank_slice(orders, middle + 1, middle + 500, ["o_totalprice"], ["o_orderkey"], few=10_000)

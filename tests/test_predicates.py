@@ -59,3 +59,12 @@ def test_guarded_parse_equals_the_plain_cast(spark, kind, values):
     plain = F.col("c").try_cast(kind)
     assert df.filter(~parse_number("c", kind).eqNullSafe(plain)).collect() == []
     assert df.filter(is_non_numeric("c", kind) != plain.isNull()).collect() == []
+
+
+def test_words_are_no_numbers_and_every_number_is_one(spark):
+    """The look at the beginning must let through all that the cast takes."""
+    signs, words = ("", "+", "-", " ", "\t-"), ("nan", "NaN", "inf", "INF", "Infinity", "iNfInItY", "NA", "NONE", "Infiniti", "nano", "I", "1", ".5", "1e3", "2d", "3F", ".", "-", "")
+    texts = [sign + word + end for sign in signs for word in words for end in ("", " ", "\n", "x")]
+    df = spark.createDataFrame([(text,) for text in texts], "t string")
+    different = df.where(~parse_number("t").eqNullSafe(F.col("t").try_cast("double")))
+    assert different.count() == 0

@@ -2,10 +2,21 @@ from types import SimpleNamespace
 
 import pytest
 from conftest import rows
+from pyspark.sql.types import StructType
 
 from crashlens.plans.fixtures import BUILDERS
 from crashlens.plans.job import STORED, UNREAD, answers, open_tables, result_paths, run_all
-from crashlens.sources import SCHEMAS, convert_tables, read_strings, read_table, read_tables, scratch_path, write_result
+from crashlens.sources import (
+    SCHEMAS,
+    convert_tables,
+    read_rejects,
+    read_strings,
+    read_table,
+    read_tables,
+    scratch_path,
+    stage_table,
+    write_result,
+)
 
 
 def csv(folder, name, *lines):
@@ -158,3 +169,61 @@ def test_typed_parquet_is_read_without_casts(spark, tables, tmp_path):
 def test_stored_names():
     assert list(result_paths("/x/")) == list(STORED) == [f"analysis{i}" for i in range(1, 11)]
     assert result_paths("/x/")["analysis1"] == "/x/analysis1"
+
+
+BROKEN = ["1,2,3", '"x,2,3', "4,5", "1,2,3,4,5", "", "7,NA,z", ",,"]
+
+
+@pytest.fixture
+def broken(tmp_path):
+    csv(tmp_path, "a.csv", "CRASH_ID,UNIT_NBR,PRSN_NBR", *BROKEN)
+    csv(tmp_path, "b.csv", "CRASH_ID,UNIT_NBR,PRSN_NBR", "8,9,10", "11")
+    return str(tmp_path)
+
+
+def charges_schema():
+    return StructType(SCHEMAS["charges"].fields[:3])
+
+
+def test_broken_records_are_rejected_whole(spark, broken):
+    found = read_rejects(spark, broken)
+    assert sorted(r["record"] for r in found.collect()) == ['"x,2,3', "1,2,3,4,5", "11", "4,5"]
+    assert {r["record"] for r in found.where("file like '%b.csv'").collect()} == {"11"}
+    assert found.count() == 4
+    good = [("1", "2", "3"), ("7", "NA", "z"), ("8", "9", "10"), (None, None, None)]
+    assert rows(read_table(spark, broken, on_bad="reject")) == sorted(good, key=repr)
+    assert read_table(spark, broken, on_bad="reject").select("UNIT_NBR").count() == 4
+    assert read_table(spark, broken).count() == 8
+
+
+def test_broken_records_fail_a_query_if_asked(spark, broken):
+    with pytest.raises(Exception, match="MALFORMED"):
+        read_table(spark, broken, on_bad="raise").collect()
+    with pytest.raises(Exception, match="MALFORMED"):
+        read_table(spark, broken, on_bad="raise").select("CRASH_ID").collect()
+
+
+def test_staging_stores_rejects_beside_the_table_with_counts(spark, broken, tmp_path_factory):
+    target = str(tmp_path_factory.mktemp("staged") / "charges")
+    staged = stage_table(spark, broken, target, charges_schema(), on_bad="reject")
+    assert rows(staged.table) == sorted([(1, 2, 3), (7, None, None), (8, 9, 10), (None, None, None)], key=repr)
+    assert (staged.rows, staged.rejected, staged.unparsed) == (8, 4, {"CRASH_ID": 0, "UNIT_NBR": 0, "PRSN_NBR": 1})
+    assert staged.rejects == f"{target}-rejects"
+    assert sorted(r["record"] for r in spark.read.parquet(staged.rejects).collect()) == ['"x,2,3', "1,2,3,4,5", "11", "4,5"]
+
+
+def test_staging_fails_on_broken_records_unless_told_otherwise(spark, broken, tmp_path_factory):
+    folder = tmp_path_factory.mktemp("staged")
+    with pytest.raises(Exception, match="broken record"):
+        stage_table(spark, broken, str(folder / "a"), charges_schema())
+    kept = stage_table(spark, broken, str(folder / "b"), charges_schema(), on_bad="keep")
+    assert (kept.table.count(), kept.rows, kept.rejected, kept.rejects) == (8, 8, 4, None)
+
+
+def test_staging_of_whole_files_has_no_rejects(spark, tmp_path, tables):
+    tables["charges"].write.csv(str(tmp_path / "in"), header=True)
+    staged = stage_table(spark, str(tmp_path / "in"), str(tmp_path / "out"), SCHEMAS["charges"], on_bad="reject")
+    assert (staged.rejects, staged.rejected) == (None, 0) and staged.rows == staged.table.count() == tables["charges"].count()
+    assert set(staged.unparsed.values()) == {0}
+    parquet = stage_table(spark, str(tmp_path / "out"), str(tmp_path / "again"), SCHEMAS["charges"], "parquet")
+    assert (parquet.rows, parquet.rejected, parquet.unparsed) == (staged.rows, 0, {})
