@@ -105,10 +105,10 @@ def _template_sql() -> str:
     ends = "'.!?' || chr(10) || chr(39) || '\")] ' || chr(9) || chr(13)"
     bare = lambda token: f"ltrim({token}, {ends})"
     number = lambda token: f"(regexp_matches({token}, '^[0-9]') OR lower({token}) IN {quoted(NUMBER_WORDS)})"
+    capitalised = lambda word: f"({word}[1] <> lower({word}[1]) AND {word}[2] <> upper({word}[2]))"
     template = f"""list_transform(tokens, lambda x, i: CASE WHEN {number(bare("x"))} THEN '{NUMBER}'
         WHEN lower({bare("x")}) IN {quoted(UNITS)} AND i > 1 AND {number(bare("tokens[i - 1]"))} THEN '{UNIT}'
-        WHEN i > 1 AND length({bare("x")}) = length(x) AND {bare("x")}[1] <> lower({bare("x")}[1])
-            AND {bare("x")}[2] <> upper({bare("x")}[2]) THEN '{NAME}'
+        WHEN i > 1 AND length({bare("x")}) = length(x) AND {capitalised(bare("x"))} THEN '{NAME}'
         ELSE lower({bare("x")}) END)"""
     typed = quoted((NUMBER, NAME, UNIT))
     parted = lambda table, key: f"""SELECT {key}, tokens, {template} AS template FROM (
@@ -117,28 +117,46 @@ def _template_sql() -> str:
         SELECT {key}, template, unnest(range(1, len(template) - 6)) AS place FROM {table})"""
     return f"""
 WITH docs AS ({parted("documents", "doc_id")}), items AS ({parted("benchmark", "item_id")}),
-item_windows AS (SELECT * FROM ({windows("items", "item_id")}) WHERE 2 * len(list_filter(w, lambda x: x NOT IN {typed})) >= 8),
+first_words AS (
+    SELECT *, template[1] NOT IN {typed} AND {capitalised(bare("tokens[1]"))} AS as_name FROM items WHERE len(tokens) >= 8
+), candidates AS (
+    SELECT * FROM ({windows("items", "item_id")})
+    UNION ALL SELECT item_id, 1, ['{NAME}'] || template[2:8] FROM first_words WHERE as_name
+), item_windows AS (SELECT DISTINCT * FROM candidates WHERE 2 * len(list_filter(w, lambda x: x NOT IN {typed})) >= 8),
 totals AS (SELECT item_id, count(DISTINCT place) AS item_windows FROM item_windows GROUP BY item_id),
 met AS (
     SELECT DISTINCT doc_id, item_id, d.place - i.place AS shift, i.place AS item_at
     FROM ({windows("docs", "doc_id")}) d JOIN item_windows i USING (w)
+), placed AS (
+    SELECT *, lag(item_at) OVER (PARTITION BY doc_id, item_id, shift ORDER BY item_at) AS before FROM met
+), runs AS (
+    SELECT doc_id, item_id, shift, item_at,
+        count(*) FILTER (WHERE before IS NULL OR item_at > before + 8) OVER (PARTITION BY doc_id, item_id, shift ORDER BY item_at) AS run
+    FROM placed
 ), covered AS (
-    SELECT DISTINCT doc_id, item_id, shift, item_at + k AS place FROM met, range(8) AS r(k)
+    SELECT DISTINCT doc_id, item_id, shift, run, item_at + k AS place FROM runs, range(8) AS r(k)
 ), slots AS (
-    SELECT doc_id, item_id, shift, i.template[place] AS kind, lower({bare("i.tokens[place]")}) AS asked,
+    SELECT doc_id, item_id, shift, run, place, i.template[place] AS kind, lower({bare("i.tokens[place]")}) AS asked,
         lower({bare("d.tokens[place + shift]")}) AS given
     FROM covered JOIN items i USING (item_id) JOIN docs d USING (doc_id) WHERE i.template[place] IN {typed}
 ), judged AS (
-    SELECT doc_id, item_id, shift, count(*) AS n_slots, count(*) FILTER (WHERE asked <> given) AS changed_slots,
-        count(DISTINCT (kind, asked, given)) AS pairs, count(DISTINCT (kind, asked)) AS asked, count(DISTINCT (kind, given)) AS given
-    FROM slots GROUP BY doc_id, item_id, shift
-), consistent AS (
-    SELECT met.*, coalesce(n_slots, 0) AS n_slots, coalesce(changed_slots, 0) AS changed_slots
-    FROM met LEFT JOIN judged USING (doc_id, item_id, shift) WHERE coalesce(pairs = asked AND pairs = given, true)
+    SELECT *, asked <> given AS changed,
+        min(given) OVER same <> max(given) OVER same AS torn
+    FROM slots WINDOW same AS (PARTITION BY doc_id, item_id, shift, run, kind, asked)
+), conflicts AS (
+    SELECT r.doc_id, r.item_id, r.shift, r.item_at FROM runs r JOIN judged j
+        ON r.doc_id = j.doc_id AND r.item_id = j.item_id AND r.shift = j.shift AND j.place BETWEEN r.item_at AND r.item_at + 7
+    GROUP BY ALL HAVING bool_or(changed) AND bool_or(torn)
+), kept AS (
+    SELECT runs.* FROM runs ANTI JOIN conflicts USING (doc_id, item_id, shift, item_at) JOIN items i USING (item_id) JOIN docs d USING (doc_id)
+    WHERE item_at > 1 OR i.template[1] IN {typed} OR lower({bare("i.tokens[1]")}) = lower({bare("d.tokens[1 + shift]")})
+), counted AS (
+    SELECT doc_id, item_id, shift, count(DISTINCT j.place) AS n_slots, count(DISTINCT j.place) FILTER (WHERE changed) AS changed_slots
+    FROM kept k JOIN judged j USING (doc_id, item_id, shift) WHERE j.place BETWEEN k.item_at AND k.item_at + 7 GROUP BY ALL
 )
-SELECT doc_id, item_id, count(DISTINCT item_at) AS n_windows, any_value(item_windows) AS item_windows, max(n_slots) AS n_slots,
-    max(changed_slots) AS changed_slots, max(changed_slots) = 0 AS verbatim
-FROM consistent JOIN totals USING (item_id) GROUP BY doc_id, item_id
+SELECT doc_id, item_id, count(DISTINCT item_at) AS n_windows, any_value(item_windows) AS item_windows, max(coalesce(n_slots, 0)) AS n_slots,
+    max(coalesce(changed_slots, 0)) AS changed_slots, max(coalesce(changed_slots, 0)) = 0 AS verbatim
+FROM kept LEFT JOIN counted USING (doc_id, item_id, shift) JOIN totals USING (item_id) GROUP BY doc_id, item_id
 HAVING count(DISTINCT item_at) >= least(6, any_value(item_windows))"""
 
 

@@ -109,10 +109,51 @@ def test_templates_and_slots(spark, prose, benchmark):
     assert sorted(r["doc_id"] for r in kept.collect()) == [3, 7, 8]
 
 
-def test_inconsistent_slots_are_no_match(spark, prose, benchmark):
-    torn = QUESTION.replace("A farmer called Maria", "A farmer called Helga").replace("Peter has", "Otto has")
-    docs = frame(spark, [(1, "So " + torn, "a"), (2, "So " + QUESTION.replace("Maria", "Helga"), "a")])
-    assert set(pairs(contaminated(docs, benchmark))) == {(2, 1)}
+RINGS = "Tom sings and Tom dances while Tom reads so Tom waits until Tom leaves because Tom sleeps when Tom returns after Tom eats"
+CAPITAL = "What is the capital city of the oldest republic known"
+
+
+@pytest.fixture(scope="module")
+def reused(spark, prose):
+    """Items and re-uses of them: (documents, items, the pairs that hold)."""
+    items = [(1, "Well " + RINGS, 1), (2, CAPITAL, 1), (3, QUESTION, 1), (4, "Red dogs and 3 apples with 5 pears were put into one old box and then sold", 1)]
+    one_changed = QUESTION.replace("Maria has 12", "Helga has 12")  # the other Maria stays
+    ways = iter(["Bob", "Sam"] * 9)
+    torn = "Well " + " ".join(next(ways) if word == "Tom" else word for word in RINGS.split())
+    docs = [
+        (1, "So " + one_changed, "a"),
+        (2, "Here: " + torn, "a"),
+        (3, "Here: well " + RINGS.replace("Tom", "Bob"), "a"),
+        (4, "Question: " + CAPITAL, "a"),
+        (5, "Question: Which " + CAPITAL[5:], "a"),
+        (6, prose(4, 9) + " Red dogs and 4 apples with 4 pears were put into one old box and then sold", "a"),
+        (7, "So " + QUESTION.replace("12 apples", "9 apples").replace("5 apples", "8 apples") + " " + prose(5, 30) + " " + QUESTION.split("?")[0], "a"),
+    ]
+    return docs, items, {(1, 3), (3, 1), (4, 2), (6, 4), (7, 3)}
+
+
+def test_only_windows_with_a_conflict_are_dropped(spark, reused):
+    docs, items, expected = reused
+    got = pairs(contaminated(frame(spark, docs), spark.createDataFrame(items, "item_id long, text string, kept int")))
+    assert set(got) == expected
+    assert got[4, 2]["verbatim"] and got[7, 3]["verbatim"] is False and not got[6, 4]["verbatim"]
+    assert got[1, 3]["n_windows"] >= 20
+
+
+def test_sql_judges_the_same_windows(spark, reused):
+    import duckdb
+    import pyarrow as pa
+
+    from crashlens.llm.queries import ORACLES
+
+    docs, items, expected = reused
+    con = duckdb.connect()
+    con.register("documents", pa.table({"doc_id": [d[0] for d in docs], "text": [d[1] for d in docs]}))
+    con.register("benchmark", pa.table({"item_id": [i[0] for i in items], "text": [i[1] for i in items]}))
+    result = con.execute(ORACLES["op6_decontamination"])
+    names = [c[0] for c in result.description]
+    mine = contaminated(frame(spark, docs), spark.createDataFrame(items, "item_id long, text string, kept int")).select(names)
+    assert sorted(result.fetchall(), key=repr) == rows(mine)
 
 
 def test_decontamination_edge_cases(spark, prose, benchmark, edge_docs, edge_rows, no_docs):
