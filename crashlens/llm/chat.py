@@ -7,6 +7,8 @@ and goes by an anti-join, and of equal conversations the one of smallest id stay
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,8 +40,8 @@ def collapse(turns: DataFrame) -> DataFrame:
     return whole.join(shorter, ["a", "b", "n"], "left_anti").select("conv_id", F.col("n").alias("n_turns"), "copies")
 
 
-def render(turns: DataFrame, start: str = "<|", after_role: str = "|>\n", end: str = "<|end|>\n") -> DataFrame:
-    """One text for each conversation, its turns in order: conv_id, text."""
+def render(turns: DataFrame, start: str = "<|", after_role: str = "|>\n", end: str = "<|end|>\n", keep: Sequence[str] = ()) -> DataFrame:
+    """One text for each conversation, its turns in order: conv_id, the columns ``keep`` (the same for all its turns), text."""
     places = Window.partitionBy("conv_id").orderBy(
         F.col("turn").asc_nulls_last(), F.col("role").asc_nulls_first(), F.col("text").asc_nulls_first()
     )
@@ -47,10 +49,10 @@ def render(turns: DataFrame, start: str = "<|", after_role: str = "|>\n", end: s
         F.lit(start), F.coalesce("role", F.lit("")), F.lit(after_role), F.coalesce("text", F.lit("")), F.lit(end)
     )
     return (
-        turns.select("conv_id", F.row_number().over(places).alias("k"), turn.alias("turn"))
-        .groupBy("conv_id")
+        turns.select("conv_id", *keep, F.row_number().over(places).alias("k"), turn.alias("turn"))
+        .groupBy("conv_id", *keep)
         .agg(F.array_sort(F.collect_list(F.struct("k", "turn"))).alias("turns"))
-        .select("conv_id", F.array_join(F.transform("turns", lambda t: t["turn"]), "").alias("text"))
+        .select("conv_id", *keep, F.array_join(F.transform("turns", lambda t: t["turn"]), "").alias("text"))
     )
 
 
@@ -62,5 +64,7 @@ def format_chats(conversations: DataFrame) -> DataFrame:
     id stays, a null id only if no other is equal. An empty table gives no rows; other columns are not read.
     """
     turns = conversations.select("conv_id", "turn", "role", "text")
-    kept = collapse(turns)
-    return kept.join(render(turns).withColumnRenamed("conv_id", "rendered"), F.col("rendered").eqNullSafe(F.col("conv_id"))).drop("rendered")
+    kept = collapse(turns).withColumnRenamed("conv_id", "kept")
+    # Snapshots go before their texts are sorted and put together.
+    own = turns.join(kept, F.col("kept").eqNullSafe(F.col("conv_id"))).drop("kept")
+    return render(own, keep=("n_turns", "copies"))
