@@ -13,7 +13,7 @@ import numpy as np
 
 from crashlens.llm.shingles import mixed, word_spans
 
-LENGTH, STEP = 32, 16  # words in a window, and from one window to the next
+LENGTH, STEP, FIT_STEP = 32, 8, 16  # words in a window, and from one window to the next: in scoring, in training
 WORD, CHAR, HIDDEN, ATTEND = 8, 8, 8, 8
 PIECE_BITS = 13
 BLOCK = 4096  # windows worked on at a time
@@ -138,21 +138,22 @@ class Network:
             d_x += d_told @ p[f"{side}_x"].T
         return g, d_x
 
-    def window_rows(self, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """First word and text of all overlapping windows over texts of so many words; the last one ends with the text."""
-        n = np.where(counts > 0, np.maximum(-(-(counts - LENGTH) // STEP), 0) + 1, 0)
+    def window_rows(self, counts: np.ndarray, step: int = STEP) -> tuple[np.ndarray, np.ndarray]:
+        """First word and text of the overlapping windows over texts of so many words, one for every ``step`` words; the last one ends with the
+        text. A passage of up to ``LENGTH - step + 1`` words lies whole in one of them wherever it stands."""
+        n = np.where(counts > 0, np.maximum(-(-(counts - LENGTH) // step), 0) + 1, 0)
         text = np.repeat(np.arange(len(counts)), n)
         k = np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n)
-        first = np.minimum(k * STEP, np.maximum(counts[text] - LENGTH, 0))
+        first = np.minimum(k * step, np.maximum(counts[text] - LENGTH, 0))
         return first + (np.cumsum(counts) - counts)[text], text
 
-    def read(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, tuple, np.ndarray, np.ndarray]:
+    def read(self, data: np.ndarray, offsets: np.ndarray, step: int = STEP) -> tuple[np.ndarray, tuple, np.ndarray, np.ndarray]:
         """Texts as: kind of each word in a table of different words, that table (words, pieces, sizes), windows, their texts."""
         hashes, starts, ends, at = word_spans(data, offsets)
         kinds, first, kind = np.unique(hashes, return_index=True, return_inverse=True)
         piece, size = pieces(data, starts[first], ends[first])
         counts = np.diff(at)
-        begin, text = self.window_rows(counts)
+        begin, text = self.window_rows(counts, step)
         rows = begin[:, None] + np.arange(LENGTH)
         beyond = rows >= at[1:][text][:, None]
         padded = np.r_[kind, len(kinds)]
@@ -160,7 +161,7 @@ class Network:
         return kind, (kinds, piece, size), windows, text
 
     def scores(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """Largest logit over all windows of each text; -inf for texts without words."""
+        """Largest logit over the windows of each text, one for every ``STEP`` words; -inf for texts without words."""
         best = np.full(len(offsets) - 1, -np.inf)
         _, (kinds, piece, size), windows, text = self.read(data, offsets)
         if not len(windows):
@@ -192,7 +193,7 @@ def train(data: np.ndarray, offsets: np.ndarray, toxic: np.ndarray, epochs: int
     toxic = toxic.astype(np.float64)
     vocabulary, odds = log_odds(hashes, owner, toxic, 3, 20_000) if len(hashes) else (np.zeros(0, np.uint64), np.zeros(0))
     net = Network.start(vocabulary, seed)
-    _, (kinds, piece, size), windows, text = net.read(data, offsets)
+    _, (kinds, piece, size), windows, text = net.read(data, offsets, FIT_STEP)
     if not len(windows) or not 0 < toxic.sum() < len(toxic):
         net.p["bias"][:] = 8.0 if len(toxic) and toxic.all() else -8.0
         net.p["out"][:] = 0

@@ -1,4 +1,5 @@
-"""Toxicity of whole texts: the network of ``gru`` scores every overlapping window, and a text has the score of its worst one."""
+"""Toxicity of whole texts: the network of ``gru`` scores overlapping windows of 32 words, one for every eight words, so that each passage of
+up to 25 words lies whole in one; a text has the score of its worst window."""
 
 from __future__ import annotations
 
@@ -57,7 +58,7 @@ def fit(
 
 
 def score(docs: DataFrame, network: Network, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """Score of every whole text, by all its windows: id, score (0 to 1), predicted (1 from 0.5).
+    """Score of every whole text, by its overlapping windows from the first word to the last: id, score (0 to 1), predicted (1 from 0.5).
 
     A text without words, null and empty ones too, has the score 0. Repeated rows are scored one by one, an id may be null, an
     empty table gives no rows, other columns are not read.
