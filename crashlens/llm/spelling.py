@@ -41,24 +41,33 @@ def word_counts(docs: DataFrame, id: str = "doc_id", text: str = "text", drop_on
     return words.where(F.length("word") >= LEAST_LENGTH).groupBy("word").agg(F.count("*").alias("n"))
 
 
-def _signatures() -> Column:
-    """Structs (key, own, rest) of column ``word``. ``key`` stands for: the length of the shorter word of a pair, the half that
-    both share, and two of the parts of their letters. ``own``: the word is of that length; ``rest``: the other half."""
-    letters = F.array_join(F.array_sort(F.split("word", "")), "")
-    parts = [F.translate(letters, "".join(c for i, c in enumerate(LETTERS) if i % PARTS != part), "") for part in range(PARTS)]
-    size = F.length("word")
-    out = []
-    for chosen in combinations(range(PARTS), PARTS - CHANGED):
-        for less in (0, 1):  # the word is the shorter one of a pair, or one of the same length; or it is longer by one
-            shorter = size - less
-            half = F.floor(shorter / 2).cast("int")
-            tail = (shorter - half).cast("int")
-            start, end = F.substring("word", F.lit(1), half), F.substring("word", size - tail + 1, tail)
-            after, before = F.substring("word", half + 1, size), F.substring("word", F.lit(1), size - tail)
-            for side, same, rest in ((0, start, after), (1, end, before)):
-                key = F.xxhash64(F.lit(str(chosen)), F.lit(side), shorter, same, *(parts[part] for part in chosen))
-                out.append(F.struct(key.alias("key"), F.lit(less == 0).alias("own"), rest.alias("rest")))
-    return F.array(*out)
+def _members(words: DataFrame) -> DataFrame:
+    """(word, n, key, own, last) for each signature of each word.
+
+    ``key`` stands for: the length of the shorter word of a pair, the half that both share (the ``last`` one or the first), and two of the
+    parts of their letters. ``own``: the word is of that length; otherwise it is longer by one letter.
+    """
+    # Each step is a column of its own, so that Spark takes it once and not once for each signature.
+    sorted_letters = F.array_join(F.array_sort(F.split("word", "")), "")
+    parts = {f"p{part}": F.translate("letters", "".join(c for i, c in enumerate(LETTERS) if i % PARTS != part), "") for part in range(PARTS)}
+    chosen = {f"c{i}": F.xxhash64(F.lit(i), *(f"p{part}" for part in some)) for i, some in enumerate(combinations(range(PARTS), PARTS - CHANGED))}
+    halves = {}
+    for own in (True, False):
+        shorter = F.length("word") - (0 if own else 1)
+        half = F.floor(shorter / 2).cast("int")
+        halves[f"h{own}{False}"] = F.xxhash64(shorter, F.lit(0), F.substring("word", F.lit(1), half))
+        halves[f"h{own}{True}"] = F.xxhash64(shorter, F.lit(1), F.substring("word", half - shorter, F.length("word")))
+    table = words.select("word", "n").withColumn("letters", sorted_letters).withColumns(parts).withColumns(chosen | halves)
+    kinds = [(own, last) for own in (True, False) for last in (True, False)]
+    signatures = [F.struct(F.xxhash64(c, f"h{own}{last}").alias("key"), F.lit(own).alias("own"), F.lit(last).alias("last")) for c in chosen for own, last in kinds]
+    return table.select("word", "n", F.inline(F.array(*signatures)))
+
+
+def _rest() -> Column:
+    """The half of a word that the signature does not hold."""
+    shorter = F.length("word") - F.when(F.col("own"), 0).otherwise(1)
+    half = F.floor(shorter / 2).cast("int")
+    return F.when(F.col("last"), F.substring("word", F.lit(1), F.length("word") - shorter + half)).otherwise(F.substring("word", half + 1, F.length("word")))
 
 
 def _without_one_letter(tagged: bool) -> Column:
@@ -74,12 +83,12 @@ def near_words(words: DataFrame) -> DataFrame:
     A pair is never lost: equal hashes of a signature only bring pairs that don't hold to the verification. A word of a crowded
     signature has a key for each letter of half the word, so a run of many thousand letters costs that number squared there.
     """
-    members = words.select("word", "n", F.explode(_signatures()).alias("s")).select("word", "n", "s.*")
+    members = _members(words)
     # A crowded key is counted before the shuffle; a key alone, or without a word of its length, has no pair.
     sizes = members.groupBy("key").agg(F.count("*").alias("size"), F.count(F.when(F.col("own"), 1)).alias("owners"))
     live = sizes.where("size > 1 and owners > 0").select("key", (F.col("size") > CROWD).alias("crowded"))
     members = stored(members.join(live, "key"), "signatures")
-    calm, crowd = members.where("not crowded").drop("rest"), members.where("crowded")
+    calm, crowd = members.where("not crowded"), members.where("crowded").withColumn("rest", _rest())
 
     def pairs(one: DataFrame, other: DataFrame, key: str) -> DataFrame:
         other = other.select(key, F.col("own").alias("same"), F.col("word").alias("near"), F.col("n").alias("near_n"))
