@@ -22,6 +22,9 @@ from crashlens.llm.common import slices, stored, texts
 from crashlens.llm.tokens import encoder
 
 END_ID = 1
+
+#: Bytes of text whose ids are made at a time; the encoder's arrays for them take some thirty times as many.
+ENCODE_BYTES = 256 << 10
 PIECES = "id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string"
 
 
@@ -76,11 +79,11 @@ def tokenize(docs: DataFrame, vocabulary: str, id_column: str, text_column: str,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, used = TaskContext.get().partitionId(), {}
         encode = encoder(vocabulary).encode
-        for batch in slices(batches, "text", 4 << 20):
+        for batch in slices(batches, "text", ENCODE_BYTES):
             data, counts, starts = [], [], []
             sources = batch.column("source").to_pylist()
             for ids, source in zip(encode(texts(batch.column("text"))), sources, strict=True):
-                data.append(np.append(ids, np.uint16(END_ID)).tobytes())
+                data.append(np.append(ids, ids.dtype.type(END_ID)).tobytes())
                 counts.append(len(ids) + 1)
                 starts.append(used.get(source, 0))
                 used[source] = starts[-1] + counts[-1]
@@ -94,6 +97,8 @@ def tokenize(docs: DataFrame, vocabulary: str, id_column: str, text_column: str,
                     "start": pa.array(starts, pa.int64()),
                 }
             )
+            del batch, data
+            pa.default_memory_pool().release_unused()
 
     return docs.select(
         F.col(f"`{id_column}`").cast("long").alias("id"),
@@ -173,7 +178,8 @@ def pack(
             data = batch.column("ids")
             for r, b, e in zip(row.tolist(), (4 * start).tolist(), (4 * (start + length)).tolist(), strict=True):
                 if r != last:
-                    last, ids = r, memoryview(np.frombuffer(data[r].as_buffer(), "<u2").astype("<u4").tobytes())
+                    last, raw = r, data[r].as_buffer()
+                    ids = memoryview(np.frombuffer(raw, f"<u{raw.size // int(n[r])}").astype("<u4").tobytes())
                 crcs.append(zlib.crc32(ids[b:e]))
             yield pa.RecordBatch.from_pydict(
                 {

@@ -2,54 +2,172 @@
 
 The tokenizer parts a text at white space first, so the ids of a text are those of its chunks one after another, and the ids of a
 chunk those of its pretokens. Invented and inflected words come back often enough that keeping them saves most of the work.
-Texts with characters beyond the plain ones below go to the tokenizer whole.
+They are kept in a few flat arrays, about 40 bytes a word, and looked up for many texts at once. Texts with
+characters beyond the plain ones below go to the tokenizer whole, and so do all texts under a vocabulary that parts them in another way.
 """
 
 from __future__ import annotations
 
+import json
 import re
 from functools import cache, cached_property
 
 import numpy as np
 import regex
 
+from crashlens.llm.shingles import mixed, powers
+
 #: How the vocabulary's file parts lower-case text, and the characters for which this module does the same.
-PRETOKENS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": PATTERN}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
 NOT_PLAIN = re.compile("[^\t\n\r\x20-\x7e\xa1-\xac\xae-\xffŒœ]")
 CONTROLS = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]")
+PRETOKENS = regex.compile(PATTERN)
 WORD_END = "</w>"
 
-#: Chunks and pretokens kept in a worker; beyond that it starts anew.
-KEPT_CHUNKS, KEPT_PRETOKENS = 600_000, 600_000
+#: Bytes of the arrays of words kept in a worker. Beyond that, words not met since the last time go; all if these are few.
+KEPT_BYTES = 28 << 20
+
+_BASE = 0x9E3779B97F4A7C15
+_INVERSE = pow(_BASE, -1, 1 << 64)
+_SPACE = np.isin(np.arange(256), [9, 10, 13, 32])
+
+
+def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """All indices of the ranges, one range after another."""
+    ends = np.cumsum(lengths)
+    return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts - ends + lengths, lengths)
+
+
+def chunks(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, length and hash of what stands between white space."""
+    space = _SPACE[data]
+    edges = np.diff(np.r_[True, space, True].astype(np.int8))
+    starts, ends = np.flatnonzero(edges == -1), np.flatnonzero(edges == 1)
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(_BASE, len(data)), out=sums[1:])
+    hashes = mixed((sums[ends] - sums[starts]) * powers(_INVERSE, len(data))[starts])
+    return starts, ends - starts, hashes
+
+
+class Words:
+    """Words and their ids. A word is found by its hash, and only if its bytes are the same."""
+
+    def __init__(self, kind: str):
+        self.kind = kind
+        self._set(np.zeros(0, np.uint64), np.zeros(0, np.uint8), np.zeros(0, np.int32), np.zeros(0, kind), np.zeros(0, np.int32))
+
+    def _set(self, keys: np.ndarray, text: np.ndarray, text_n: np.ndarray, ids: np.ndarray, ids_n: np.ndarray) -> None:
+        """Take words in the order of their keys; bytes and ids of one stand after those of the other."""
+        self.keys, self.entry = keys, np.arange(len(keys), dtype=np.int32)
+        self.text, self.text_n, self.text_at = text, text_n, (np.cumsum(text_n) - text_n).astype(np.int32)
+        self.ids, self.ids_n, self.ids_at = ids, ids_n, (np.cumsum(ids_n) - ids_n).astype(np.int32)
+        self.met = np.zeros(len(keys), bool)
+
+    def size(self) -> int:
+        return sum(a.nbytes for a in (self.keys, self.entry, self.text, self.text_n, self.text_at, self.ids, self.ids_n, self.ids_at, self.met))
+
+    def find(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each word its entry, or -1; and whether another word of the same hash is there."""
+        found, clash = np.full(len(starts), -1, np.int64), np.zeros(len(starts), bool)
+        if not len(self.keys) or not len(starts):
+            return found, clash
+        distinct, which = np.unique(hashes, return_inverse=True)
+        at = np.minimum(np.searchsorted(self.keys, distinct), len(self.keys) - 1)
+        entry = np.where(self.keys[at] == distinct, self.entry[at], -1)[which]
+        known = np.flatnonzero(entry >= 0)
+        same = self.text_n[entry[known]] == lengths[known]
+        clash[known[~same]] = True
+        known = known[same]
+        mine, n = entry[known], lengths[known]
+        unlike = data[ranges(starts[known], n)] != self.text[ranges(self.text_at[mine], n)]
+        if unlike.any():
+            differs = np.logical_or.reduceat(unlike, np.cumsum(n) - n)
+            clash[known[differs]] = True
+            known, mine = known[~differs], mine[~differs]
+        found[known] = mine
+        self.met[mine] = True
+        return found, clash
+
+    def add(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, hashes: np.ndarray, ids: np.ndarray, ids_n: np.ndarray) -> None:
+        """Add words of new and distinct hashes."""
+        order = np.argsort(hashes)
+        number = np.empty(len(order), np.int32)
+        number[order] = np.arange(len(order))
+        place = np.searchsorted(self.keys, hashes[order])
+        self.keys = np.insert(self.keys, place, hashes[order])
+        self.entry = np.insert(self.entry, place, order.astype(np.int32) + np.int32(len(self.text_n)))
+        new = np.cumsum(lengths) - lengths, np.cumsum(ids_n) - ids_n
+        self.text_at = np.r_[self.text_at, (new[0] + len(self.text)).astype(np.int32)]
+        self.ids_at = np.r_[self.ids_at, (new[1] + len(self.ids)).astype(np.int32)]
+        self.text, self.ids = np.r_[self.text, data[ranges(starts, lengths)]], np.r_[self.ids, ids.astype(self.kind)]
+        self.text_n, self.ids_n = np.r_[self.text_n, lengths.astype(np.int32)], np.r_[self.ids_n, ids_n.astype(np.int32)]
+        self.met = np.r_[self.met, np.zeros(len(lengths), bool)]
+
+    def ids_of(self, entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words, one after another, and how many each has."""
+        n = self.ids_n[entries].astype(np.int64)
+        return self.ids[ranges(self.ids_at[entries], n)], n
+
+    def shrink(self, limit: int) -> None:
+        if self.size() <= limit:
+            return
+        kept = self.met[self.entry]
+        if kept.sum() > len(kept) // 2:
+            kept[:] = False
+        own = self.entry[kept]
+        ids, ids_n = self.ids_of(own)
+        text = self.text[ranges(self.text_at[own], self.text_n[own].astype(np.int64))]
+        self._set(self.keys[kept], text, self.text_n[own], ids, ids_n.astype(np.int32))
 
 
 class Encoder:
-    def __init__(self, path: str):
+    def __init__(self, path: str, kept_bytes: int = KEPT_BYTES):
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-        self.path = path
+        self.path, self.kept_bytes = path, kept_bytes
         self.by_word = Tokenizer.from_file(path)  # the same merges, for pretokens parted by spaces
+        size = self.by_word.get_vocab_size()
+        self.kind = "<u2" if size <= 1 << 16 else "<u4"
+        self.known = known(self.by_word)
         self.by_word.normalizer = normalizers.Sequence([])
         self.by_word.pre_tokenizer = pre_tokenizers.Sequence(
             [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
         )
-        self.ends = np.zeros(self.by_word.get_vocab_size(), bool)
-        self.ends[[i for token, i in self.by_word.get_vocab().items() if token.endswith(WORD_END)]] = True
-        self.pretokens: dict[str, bytes] = {}
-        self.chunks: dict[str, bytes] = {}
+        self.ends = np.zeros(size, bool)
+        if self.known:
+            self.ends[[i for token, i in self.by_word.get_vocab().items() if token.endswith(WORD_END) and i < size]] = True
+        self.words = Words(self.kind)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """The ids of each text, as 16-bit numbers."""
-        for kept, most in ((self.chunks, KEPT_CHUNKS), (self.pretokens, KEPT_PRETOKENS)):
-            if len(kept) > most:
-                kept.clear()
-        parted = [text.lower().split() if plain(text) else None for text in texts]
-        self._learn(set().union(*filter(None, parted)).difference(self.chunks))
-        ids_of = self.chunks.__getitem__
-        return [
-            self._whole(text) if words is None else np.frombuffer(b"".join(map(ids_of, words)), "<u2")
-            for text, words in zip(texts, parted, strict=True)
-        ]
+        """The ids of each text, as numbers of 16 bits, or 32 for vocabularies of more."""
+        self.words.shrink(self.kept_bytes)
+        fast = [i for i, text in enumerate(texts) if self.known and plain(text)]
+        out: dict[int, np.ndarray] = {}
+        if fast:
+            parts = [texts[i].lower().encode() for i in fast]
+            data = np.frombuffer(b"\n".join(parts), np.uint8)
+            starts, lengths, hashes = chunks(data)
+            begins = np.cumsum([0, *(len(part) + 1 for part in parts)])
+            bounds = np.searchsorted(starts, begins)
+            entries, clash = self.words.find(data, starts, lengths, hashes)
+            if (entries < 0).any():
+                self._learn(data, starts, lengths, hashes, (entries < 0) & ~clash)
+                entries, clash = self.words.find(data, starts, lengths, hashes)
+            clash |= entries < 0  # a word that shares its hash with another one, or that has such a part
+            ids, n = self.words.ids_of(np.maximum(entries, 0)) if len(self.words.keys) else (np.zeros(0, self.kind), np.zeros(len(entries), np.int64))
+            cuts = np.r_[0, np.cumsum(n)][bounds]
+            for k, i in enumerate(fast):
+                if not clash[bounds[k] : bounds[k + 1]].any():
+                    out[i] = ids[cuts[k] : cuts[k + 1]]
+        return [out[i] if i in out else self._whole(text) for i, text in enumerate(texts)]
 
     @cached_property
     def tokenizer(self):
@@ -59,26 +177,47 @@ class Encoder:
         return Tokenizer.from_file(self.path)
 
     def _whole(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u2")
-
-    def _learn(self, chunks: set[str]) -> None:
-        parts = {chunk: [chunk] if chunk.isalpha() else PRETOKENS.findall(chunk) for chunk in chunks}
-        new = list({p for pieces in parts.values() for p in pieces}.difference(self.pretokens))
-        for start in range(0, len(new), 5000):
-            self._learn_pretokens(new[start : start + 5000])
-        pretokens = self.pretokens
-        for chunk, pieces in parts.items():
-            self.chunks[chunk] = pretokens[pieces[0]] if len(pieces) == 1 else b"".join([pretokens[p] for p in pieces])
-
-    def _learn_pretokens(self, new: list[str]) -> None:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind)
+
+    def _learn(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, hashes: np.ndarray, new: np.ndarray) -> None:
+        """Add the new chunks: first the pretokens they are made of, then those of several."""
+        rows = np.flatnonzero(new)
+        rows = rows[np.unique(hashes[rows], return_index=True)[1]]
+        raw = data.tobytes()
+        words = [raw[s : s + n].decode() for s, n in zip(starts[rows].tolist(), lengths[rows].tolist(), strict=True)]
+        pieces = [[word] if word.isalpha() else PRETOKENS.findall(word) for word in words]
+        parts = list({p: None for own in pieces for p in own})
+        joined = np.frombuffer(" ".join(parts).encode(), np.uint8)
+        spans = chunks(joined)
+        entries, clash = self.words.find(joined, *spans)
+        unknown = np.flatnonzero((entries < 0) & ~clash)
+        unknown = unknown[np.sort(np.unique(spans[2][unknown], return_index=True)[1])]
+        for at in range(0, len(unknown), 5000):
+            self._add_pretokens([parts[i] for i in unknown[at : at + 5000].tolist()], joined, *(x[unknown[at : at + 5000]] for x in spans))
+        entries, clash = self.words.find(joined, *spans)
+        entry_of = {part: -1 if bad else entry for part, entry, bad in zip(parts, entries.tolist(), clash.tolist(), strict=True)}
+        several = [k for k, own in enumerate(pieces) if len(own) > 1 and min(entry_of[p] for p in own) >= 0]
+        if several:
+            flat = np.array([entry_of[p] for k in several for p in pieces[k]])
+            first = np.cumsum([0, *(len(pieces[k]) for k in several)])[:-1]
+            ids, n = self.words.ids_of(flat)
+            own = rows[several]
+            self.words.add(data, starts[own], lengths[own], hashes[own], ids, np.add.reduceat(n, first))
+
+    def _add_pretokens(self, new: list[str], data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, hashes: np.ndarray) -> None:
         """Encode many pretokens as one text; the last id of each has the mark of a word's end."""
-        ids = np.array(self.by_word.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids, "<u2")
+        ids = np.array(self.by_word.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids, self.kind)
         ends = np.flatnonzero(self.ends[ids]) + 1
         if len(ends) != len(new):
             raise ValueError("the vocabulary does not mark the ends of words")
-        data = ids.tobytes()
-        for pretoken, start, end in zip(new, [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
-            self.pretokens[pretoken] = data[2 * start : 2 * end]
+        self.words.add(data, starts, lengths, hashes, ids, np.diff(ends, prepend=0))
+
+
+def known(tokenizer) -> bool:
+    """Whether a vocabulary's file parts and folds texts the way this module does."""
+    state = lambda part: part and json.loads(part.__getstate__())
+    suffix = getattr(tokenizer.model, "end_of_word_suffix", None)
+    return state(tokenizer.normalizer) == NORMALIZER and state(tokenizer.pre_tokenizer) == PRE_TOKENIZER and suffix == WORD_END
 
 
 def plain(text: str) -> bool:

@@ -10,6 +10,7 @@ from llm_frames import *  # noqa: F403  (fixtures)
 from llm_frames import frame
 from tokenizers import Tokenizer
 
+from crashlens.llm import tokens
 from crashlens.llm.packing import Schedule, pack
 from crashlens.llm.sharding import shard_by_bytes
 from crashlens.llm.tokens import Encoder
@@ -29,6 +30,35 @@ def test_kept_words_give_the_ids_of_the_tokenizer(text):
     assert Encoder(VOCABULARY).encode([text])[0].tolist() == ids_of(text)[:-1].tolist()
 
 
+@pytest.mark.parametrize("hashes", [1, 40, None], ids=["one", "few", "all"])
+def test_words_of_one_hash_are_told_apart(monkeypatch, prose, hashes):
+    """Words whose hashes are equal, an encoder that forgets, and texts met again give the same ids."""
+    if hashes:
+        real = tokens.chunks
+        monkeypatch.setattr(tokens, "chunks", lambda data: (*real(data)[:2], real(data)[2] % np.uint64(hashes)))
+    encoder = Encoder(VOCABULARY, kept_bytes=20_000)
+    texts = ["", " \n", "Don't stop123, foo-bar foo bar", *(f"{prose(k, 80)}, {prose(k, 9)}'s 12{k}!" for k in range(12)), "Ünï çödé", "\U0001f600 ok", "x" * 5000]
+    for part in (texts[:9], texts[9:], texts, texts[::-1]):
+        assert [ids.tolist() for ids in encoder.encode(part)] == [ids_of(text)[:-1].tolist() for text in part]
+
+
+def test_a_vocabulary_that_keeps_capitals_is_taken_as_it_is(spark, tmp_path):
+    """Only the file's own folding and parting are done fast; any other goes to the tokenizer whole."""
+    import json
+
+    with open(VOCABULARY) as file:
+        cased = json.load(file)
+    cased["normalizer"] = None
+    path = str(tmp_path / "cased.json")
+    with open(path, "w") as file:
+        json.dump(cased, file)
+    text = "Don't SHOUT at Ünïcödé 123 don't"
+    expected = Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
+    assert Encoder(path).encode([text])[0].tolist() == expected != ids_of(text)[:-1].tolist()
+    piece = pack(frame(spark, [(1, text, "a")]), path).collect()
+    assert [(p["length"], p["ids_crc32"]) for p in piece] == [(len(expected) + 1, zlib.crc32(np.array([*expected, 1], "<u4").tobytes()))]
+
+
 def check_pieces(pieces, docs, window):
     by_doc, by_sequence = defaultdict(list), defaultdict(list)
     for p in pieces:
