@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import zipfile
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -59,8 +61,26 @@ def stored(df: DataFrame, name: str) -> DataFrame:
         conf.set(CLEANUP, before)
 
 
+@cache
+def _allocator():
+    """The C library's malloc_trim, if it has one. Arrays of over 1 MB get pages of their own, so these go back when an array does."""
+    library = ctypes.CDLL(None)
+    if not hasattr(library, "malloc_trim"):
+        return None
+    library.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD; left alone it grows to 32 MB
+    return library.malloc_trim
+
+
+def give_back() -> None:
+    """Return free memory of this worker to the system: workers stay between tasks and stages, and an executor's memory holds them all."""
+    pa.default_memory_pool().release_unused()
+    if trim := _allocator():
+        trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cut batches so that no slice has much over ``limit`` bytes of ``column``; no row is cut or left out."""
+    """Cut batches so that no slice has much over ``limit`` bytes of ``column``; no row is cut or left out. What a task leaves is given back."""
+    give_back()
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -69,6 +89,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BY
         edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
         for start, end in zip(edges, edges[1:], strict=False):
             yield batch.slice(start, end - start)
+    give_back()
 
 
 def utf8_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -97,8 +97,6 @@ def tokenize(docs: DataFrame, vocabulary: str, id_column: str, text_column: str,
                     "start": pa.array(starts, pa.int64()),
                 }
             )
-            del batch, data
-            pa.default_memory_pool().release_unused()
 
     return docs.select(
         F.col(f"`{id_column}`").cast("long").alias("id"),

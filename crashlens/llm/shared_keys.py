@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crashlens.llm.common import slices, utf8_buffer
+from crashlens.llm.common import give_back, slices, utf8_buffer
 
 #: Bits of a key. A range takes at least 8 of them, so the rest and the text's number in its slice fit into 64.
 KEY_BITS = 56
@@ -132,6 +132,8 @@ def _answer(range_bits: int):
             yield _table(out, ANSWER)
         if held:
             yield _table(list(counted(held)), ANSWER)
+        held.clear()
+        give_back()
 
     return run
 
@@ -175,6 +177,8 @@ def _tell(keep: Callable[[int, int, np.ndarray, np.ndarray], bool]):
             yield _table(out, RESULT)
         if slice_rows:
             yield _table(list(of_slice(slice_rows)), RESULT)
+        slice_rows.clear()
+        give_back()
 
     return run
 
