@@ -3,7 +3,8 @@
 A byte goes if a 50-byte string that covers it also starts in a document of smaller id. Equal strings have equal anchor keys,
 so documents exchange the keys first; where several documents have a key, the bytes of its windows are brought together and
 their suffixes sorted. Every window of every text takes part. A key that very many documents have would bring too much to one
-task: there, equal segments are counted before they are moved, and their windows are spread by their bytes.
+task: there, equal segments are counted before they are moved, and their windows are spread by their bytes. Long stretches of a
+short period (rules, padding) have as many different windows as the period: only these move, with how far they repeat.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crashlens.llm.anchors import WINDOW, runs
+from crashlens.llm.anchors import PLACES, WINDOW, runs
 from crashlens.llm.common import slices, stored, utf8_buffer
 from crashlens.llm.shared_keys import shared_keys
 from crashlens.llm.shingles import mixed
@@ -24,6 +25,9 @@ from crashlens.llm.suffix_sort import earlier_windows
 #: Bytes of segments sorted at a time, and of text cut at a time.
 SORT_BYTES, CUT_BYTES = 1 << 20, 1 << 20
 
+#: Runs of more windows than ``LONG`` are searched for stretches of a short period; what is left is cut into ``PIECE`` windows.
+LONG, PIECE = 128, 4096
+
 #: Rows of an id and a digest that are broadcast; beyond, Spark joins by shuffle.
 BROADCAST_ROWS = 500_000
 
@@ -50,6 +54,45 @@ def binaries(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> pa.Ar
     return pa.Array.from_buffers(pa.binary(), len(starts), buffers)
 
 
+def _pieces(own: np.ndarray) -> list[tuple[int, int, int, int]]:
+    """The windows of a long run of windows, each in a piece: first and last window sent, period, and windows after the first
+    that the piece stands for.
+
+    The key's string is in every window, so it repeats after at most ``PLACES`` bytes and no longer period is looked for.
+    """
+    rest, pieces = np.ones(len(own) - WINDOW + 1, bool), []
+    for period in range(1, PLACES + 1):
+        if not rest.any():
+            break
+        # Windows that hold no byte unlike the one a period after it lie between two such bytes.
+        edges = np.r_[-1, np.flatnonzero(own[period:] != own[:-period]), len(own) - period]
+        first, last = edges[:-1] + 1, edges[1:] - WINDOW + period
+        for k in np.flatnonzero(last - first >= LONG).tolist():
+            open_ = np.flatnonzero(rest[first[k] : last[k] + 1])
+            if len(open_) > LONG:
+                a, b = int(first[k] + open_[0]), int(first[k] + open_[-1])
+                rest[a : b + 1] = False
+                pieces.append((a, a + period - 1, period, b - a))
+    left = np.flatnonzero(np.diff(np.r_[False, rest, False].astype(np.int8)))
+    for a, b in left.reshape(-1, 2).tolist():
+        pieces += [(c, min(c + PIECE, b) - 1, 1, 0) for c in range(a, b, PIECE)]
+    return pieces
+
+
+def folded(data: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of windows as pieces: the run's number, first and last window sent, period, windows after the first stood for."""
+    long = last - first > LONG
+    numbers = np.flatnonzero(~long)
+    one = np.ones(len(numbers), np.int64)
+    columns = [[numbers], [first[numbers]], [last[numbers]], [one], [0 * one]]
+    for k in np.flatnonzero(long).tolist():
+        at = int(first[k])
+        a, b, period, more = np.array(_pieces(data[at : int(last[k]) + WINDOW]), np.int64).T
+        for column, values in zip(columns, (np.full(len(a), k), a + at, b + at, period, more), strict=True):
+            column.append(values)
+    return tuple(np.concatenate(column) for column in columns)
+
+
 def _cut(hot: bool, hot_documents: int):
     """Segments (the bytes of a run of windows) of the keys that several documents have: the hot ones or the others."""
 
@@ -68,32 +111,37 @@ def _cut(hot: bool, hot_documents: int):
             at = np.searchsorted(known, own)
             chosen = known[np.minimum(at, len(known) - 1)] == own
             key, first, last, text = key[chosen], first[chosen], last[chosen], text[chosen]
+            run, first, last, period, more = folded(data, first, last)
+            key, text = key[run], text[run]
             ids = batch.column("id").to_numpy(zero_copy_only=False)
             digests = batch.column("digest").take(pa.array(text))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(key.view(np.int64)), pa.array(ids[text]), digests, pa.array(first - offsets[text]), binaries(data, first, last - first + WINDOW)],
-                ["key", "id", "digest", "start", "segment"],
+                [pa.array(key.view(np.int64)), pa.array(ids[text]), digests, pa.array(first - offsets[text]), pa.array(period), pa.array(more), binaries(data, first, last - first + WINDOW)],
+                ["key", "id", "digest", "start", "period", "more", "segment"],
             )
 
     return run
 
 
-CUT = "key long, id long, digest binary, start long, segment binary"
+CUT = "key long, id long, digest binary, start long, period long, more long, segment binary"
 SPANS = "id long, digest binary, start long, end long"
 
 
 def _spans(table: pa.Table, segment: np.ndarray, inside: np.ndarray) -> pa.RecordBatch:
-    """Bytes that the windows cover, as spans; the windows of a segment are ascending."""
+    """Bytes that the windows and their repeats cover, as spans; the windows of a segment are ascending. A window of a stretch with
+    a period (shorter than a window) is there again after each period, without a gap between."""
     new = np.flatnonzero(np.r_[True, (segment[1:] != segment[:-1]) | (inside[1:] > inside[:-1] + WINDOW)]) if len(segment) else segment
-    last = np.r_[new[1:], len(segment)][: len(new)] - 1
-    start = table.column("start").to_numpy()
+    start, period, more = (table.column(c).to_numpy() for c in ("start", "period", "more"))
+    further = np.maximum(more[segment] - inside, 0)
+    last = inside + further - further % period[segment]
+    last = np.maximum.reduceat(last, new) if len(new) else new
     rows = pa.array(segment[new])
     return pa.RecordBatch.from_arrays(
         [
             table.column("id").combine_chunks().take(rows),
             table.column("digest").combine_chunks().take(rows),
             pa.array(start[segment[new]] + inside[new]),
-            pa.array(start[segment[new]] + inside[last] + WINDOW),
+            pa.array(start[segment[new]] + last + WINDOW),
         ],
         ["id", "digest", "start", "end"],
     )
@@ -135,7 +183,7 @@ def _hot_spans(segments: DataFrame) -> DataFrame:
         "suffix-windows",
     )
     least = windows.groupBy("window").agg(F.min("first").alias("least"))
-    window = F.struct(F.col("inside").cast("long").alias("start"), (F.col("inside") + WINDOW).cast("long").alias("end"), "least")
+    window = F.struct(F.col("inside").cast("long").alias("start"), "least")
     known = (
         windows.join(least, "window")
         .groupBy("key", "segment")
@@ -144,10 +192,9 @@ def _hot_spans(segments: DataFrame) -> DataFrame:
     # One more join column gives the small side an exchange of its own, so that Spark can split a hot segment.
     part = F.pmod(F.col("key"), F.lit(2)).alias("part")
     met = segments.select("*", part).join(known.select("*", part), ["key", "segment", "part"]).where(F.col("least") < F.col("id"))
-    spans = F.transform(
-        F.filter("found", lambda w: w["least"] < F.col("id")),
-        lambda w: F.struct((F.col("start") + w["start"]).alias("start"), (F.col("start") + w["end"]).alias("end")),
-    )
+    further = "greatest(more - w.start, 0L)"
+    spans = F.expr(f"""transform(filter(found, w -> w.least < id), w -> named_struct(
+        'start', start + w.start, 'end', start + w.start + {further} - {further} % period + {WINDOW}L))""")
     return met.select("id", "digest", spans.alias("spans"))
 
 

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -206,6 +207,64 @@ def test_cleaning_keeps_columns_and_whole_characters(spark, passages, no_docs):
     assert {r["doc_id"]: r["text"] for r in kept.collect()} == expected
 
 
+def with_stretches(size, n):
+    """Texts with long stretches of short periods, at other phases and lengths in each, and rules with fillers between."""
+    units = ["-", "ab", "= ", "|----", "0123456", "é", "\n" + "-" * 20 + "+"]
+    docs = []
+    for k in range(n):
+        draw = random.Random(k)
+        own = units[k % 3 :: 2] if k % 5 else units
+        parts = [(u * (size // len(u) + 2))[draw.randint(0, 1) * (u == "ab") :][: size + 2 * draw.randint(0, 40)] for u in own]
+        fillers = ["-" * 20 + str(draw.randint(0, 99)) for _ in range(20)]
+        docs.append((k, f"head {k} " + f" part {k % 4} ".join(parts) + "".join(fillers) + f"tail {k}", "a"))
+    return docs
+
+
+@pytest.mark.parametrize("hot_documents", [20_000, 1])
+def test_stretches_of_a_short_period(spark, hot_documents):
+    docs = with_stretches(400, 24)
+    got = remove_repeats(frame(spark, docs), hot_documents)
+    assert sorted((tuple(r[:4]) + (bytes(r[4]),) for r in got.collect()), key=repr) == brute_repeats(docs)
+
+
+def test_pieces_hold_every_window_once_or_by_its_period():
+    draw = random.Random(3)
+    texts = ["-" * 9000, "ab" * 700, "".join("-" * 20 + str(draw.randint(0, 9)) for _ in range(900))]
+    texts += ["x" * 300 + "y" * 20 + "xy" * 300 + "".join(draw.choice("xy") for _ in range(500)) + "xxy" * 200]
+    for text in texts:
+        own = np.frombuffer(text.encode(), np.uint8)
+        told = np.zeros(len(own) - WINDOW + 1, int)
+        for a, b, period, more in suffix_dedup._pieces(own):
+            assert b - a < suffix_dedup.PIECE
+            for w in range(a, max(a + more, b) + 1):
+                model = a + (w - a) % period if more else w
+                assert a <= model <= b and (own[model : model + WINDOW] == own[w : w + WINDOW]).all()
+                told[w] += 1
+        assert told.min() == 1 and told.max() <= 2
+
+
+@pytest.mark.parametrize("unit", ["-", "ab"])
+def test_long_stretches_take_little_memory(unit):
+    """200 texts with 200 KB of one byte or of two, in one task."""
+    texts = [f"head {k} " + unit * (200_000 // len(unit)) + f" tail {k}" for k in range(200)]
+    key = runs(*utf8_buffer(pa.array([texts[0]])))[0]
+    keys, counts = np.unique(key).tobytes(), np.full(len(np.unique(key)), 200).tobytes()
+
+    def batches():
+        for k, text in enumerate(texts):
+            yield pa.RecordBatch.from_pydict({"id": [k], "digest": [bytes(16)], "text": [text], "keys": [keys], "counts": [counts]})
+
+    tracemalloc.start()
+    rows = pa.Table.from_batches(list(suffix_dedup._cut(False, 20_000)(batches()))).sort_by("key")
+    spans = list(suffix_dedup._sort(iter(rows.to_batches())))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 300 << 20 and rows.nbytes < 1 << 20
+    found = pa.Table.from_batches(spans).to_pylist()
+    covered = {i: max(r["end"] - r["start"] for r in found if r["id"] == i) for i in range(1, 200)}
+    assert min(covered.values()) >= 200_000 and all(r["id"] for r in found)
+
+
 @pytest.mark.parametrize("letters", ["ab", "abcdefgh "])
 def test_windows_of_small_alphabets(letters):
     draw = random.Random(2)
