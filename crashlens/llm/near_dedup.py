@@ -27,6 +27,7 @@ from crashlens.llm.common import slices, stored, utf8_buffer
 from crashlens.llm.graph import components
 from crashlens.llm.shared_keys import shared_keys
 from crashlens.llm.shingles import mixed, shingle_sets
+from crashlens.operators.positions import free_name
 
 #: Bands and samples in each: a pair of similarity 0.8 is in no common bucket with a chance of 2 in 10,000.
 BANDS, ROWS = 12, 3
@@ -300,16 +301,17 @@ def one_of_each(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     Rows without an id stay.
     """
     classes = near_classes(docs, id_column=id_column, text_column=text_column, **options)
-    gone = classes.where(F.col(id_column) != F.col("class_id")).select(F.col(id_column).alias("__gone")).distinct()
-    left = docs.join(gone, F.col(f"`{id_column}`") == F.col("__gone"), "left_anti")
-    repeated = stored(docs.groupBy(F.col(f"`{id_column}`").alias("__again")).count().where("`count` > 1").select("__again"), "near-repeated")
+    other, row = free_name("_other", docs), free_name("_row", docs)
+    gone = classes.where(F.col(id_column) != F.col("class_id")).select(F.col(id_column).alias(other)).distinct()
+    left = docs.join(gone, F.col(f"`{id_column}`") == F.col(other), "left_anti")
+    repeated = stored(docs.groupBy(F.col(f"`{id_column}`").alias(other)).count().where("`count` > 1").select(other), "near-repeated")
     if repeated.isEmpty():
         return left
-    again = F.col(f"`{id_column}`") == F.col("__again")
+    again = F.col(f"`{id_column}`") == F.col(other)
     digest = F.unhex(F.md5(F.coalesce(F.col(f"`{text_column}`"), F.lit(""))))
     one = (
         left.join(repeated, again, "left_semi")
-        .groupBy(F.col(f"`{id_column}`").alias("__one"))
-        .agg(F.min_by(F.struct(*(F.col(f"`{c}`") for c in docs.columns)), digest).alias("__row"))
+        .groupBy(F.col(f"`{id_column}`").alias(other))
+        .agg(F.min_by(F.struct(*(F.col(f"`{c}`") for c in docs.columns)), digest).alias(row))
     )
-    return left.join(repeated, again, "left_anti").union(one.select("__row.*"))
+    return left.join(repeated, again, "left_anti").union(one.select(f"`{row}`.*"))

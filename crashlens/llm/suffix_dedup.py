@@ -21,6 +21,7 @@ from crashlens.llm.common import slices, stored, utf8_buffer
 from crashlens.llm.shared_keys import shared_keys
 from crashlens.llm.shingles import mixed
 from crashlens.llm.suffix_sort import earlier_windows
+from crashlens.operators.positions import free_name
 
 #: Bytes of segments sorted at a time, and of text cut at a time.
 SORT_BYTES, CUT_BYTES = 1 << 20, 1 << 20
@@ -251,18 +252,19 @@ def prepared(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
     return docs.select(F.col(f"`{id_column}`").cast("long").alias("id"), F.unhex(F.md5(text)).alias("digest"), text.alias("text"))
 
 
-def with_spans(docs: DataFrame, hot_documents: int, id_column: str, text_column: str) -> DataFrame:
-    """The rows with all their columns, and the spans to remove as one more, ``__spans``."""
+def with_spans(docs: DataFrame, spans_column: str, hot_documents: int, id_column: str, text_column: str) -> DataFrame:
+    """The rows with all their columns, and the spans to remove as one more, ``spans_column``."""
     rows = prepared(docs, id_column, text_column)
+    key, told = free_name("_id", docs), free_name("_digest", docs)
     spans = (
         repeated_spans(rows.where(F.col("id").isNotNull()), docs.count(), hot_documents)
         .groupBy("id", "digest")
-        .agg(F.flatten(F.collect_list("spans")).alias("__spans"))  # of one document
-        .withColumnsRenamed({"id": "__id", "digest": "__digest"})
+        .agg(F.flatten(F.collect_list("spans")).alias(spans_column))  # of one document
+        .withColumnsRenamed({"id": key, "digest": told})
     )
     digest = F.unhex(F.md5(F.coalesce(F.col(f"`{text_column}`"), F.lit(""))))
-    same = (F.col(f"`{id_column}`").cast("long") == F.col("__id")) & (digest == F.col("__digest"))
-    return docs.join(spans, same, "left").drop("__id", "__digest")
+    same = (F.col(f"`{id_column}`").cast("long") == F.col(key)) & (digest == F.col(told))
+    return docs.join(spans, same, "left").drop(key, told)
 
 
 def remove_repeats(docs: DataFrame, hot_documents: int = 20_000, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -278,13 +280,13 @@ def remove_repeats(docs: DataFrame, hot_documents: int = 20_000, id_column: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            rows = [(n, n - len(kept), spans, kept) for n, spans, kept in _left(*utf8_buffer(batch.column("text")), batch.column("__spans"))]
+            rows = [(n, n - len(kept), spans, kept) for n, spans, kept in _left(*utf8_buffer(batch.column("text")), batch.column("spans"))]
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
             columns = [pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("id"), *columns], ["id", "n_bytes", "n_removed", "n_spans", "kept"])
 
     plain = docs.select(F.col(f"`{id_column}`").cast("long").alias("id"), F.col(f"`{text_column}`").alias("text"))
-    found = with_spans(plain, hot_documents, "id", "text")
+    found = with_spans(plain, "spans", hot_documents, "id", "text")
     return found.mapInArrow(run, "id long, n_bytes long, n_removed long, n_spans long, kept binary").withColumnRenamed("id", id_column)
 
 
@@ -293,17 +295,18 @@ def clean(docs: DataFrame, hot_documents: int = 20_000, id_column: str = "doc_id
 
     Bytes of a character that was cut go with it. A row of which nothing is left goes; one that was empty before stays.
     """
+    spans_column = free_name("_spans", docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text_column):
             column = batch.column(text_column)
             left = [
                 (kept.decode("utf-8", "ignore") if spans else old.as_py(), not spans or bool(kept.strip()))
-                for old, (_, spans, kept) in zip(column, _left(*utf8_buffer(column), batch.column("__spans")), strict=True)
+                for old, (_, spans, kept) in zip(column, _left(*utf8_buffer(column), batch.column(spans_column)), strict=True)
             ]
             texts, stays = zip(*left, strict=True)
             at = batch.schema.get_field_index(text_column)
             batch = batch.set_column(at, batch.schema.field(at), pa.array(texts, column.type))
-            yield batch.drop_columns(["__spans"]).filter(pa.array(stays))
+            yield batch.drop_columns([spans_column]).filter(pa.array(stays))
 
-    return with_spans(docs, hot_documents, id_column, text_column).mapInArrow(run, docs.schema)
+    return with_spans(docs, spans_column, hot_documents, id_column, text_column).mapInArrow(run, docs.schema)

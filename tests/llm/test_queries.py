@@ -3,6 +3,7 @@
 import pytest
 from llm_frames import *  # noqa: F403  (fixtures)
 from llm_frames import rows
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from crashlens.llm.queries import ORACLES, QUERIES
@@ -70,3 +71,38 @@ def test_pipeline_runs_as_a_whole(spark, sf_dir):
     df = corpus_pipeline.run(spark, sf_dir)
     sizes = [r["n"] for r in df.groupBy("sequence_id").agg({"length": "sum"}).withColumnRenamed("sum(length)", "n").collect()]
     assert sizes and max(sizes) <= 2048
+
+
+CLASHES = ("_id", "_digest", "_spans", "_other", "_row", "_found", "id", "key", "keys", "segment", "class_id", "n", "part")
+
+
+@pytest.fixture(scope="module")
+def edge_folder(spark, sf_dir, edge_rows, tmp_path_factory):
+    """Documents with nulls, empty and long texts, repeated rows and ids, ids with several texts, and columns named as inside."""
+    folder = tmp_path_factory.mktemp("edges")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    edges = [(i and 10**6 + i, t, None, s, None if t is None else len(t)) for i, t, s in edge_rows]
+    edges += [(10**6 + 6, "another text of the same id", "en", "a", 27), (10**6 + 6, None, None, None, None)]
+    kinds = ", ".join(f"`{n}` {k}" for n, k in docs.select("doc_id", "text", "lang", "source", "n_chars").dtypes)
+    rows = docs.select("doc_id", "text", "lang", "source", "n_chars").union(spark.createDataFrame(edges, kinds))
+    rows.withColumns({name: F.lit(name) for name in CLASHES}).write.parquet(f"{folder}/documents.parquet")
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{sf_dir}/{name}.parquet").write.parquet(f"{folder}/{name}.parquet")
+    return str(folder)
+
+
+def test_stages_take_edge_rows_and_empty_tables(spark, edge_folder):
+    """Every stage over the edge rows themselves, then over what the stages before it leave, then over no rows."""
+    docs = spark.read.parquet(f"{edge_folder}/documents.parquet")
+    kept = docs
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        alone = stage(spark, docs, edge_folder)
+        assert alone.columns == docs.columns and 0 < alone.count() <= docs.count()
+        kept = stage(spark, kept, edge_folder).cache()
+        assert kept.columns == docs.columns and all(r["_id"] == "_id" for r in kept.select("_id").collect())
+        assert stage(spark, docs.where(F.lit(False)), edge_folder).count() == 0
+    pack = corpus_pipeline.STAGES[-1][1]
+    assert pack(spark, docs.where(F.lit(False)), edge_folder).count() == 0
+    for rows in (docs, kept):
+        pieces = pack(spark, rows, edge_folder)
+        assert pieces.where("start = 0").count() == rows.count()
