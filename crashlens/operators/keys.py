@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from crashlens.operators.joins import join_per_key
+from crashlens.operators.positions import free_name
 
 
 def distinct_on(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -42,16 +43,41 @@ def key_ladder(df: DataFrame, key_sets: Mapping[str, Sequence[str]]) -> DataFram
     A key set that is part of another one is made distinct from that one's distinct rows, so nested sets take one
     scan of the table and shuffle its keys once; sets that are part of no other run as branches of their own.
     """
-    ladder: dict[str, DataFrame] = {}
+    rows, ladder = free_name("_rows", df), dict[str, DataFrame]()
     for name in sorted(key_sets, key=lambda n: -len(key_sets[n])):
         finer = [other for other in ladder if set(key_sets[name]) <= set(key_sets[other])]
         source = ladder[min(finer, key=lambda n: len(key_sets[n]))] if finer else df
         # The test of the count, always true, keeps the optimizer from reading the table anew for the coarser set.
-        groups = source.groupBy(*key_sets[name]).agg(F.count(F.lit(1)).alias("_rows"))
-        ladder[name] = groups.filter("_rows > 0").select(*key_sets[name])
+        groups = source.groupBy(*key_sets[name]).agg(F.count(F.lit(1)).alias(rows))
+        ladder[name] = groups.filter(F.col(rows) > 0).select(*key_sets[name])
 
     def counted(name: str, rows: DataFrame) -> DataFrame:
         return rows.agg(F.count(F.lit(1)).alias("combinations")).select(F.lit(name).alias("key_set"), "combinations")
 
     rungs = [counted("rows", df.select(F.lit(1)))] + [counted(name, ladder[name]) for name in key_sets]
     return reduce(DataFrame.unionAll, rungs)
+
+
+def key_set_counts(df: DataFrame, key_sets: Mapping[str, Sequence[str]]) -> DataFrame:
+    """As ``key_ladder``, for key sets that are not part of one another: one scan and one exchange for all of them.
+
+    Each row is expanded to its combination of every set and made distinct before the exchange, so what moves is the sum of the
+    sets' combinations. The ladder moves only the largest set's, but scans the table anew for each set that is part of no other.
+    """
+    columns = [name for name in df.columns if any(name in keys for keys in key_sets.values())]
+    if lost := {key for keys in key_sets.values() for key in keys} - set(columns):
+        raise ValueError(f"no such columns: {sorted(lost)}")
+    mask, rows = free_name("_mask", df), free_name("_rows", df)
+
+    def mask_of(keys: Sequence[str]) -> int:
+        """The grouping id: a bit for each column that is not in the set, the first column's the highest."""
+        return sum(1 << (len(columns) - 1 - i) for i, name in enumerate(columns) if name not in keys)
+
+    sets = {mask_of(keys): [name for name in columns if name in keys] for keys in key_sets.values()}
+    groups = df.groupingSets([[F.col(f"`{name}`") for name in keys] for keys in sets.values()], *[F.col(f"`{name}`") for name in columns])
+    combinations = groups.agg(F.grouping_id().alias(mask), F.count(F.lit(1)).alias(rows))
+    one = next(iter(sets))
+    counts = [("rows", F.coalesce(F.sum(F.when(F.col(mask) == one, F.col(rows))), F.lit(0)))]
+    counts += [(name, F.count(F.when(F.col(mask) == mask_of(keys), 1))) for name, keys in key_sets.items()]
+    rungs = F.array(*[F.struct(F.lit(name).alias("key_set"), count.alias("combinations")) for name, count in counts])
+    return combinations.agg(rungs.alias("rungs")).select(F.inline("rungs"))

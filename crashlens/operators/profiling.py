@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType, NumericType, StringType
 
 from crashlens.functions import parse_number
+from crashlens.operators.ranking import number_rows
 
 
 def null_profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -70,3 +71,24 @@ def category_values(df: DataFrame, column: str, where: Column | None = None) ->
     """Distinct values of one column, optionally among the rows that meet a condition."""
     rows = df if where is None else df.filter(where)
     return rows.select(column).distinct()
+
+
+def frequent_values(df: DataFrame, k: int, columns: Sequence[str] | None = None) -> DataFrame:
+    """Of every column, the ``k`` most frequent values with their rows, and the column's numbers of distinct values and of missing rows.
+
+    One scan: each row becomes its (column, value) pairs, which are counted before the exchange, and Spark limits each column to
+    ``k`` before its values meet. The pairs of a column with as many values as rows all move, as they must to be counted. Values are
+    given as text; NULL is a value here, but not a distinct one; ties go to the smaller text, NULL last. A table without rows has
+    no values.
+
+    Result: column, place (from 1), value, count, n_distinct, n_missing.
+    """
+    names = list(columns or df.columns)
+    pairs = F.array(*[F.struct(F.lit(name).alias("column"), F.col(f"`{name}`").cast("string").alias("value")) for name in names])
+    counts = df.select(F.inline(pairs)).groupBy("column", "value").agg(F.count(F.lit(1)).alias("count"))
+    totals = counts.groupBy("column").agg(
+        F.count("value").alias("n_distinct"),
+        F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("count"))), F.lit(0)).alias("n_missing"),
+    )
+    top = number_rows(counts, ["column"], ["count"], ["value"], "place").filter(F.col("place") <= k)
+    return top.join(F.broadcast(totals), "column").select("column", "place", "value", "count", "n_distinct", "n_missing")  # a row a column

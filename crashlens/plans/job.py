@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crashlens.operators.ranking import collect_bounded, first_row, sort_by
 from crashlens.plans import analyses
 from crashlens.plans import values as v
+from crashlens.plans.manifest import Manifest, digest_of, files_state
 from crashlens.sources import convert_tables, read_tables, write_result
 from crashlens.sources.readers import OnBad
 
@@ -56,6 +59,32 @@ def open_tables(
     return convert_tables(spark, used, {name: f"{staging.rstrip('/')}/{name}" for name in TABLES}, fmt, on_bad, optional=UNREAD)
 
 
+def side_by_side(spark: SparkSession, steps: Mapping[str, Callable[[], DataFrame]], at_once: int) -> dict[str, DataFrame]:
+    """Run independent steps, some at once, each in a scheduler pool of its own name (``spark.scheduler.mode=FAIR`` shares the
+    executors among them; otherwise a later step takes what an earlier one leaves free).
+
+    If one fails, those that run end, the others are not begun, and its error is raised.
+    """
+
+    failed: list[BaseException] = []
+
+    def run(name: str) -> DataFrame | None:
+        if failed:
+            return None
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", name)
+        try:
+            return steps[name]()
+        except BaseException as error:
+            failed.append(error)
+            raise
+
+    with ThreadPoolExecutor(max_workers=max(at_once, 1)) as threads:
+        futures = {name: threads.submit(inheritable_thread_target(spark)(run), name) for name in steps}
+    if failed:
+        raise failed[0]
+    return {name: future.result() for name, future in futures.items()}
+
+
 def run_all(
     spark: SparkSession,
     inputs: Mapping[str, str],
@@ -64,15 +93,40 @@ def run_all(
     staging: str | None = None,
     all_pairs: bool = False,
     on_bad: OnBad = "raise",
+    manifest: str | None = None,
+    at_once: int = 1,
 ) -> dict[str, DataFrame]:
     """Run and store all analyses; returns the stored datasets by analysis name.
 
     Every plan runs once, in its write; ``answers`` reads the stored rows. ``all_pairs``: store a row for each pair of
     the fourth analysis, whose number grows with the product of the rows of a crash unit.
+
+    ``manifest``: a folder where finished tables and results are noted. A run that was stopped is taken up where it ended by the
+    same call; whatever was made from other files or options, or has changed since, is made again. ``at_once``: how many analyses
+    run at the same time.
     """
-    tables = open_tables(spark, inputs, fmt, staging, on_bad)
     chosen = STORED | ({"analysis4": analyses.licensed_hit_and_run} if all_pairs else {})
-    return {name: write_result(analysis(tables), outputs[name]) for name, analysis in chosen.items()}
+    if manifest is None:
+        tables = open_tables(spark, inputs, fmt, staging, on_bad)
+        steps = {name: lambda a=analysis, n=name: write_result(a(tables), outputs[n]) for name, analysis in chosen.items()}
+        return side_by_side(spark, steps, at_once)
+
+    notes = Manifest(spark, manifest)
+    made_from = {name: digest_of({"path": inputs[name], "files": files_state(spark, inputs[name]), "format": fmt, "on_bad": on_bad}) for name in TABLES}
+    if staging is None or fmt == "parquet":
+        tables = open_tables(spark, inputs, fmt, staging, on_bad)
+    else:
+        tables = {}
+        for name in TABLES:
+            target = f"{staging.rstrip('/')}/{name}"
+            convert = lambda n=name, t=target: convert_tables(spark, {n: inputs[n]}, {n: t}, fmt, on_bad, optional=UNREAD)[n]
+            tables[name] = notes.step(f"staged_{name}", made_from[name], target, convert)
+
+    def step(name: str, analysis: Callable[[analyses.Tables], DataFrame]) -> Callable[[], DataFrame]:
+        source = digest_of({"tables": made_from, "analysis": analysis.__name__, "path": outputs[name]})
+        return lambda: notes.step(name, source, outputs[name], lambda: write_result(analysis(tables), outputs[name]))
+
+    return side_by_side(spark, {name: step(name, analysis) for name, analysis in chosen.items()}, at_once)
 
 
 def _pairs(stored: DataFrame) -> int:

@@ -18,9 +18,9 @@ from crashlens.functions import (
 )
 from crashlens.operators.aggregates import count_rows, count_values, having, sum_columns
 from crashlens.operators.joins import anti, common_keys, count_pairs, join_on, join_per_key, restrict_to_top, semi
-from crashlens.operators.keys import distinct_on, duplicate_keys, duplicate_rows, key_ladder
+from crashlens.operators.keys import distinct_on, duplicate_keys, duplicate_rows, key_ladder, key_set_counts
 from crashlens.operators.positions import deep_rank_slice, global_row_ids, number_rows_in_ranges
-from crashlens.operators.profiling import category_values, describe, describe_numeric, null_profile
+from crashlens.operators.profiling import category_values, describe, describe_numeric, frequent_values, null_profile
 from crashlens.operators.ranking import number_rows, rank_slice, sort_by, top1_per_group, topk
 from crashlens.plans import fixtures
 from crashlens.plans import values as v
@@ -511,6 +511,29 @@ def count_distinct_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return key_ladder(fixtures.charges(spark, sf_dir), key_sets)
 
 
+_KEY_SETS = {
+    "unit": v.CRASH_UNIT,
+    "vehicle": ["CRASH_ID", "VIN"],
+    "make and style": ["VEH_MAKE_ID", "VEH_BODY_STYL_ID"],
+    "make": ["VEH_MAKE_ID"],
+    "state and colour": ["VEH_LIC_STATE_ID", "VEH_COLOR_ID"],
+}
+
+
+@query(
+    with_tables(
+        "SELECT 'rows' AS key_set, COUNT(*) AS combinations FROM units"
+        + "".join(
+            f"\nUNION ALL SELECT '{name}', COUNT(*) FROM (SELECT DISTINCT {', '.join(keys)} FROM units) s{i}"
+            for i, (name, keys) in enumerate(_KEY_SETS.items())
+        ),
+        "units",
+    )
+)
+def count_distinct_key_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return key_set_counts(fixtures.units(spark, sf_dir), _KEY_SETS)
+
+
 @query(
     """
 SELECT l_orderkey, l_linenumber, COUNT(*) AS lines FROM lineitem
@@ -640,6 +663,27 @@ def category_values_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return category_values(fixtures.charges(spark, sf_dir), "CHARGE", charge.contains("RUN") | charge.like("s%"))
 
 
+@query(
+    with_tables(
+        """
+SELECT "column", place, "value", "count", n_distinct, n_missing FROM (
+ SELECT "column", "value", "count",
+  CAST(ROW_NUMBER() OVER (PARTITION BY "column" ORDER BY "count" DESC, "value" NULLS LAST) AS INT) AS place,
+  COUNT("value") OVER (PARTITION BY "column") AS n_distinct,
+  CAST(COALESCE(SUM("count") FILTER (WHERE "value" IS NULL) OVER (PARTITION BY "column"), 0) AS BIGINT) AS n_missing
+ FROM ("""
+        + "\n  UNION ALL ".join(
+            f"""SELECT '{name}' AS "column", CAST({name} AS VARCHAR) AS "value", COUNT(*) AS "count" FROM units GROUP BY {name}"""
+            for name in _UNIT_COLUMNS
+        )
+        + ") c) r\nWHERE place <= 8",
+        "units",
+    )
+)
+def frequent_values_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return frequent_values(fixtures.units(spark, sf_dir), 8)
+
+
 # Windows, sorting, ranks
 
 

@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from crashlens.operators import joins
 from crashlens.operators.aggregates import count_values, sum_columns
 from crashlens.operators.joins import anti, common_keys, count_pairs, join_on, join_per_key, restrict_to_top, semi
-from crashlens.operators.keys import distinct_on, duplicate_keys, duplicate_rows, key_ladder
-from crashlens.operators.profiling import describe, null_profile
+from crashlens.operators.keys import distinct_on, duplicate_keys, duplicate_rows, key_ladder, key_set_counts
+from crashlens.operators.profiling import describe, frequent_values, null_profile
 from crashlens.operators.ranking import (
     collect_bounded,
     first_row,
@@ -96,6 +96,30 @@ def test_key_ladder_counts_missing_as_a_value(spark):
     assert distinct_on(df, ["a"]).count() == 2
 
 
+def test_key_sets_that_overlap_or_repeat(spark):
+    df = spark.createDataFrame([(1, None, "p"), (1, None, "q"), (None, None, "q"), (2, "x", "p")], "k int, _mask string, _rows string")
+    sets = {"a": ["k", "_mask"], "b": ["_mask", "_rows"], "again": ["_rows", "_mask"], "c": ["_rows"], "d": ["k"]}
+    expected = [("rows", 4), ("a", 3), ("b", 3), ("again", 3), ("c", 2), ("d", 3)]
+    assert [tuple(r) for r in key_set_counts(df, sets).collect()] == expected
+    assert sorted(map(tuple, key_ladder(df, sets).collect())) == sorted(expected)
+    assert {r["combinations"] for r in key_set_counts(df.filter("k > 5"), sets).collect()} == {0}
+    with pytest.raises(ValueError, match="no such columns"):
+        key_set_counts(df, {"a": ["z"]})
+
+
+@settings(max_examples=10, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 2) | st.none(), st.sampled_from("ab") | st.none()), max_size=12))
+def test_frequent_values_match_brute_force(spark, data):
+    df = spark.createDataFrame(data, "`value` int, `a b` string")
+    expected = set()
+    for at, name in enumerate(df.columns):
+        counts = Counter(None if row[at] is None else str(row[at]) for row in data)
+        ranked = sorted(counts.items(), key=lambda c: (-c[1], c[0] is None, c[0] or ""))
+        distinct = len(counts) - (None in counts)
+        expected |= {(name, i + 1, value, n, distinct, counts[None]) for i, (value, n) in enumerate(ranked[:2])}
+    assert set(map(tuple, frequent_values(df, 2).collect())) == expected
+
+
 def test_counts_skip_missing_and_sums_stay_missing(spark):
     df = spark.createDataFrame([("g", None, None), ("g", 1, None), (None, 2, 5)], "k string, a int, b int")
     assert rows(count_values(df, ["k"], "a", "n")) == [("g", 1), (None, 1)]

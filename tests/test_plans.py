@@ -5,7 +5,8 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from crashlens.operators.joins import anti, count_pairs, join_per_key, semi
-from crashlens.operators.keys import duplicate_rows
+from crashlens.operators.keys import duplicate_rows, key_set_counts
+from crashlens.operators.profiling import frequent_values
 from crashlens.plans import analyses, analysis_queries, operator_queries  # noqa: F401  (they fill the catalogue)
 from crashlens.plans.catalog import QUERIES
 
@@ -154,3 +155,16 @@ def test_nested_key_sets_scan_the_table_once(spark, stored, conf):
     final = plan(df).split("== Initial Plan ==")[0]
     scans = [line for line in final.splitlines() if "FileScan" in line and "PRSN_NBR" in line]
     assert len(scans) == 1 and "ReusedExchange" in final
+
+
+def test_key_sets_take_one_scan_and_one_exchange_of_rows(stored):
+    df = key_set_counts(stored["units"], {"unit": ["CRASH_ID", "UNIT_NBR"], "vin": ["VIN"], "make": ["VEH_MAKE_ID"]})
+    text = plan(df)
+    assert text.count("FileScan") == 1 and text.count("Exchange hashpartitioning") == 1 and text.count("Expand") == 1
+
+
+def test_frequent_values_scan_once_and_are_limited_before_columns_meet(stored):
+    df = frequent_values(stored["units"], 5)
+    df.collect()
+    final = plan(df).split("== Initial Plan ==")[0]
+    assert final.count("FileScan") == 1 and "ReusedExchange" in final and final.count("WindowGroupLimit") == 2

@@ -1,3 +1,4 @@
+from threading import Barrier
 from types import SimpleNamespace
 
 import pytest
@@ -5,6 +6,7 @@ from conftest import rows
 from pyspark.sql.types import StructType
 
 from crashlens.plans.fixtures import BUILDERS
+from crashlens.plans import job
 from crashlens.plans.job import STORED, UNREAD, answers, open_tables, result_paths, run_all
 from crashlens.sources import (
     SCHEMAS,
@@ -132,6 +134,70 @@ def test_job_gives_the_known_answers(spark, tables, tmp_path, mode):
     assert found["analysis10"] == ["NA", "BRAND#13", "BRAND#14", "BRAND#25", "BRAND#16"]
 
 
+@pytest.fixture
+def written(spark, tables, tmp_path, monkeypatch):
+    """A job over CSV files with a manifest, and the names of the datasets that its last run wrote."""
+    inputs = {name: str(tmp_path / f"in-{name}") for name in job.TABLES}
+    for name, path in inputs.items():
+        tables[name].write.csv(path, header=True)
+    made = []
+    for name, analysis in list(STORED.items()):
+        def noted(tables, analysis=analysis, name=name):
+            made.append(name)
+            return analysis(tables)
+        noted.__name__ = analysis.__name__
+        monkeypatch.setitem(STORED, name, noted)
+    convert = job.convert_tables
+    monkeypatch.setattr(job, "convert_tables", lambda spark, paths, *rest, **more: made.extend(paths) or convert(spark, paths, *rest, **more))
+
+    def run(**options):
+        made.clear()
+        full = {"outputs": result_paths(str(tmp_path / "out")), "staging": str(tmp_path / "staged"), "manifest": str(tmp_path / "notes")}
+        return run_all(spark, inputs, **(full | options)), list(made)
+
+    return SimpleNamespace(run=run, inputs=inputs, folder=tmp_path)
+
+
+def test_a_stopped_job_goes_on_where_it_ended(spark, written, monkeypatch):
+    names = list(STORED)
+    with monkeypatch.context() as stopped:
+        stopped.setitem(STORED, "analysis5", lambda tables: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            written.run()
+    (written.folder / "out" / "analysis5").mkdir()  # what a run that died while it wrote leaves
+    stored, made = written.run()
+    assert made == names[4:]
+    found = answers(stored)
+    assert (found["analysis2"], found["analysis4"], found["analysis5"]) == (1793, 278, "ST19")
+    assert written.run()[1] == []
+    assert job.Manifest(spark, str(written.folder / "notes")).rows()["analysis2"] == 1793
+
+    result = written.folder / "out" / "analysis3"
+    next(result.glob("part-*")).unlink()  # a result that lost a file
+    assert written.run()[1] == ["analysis3"]
+    assert "pairs" not in written.run(all_pairs=True)[0]["analysis4"].columns
+    assert written.run()[1] == ["analysis4"]
+    assert written.run(outputs=result_paths(str(written.folder / "other")))[1] == names
+
+
+def test_changed_input_is_staged_and_read_again(written):
+    first = written.run()[0]["analysis2"].count()
+    with open(f"{written.inputs['units']}/more.csv", "w") as file:
+        source = next((written.folder / "in-units").glob("part-*.csv")).read_text().splitlines()
+        file.write("\n".join([source[0], *(line.replace("PICKUP", "MOTORCYCLE") for line in source[1:])]) + "\n")
+    stored, made = written.run()
+    assert made == ["units", *STORED] and stored["analysis2"].count() > first
+
+
+def test_analyses_run_at_the_same_time(written, monkeypatch):
+    met = Barrier(3)
+    for name in ("analysis1", "analysis2", "analysis3"):
+        analysis = STORED[name]
+        monkeypatch.setitem(STORED, name, lambda tables, analysis=analysis: met.wait(60) is not None and analysis(tables))
+    found = answers(written.run(at_once=3)[0])
+    assert (found["analysis1"], found["analysis2"], found["analysis9"].count()) == (89, 1793, 310)
+
+
 def test_csv_needs_staging(spark):
     with pytest.raises(ValueError, match="staging"):
         open_tables(spark, dict.fromkeys(BUILDERS, "x.csv"))
