@@ -44,7 +44,7 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs the token ids of what is left, each sequence with the corpus' proportions of sources."""
     ship(spark)
-    return packing.pack(docs, vocabulary()).withColumnRenamed("source", "queue")
+    return packing.pack(docs, vocabulary())
 
 
 STAGES: list[tuple[str, Stage]] = [
