@@ -4,7 +4,8 @@ Every source is a queue of its documents' ids, and every window (sequence) is de
 round-robin: in each slot a queue earns its target share, the queue that is owed most is served, and what it is still owed or has
 got ahead goes with it into the next slot, window and partition. Served so, the j-th slot of a queue of share w is due at
 time (j + 1/2) / w, and its place is the number of slots, of all queues, that are due earlier. So a task can carry the deficits of
-all the windows before its own without having seen them: only the queues' lengths and its own first places are needed.
+all the windows before its own without having seen them: only the queues' lengths and its own first places are needed. Which slots
+a window holds decides its proportions, not their order in it: they are laid out queue by queue, so that a document's lie together.
 """
 
 from __future__ import annotations
@@ -25,52 +26,76 @@ END_ID = 1
 
 #: Bytes of text whose ids are made at a time; the encoder's arrays for them take some thirty times as many.
 ENCODE_BYTES = 256 << 10
-PIECES = "id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string"
+PIECES = "id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string, queue string"
 
 
 class Schedule:
-    """Places of slots under deficit round-robin. Queues by number; lengths in tokens, weights as whole numbers."""
+    """Places of slots under deficit round-robin. Queues by number; lengths in tokens, weights as whole numbers.
+
+    Due times are doubles, rounded the same way in every task; equal ones are served in the order of the queues.
+    """
 
     def __init__(self, lengths: list[int], weights: list[int], window: int, grain: int):
         if window % grain:
             raise ValueError("a window has to hold a whole number of slots")
         self.window, self.grain, self.slots = window, grain, window // grain
-        self.counts = [-(-n // grain) for n in lengths]
-        self.weights = weights
-        big = 4 * (max(self.counts, default=0) + 1) * (max(weights, default=0) + 1) >= 1 << 63
-        self.kind = object if big else np.int64
-        # Only the last slot of a queue can be short; what is missing there moves later tokens of its window forward.
-        short = [
-            (int(self.places(k, np.array([self.counts[k] - 1]))[0]), self.counts[k] * grain - n)
-            for k, n in enumerate(lengths)
-            if n % grain
-        ]
-        short.sort()
-        self.short_at = np.array([place for place, _ in short], np.int64)
-        self.missing = np.cumsum([0, *(m for _, m in short)])
+        self.lengths = np.array(lengths, np.int64)
+        self.counts = -(-self.lengths // grain)
+        self.weights = np.array(weights, np.float64)
+
+    def due(self, queue: int | slice, slots: np.ndarray) -> np.ndarray:
+        return (2 * slots + 1) / self.weights[queue]
+
+    def served(self, queue: int | slice, times: np.ndarray) -> np.ndarray:
+        """Slots of a queue that are due at these times or earlier."""
+        known = np.maximum(((times * self.weights[queue] + 1) // 2).astype(np.int64) - 1, 0)
+        for _ in range(2):  # the product is rounded, so the number can be one off
+            known = known + (self.due(queue, known) <= times)
+        return np.minimum(known, self.counts[queue])
 
     def places(self, queue: int, slots: np.ndarray) -> np.ndarray:
         """Places, among the slots of all queues, of some slots of one queue."""
-        due = 2 * slots.astype(self.kind) + 1
-        total = np.zeros(len(slots), self.kind)
-        for other, (count, weight) in enumerate(zip(self.counts, self.weights, strict=True)):
-            if other == queue:
-                total = total + slots
-            else:  # slots of the other queue that are due earlier, or at the same time and it comes first
-                most = (due * weight - (0 if other < queue else 1)) // self.weights[queue]
-                total = total + np.minimum((most + 1) // 2, count)
-        return total.astype(np.int64)
+        times = self.due(queue, slots)
+        sooner = np.nextafter(times, -1)
+        total = slots.astype(np.int64)
+        for other in range(len(self.counts)):
+            if other != queue:
+                total = total + self.served(other, times if other < queue else sooner)
+        return total
+
+    def before(self, places: np.ndarray) -> np.ndarray:
+        """For each place, how many slots of each queue (a column each) have an earlier one."""
+        places = places[:, None]
+        bits = np.zeros(places.shape, np.int64)  # doubles from 0 up are ordered like their bits
+        high = np.full(places.shape, np.max(self.due(slice(None), self.counts), initial=0.0)).view(np.int64)
+        every = slice(None)
+        while (bits < high).any():  # the earliest time at which the slot of this place is due
+            middle = bits + (high - bits) // 2
+            enough = self.served(every, middle.view(np.float64)).sum(1, keepdims=True) > places
+            bits, high = np.where(enough, bits, np.minimum(middle + 1, high)), np.where(enough, middle, high)
+        times = bits.view(np.float64)
+        sooner = self.served(every, np.nextafter(times, -1))
+        ties = self.served(every, times) - sooner
+        left = places - sooner.sum(1, keepdims=True) - (np.cumsum(ties, 1) - ties)
+        return sooner + np.clip(left, 0, ties)
 
     def deficit(self, queue: int, window: int) -> float:
         """Slots that a queue is owed after so many windows; below 0 if it is ahead."""
-        places = self.places(queue, np.arange(self.counts[queue]))
-        return window * self.slots * self.weights[queue] / sum(self.weights) - int((places < window * self.slots).sum())
-
-    def position(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Window and offset in it at which each place begins."""
-        window = places // self.slots
-        before = lambda p: self.missing[np.searchsorted(self.short_at, p)]
-        return window, (places % self.slots) * self.grain - (before(places) - before(window * self.slots))
+        served = int(self.before(np.array([window * self.slots]))[0, queue])
+        return window * self.slots * self.weights[queue] / self.weights.sum() - served
+
+    def position(self, queues: np.ndarray, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Window of each slot and its offset there; a window's slots lie queue by queue, so a queue's are side by side."""
+        places = np.empty(len(slots), np.int64)
+        for k in np.unique(queues):
+            own = queues == k
+            places[own] = self.places(int(k), slots[own])
+        windows, at = np.unique(places // self.slots, return_inverse=True)
+        first, end = self.before(windows * self.slots), self.before((windows + 1) * self.slots)
+        missing = np.where((first < end) & (end == self.counts), self.counts * self.grain - self.lengths, 0)
+        tokens = (end - first) * self.grain - missing  # only the last slot of a queue can be short
+        begin = np.cumsum(tokens, 1) - tokens
+        return windows[at], begin[at, queues] + (slots - first[at, queues]) * self.grain
 
 
 def tokenize(docs: DataFrame, vocabulary: str, id_column: str, text_column: str, source_column: str) -> DataFrame:
@@ -121,13 +146,13 @@ def pack(
     ``weights`` gives the target proportion of each source as a whole number; without it a source's proportion is that of its
     tokens in the corpus, so all queues run dry together. If a queue runs dry before the others, these share its part in
     proportion. Each window holds every source's target to one slot of ``grain`` tokens. Sequences but the last are full,
-    short of less than a slot for each source whose last slot they hold. With over ``max_queues`` sources, these are hashed
-    to so many queues.
+    short of less than a slot for each source whose last slot they hold. A document is one piece in each window that holds some of it.
+    With over ``max_queues`` sources, these are hashed to so many queues, and the proportions are those of the queues.
 
     A null or empty text is the end id alone; a null source is the queue with the empty name; ids may be null or repeat, each row
     is a document. An empty table gives no rows. Other columns are not read.
 
-    Result: id, start, length, ids_crc32, doc_tokens, sequence_id, offset, source (the queue), a row a piece.
+    Result: id, start, length, ids_crc32, doc_tokens, sequence_id, offset, source, queue (the source or its hash), a row a piece.
     """
     spark = docs.sparkSession
     tokens = stored(tokenize(docs, vocabulary, id_column, text_column, source_column), "packing")
@@ -162,13 +187,9 @@ def pack(
             slot = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many) + from_slot[row]
             begin = np.maximum(first[row], slot * grain)
             length = np.minimum(first[row] + n[row], (slot + 1) * grain) - begin
-            place = np.empty(len(row), np.int64)
-            for k in np.unique(queues):
-                own = queues[row] == k
-                place[own] = schedule.places(int(k), slot[own])
-            sequence, offset = schedule.position(place)
+            sequence, offset = schedule.position(queues[row], slot)
             offset += begin - slot * grain
-            joined = (row[1:] == row[:-1]) & (sequence[1:] == sequence[:-1]) & (offset[1:] == offset[:-1] + length[:-1])
+            joined = (row[1:] == row[:-1]) & (sequence[1:] == sequence[:-1])
             heads = np.flatnonzero(np.r_[True, ~joined])
             length = np.add.reduceat(length, heads)
             row, start, sequence, offset = row[heads], (begin - first[row])[heads], sequence[heads], offset[heads]
@@ -188,11 +209,12 @@ def pack(
                     "doc_tokens": n[row],
                     "sequence_id": sequence,
                     "offset": offset,
-                    "source": batch.column("queue").take(pa.array(row)),
+                    "source": batch.column("source").take(pa.array(row)),
+                    "queue": batch.column("queue").take(pa.array(row)),
                 }
             )
 
     placed = tokens.join(bases, ["part", "source"]).select(
-        "id", "ids", "n", "queue", (F.col("base") + F.col("start")).alias("at")
+        "id", "ids", "n", "source", "queue", (F.col("base") + F.col("start")).alias("at")
     )
     return placed.mapInArrow(cut, PIECES).withColumnRenamed("id", id_column)

@@ -62,7 +62,7 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from crashlens.llm.packing import pack
 
-    return pack(table(spark, sf_dir, "documents"), vocabulary()).withColumnRenamed("source", "queue")
+    return pack(table(spark, sf_dir, "documents"), vocabulary())
 
 
 @query(

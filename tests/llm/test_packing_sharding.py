@@ -109,15 +109,42 @@ def test_places_are_those_of_a_deficit_round_robin(lengths):
     for k, count in enumerate(s.counts):
         assert s.places(k, np.arange(count)).tolist() == [expected[k, j] for j in range(count)]
         assert all(abs(s.deficit(k, w)) < len(lengths) for w in range(len(due) // s.slots))
-    big = Schedule([n << 45 for n in lengths], [n << 42 for n in lengths], 64, 8)
-    assert big.kind is object and int(big.places(0, np.array([0]))[0]) >= 0
+    ends = np.arange(len(due) + 20)
+    assert s.before(ends).tolist() == [[sum(k == q for _, q, _ in due[:p]) for k in range(len(lengths))] for p in ends]
+
+
+@pytest.mark.parametrize("scale", [1, 1 << 20, 1 << 36])
+def test_windows_are_filled_at_any_size(scale):
+    """Around some places of long queues, every window holds each place once and its tokens side by side."""
+    lengths = [1000 * scale + 5, 300 * scale, 77 * scale + 1, 9]
+    s = Schedule(lengths, [3, 2, 1, 1], 64, 8)
+    total = int(s.counts.sum())
+    for window in {0, 1, total // 16, total // 8 - 2, total // 11}:
+        first, end = s.before(np.array([window, window + 1]) * s.slots)
+        assert first.sum() == min(window * s.slots, total) and end.sum() == min((window + 1) * s.slots, total)
+        queues = np.repeat(np.arange(4), end - first)
+        slots = np.concatenate([np.arange(a, b) for a, b in zip(first, end, strict=True)])
+        assert sorted(np.concatenate([s.places(k, slots[queues == k]) for k in range(4)]).tolist()) == list(range(first.sum(), end.sum()))
+        windows, offsets = s.position(queues, slots)
+        sizes = np.minimum(8, s.lengths[queues] - slots * 8)
+        assert set(windows.tolist()) <= {window} and offsets.tolist() == (np.cumsum(sizes) - sizes).tolist()
+
+
+def test_a_document_is_one_piece_in_a_window(spark, prose):
+    docs = [(k, prose(k, 400), f"s{k % 3}") for k in range(60)]
+    pieces = pack(frame(spark, docs), VOCABULARY, 512, 32).collect()
+    assert len({(p["doc_id"], p["sequence_id"]) for p in pieces}) == len(pieces)
+    assert {(p["doc_id"], p["source"]) for p in pieces} == {(k, s) for k, _, s in docs}
+    share = 512 / 3
+    assert sum(p["length"] for p in pieces) / len(pieces) > 0.8 * share
 
 
 def test_many_sources_are_hashed_to_queues(spark, prose):
     docs = [(k, prose(k, 20), f"s{k}") for k in range(40)]
     pieces = pack(frame(spark, docs), VOCABULARY, 128, 16, max_queues=4).collect()
     check_pieces(pieces, docs, 128)
-    assert len({p["source"] for p in pieces}) <= 4
+    assert len({p["queue"] for p in pieces}) <= 4
+    assert {(p["doc_id"], p["source"]) for p in pieces} == {(k, s) for k, _, s in docs}
 
 
 def check_shards(rows, docs, shards):
