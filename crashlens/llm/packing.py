@@ -42,14 +42,17 @@ class Schedule:
         self.lengths = np.array(lengths, np.int64)
         self.counts = -(-self.lengths // grain)
         self.weights = np.array(weights, np.float64)
+        # If tokens flowed evenly: when each queue would run dry, and the slots served until then.
+        self.dry = np.unique(np.append(2 * self.counts / self.weights, 0.0))
+        self.flowed = np.minimum(self.dry[:, None] * self.weights / 2, self.counts).sum(1)
 
     def due(self, queue: int | slice, slots: np.ndarray) -> np.ndarray:
         return (2 * slots + 1) / self.weights[queue]
 
     def served(self, queue: int | slice, times: np.ndarray) -> np.ndarray:
         """Slots of a queue that are due at these times or earlier."""
-        known = np.maximum(((times * self.weights[queue] + 1) // 2).astype(np.int64) - 1, 0)
-        for _ in range(2):  # the product is rounded, so the number can be one off
+        known = (times * (self.weights[queue] * 0.5) - 0.5).astype(np.int64)
+        for _ in range(2):  # at most two too few, as the product is rounded
             known = known + (self.due(queue, known) <= times)
         return np.minimum(known, self.counts[queue])
 
@@ -65,10 +68,11 @@ class Schedule:
 
     def before(self, places: np.ndarray) -> np.ndarray:
         """For each place, how many slots of each queue (a column each) have an earlier one."""
-        places = places[:, None]
-        bits = np.zeros(places.shape, np.int64)  # doubles from 0 up are ordered like their bits
-        high = np.full(places.shape, np.max(self.due(slice(None), self.counts), initial=0.0)).view(np.int64)
-        every = slice(None)
+        places, every = places[:, None], slice(None)
+        apart = len(self.counts)  # more than even flow and served slots can differ
+        bits, high = (  # doubles from 0 up are ordered like their bits
+            np.interp(places + by, self.flowed, self.dry).view(np.int64) for by in (-apart, apart + 1)
+        )
         while (bits < high).any():  # the earliest time at which the slot of this place is due
             middle = bits + (high - bits) // 2
             enough = self.served(every, middle.view(np.float64)).sum(1, keepdims=True) > places
@@ -91,7 +95,8 @@ class Schedule:
             own = queues == k
             places[own] = self.places(int(k), slots[own])
         windows, at = np.unique(places // self.slots, return_inverse=True)
-        first, end = self.before(windows * self.slots), self.before((windows + 1) * self.slots)
+        edges, edge = np.unique([windows, windows + 1], return_inverse=True)
+        first, end = self.before(edges * self.slots)[edge.reshape(2, -1)]
         missing = np.where((first < end) & (end == self.counts), self.counts * self.grain - self.lengths, 0)
         tokens = (end - first) * self.grain - missing  # only the last slot of a queue can be short
         begin = np.cumsum(tokens, 1) - tokens
