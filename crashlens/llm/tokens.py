@@ -70,18 +70,37 @@ class Words:
         self.text, self.text_n, self.text_at = text, text_n, (np.cumsum(text_n) - text_n).astype(np.int32)
         self.ids, self.ids_n, self.ids_at = ids, ids_n, (np.cumsum(ids_n) - ids_n).astype(np.int32)
         self.met = np.zeros(len(keys), bool)
+        self._index()
+
+    def _index(self) -> None:
+        """Where the keys of each beginning start; there are about twice as many beginnings as keys."""
+        bits = len(self.keys).bit_length() + 1
+        self.shift = np.uint64(64 - bits)
+        counts = np.bincount((self.keys >> self.shift).view(np.int64), minlength=1 << bits)
+        self.begins = (np.cumsum(counts) - counts).astype(np.int32)
+
+    def _entries(self, hashes: np.ndarray) -> np.ndarray:
+        """The entry of each hash, or -1: forward from the first key of its beginning, a step at a time for all that are not there yet."""
+        at = self.begins[(hashes >> self.shift).view(np.int64)].astype(np.int64)
+        last = len(self.keys) - 1
+        np.minimum(at, last, out=at)
+        keys = self.keys[at]
+        ahead = np.flatnonzero((keys < hashes) & (at < last))
+        while len(ahead):
+            at[ahead] += 1
+            keys[ahead] = self.keys[at[ahead]]
+            ahead = ahead[(keys[ahead] < hashes[ahead]) & (at[ahead] < last)]
+        return np.where(keys == hashes, self.entry[at], -1)
 
     def size(self) -> int:
-        return sum(a.nbytes for a in (self.keys, self.entry, self.text, self.text_n, self.text_at, self.ids, self.ids_n, self.ids_at, self.met))
+        return sum(a.nbytes for a in (self.keys, self.entry, self.text, self.text_n, self.text_at, self.ids, self.ids_n, self.ids_at, self.met, self.begins))
 
     def find(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For each word its entry, or -1; and whether another word of the same hash is there."""
         found, clash = np.full(len(starts), -1, np.int64), np.zeros(len(starts), bool)
         if not len(self.keys) or not len(starts):
             return found, clash
-        distinct, which = np.unique(hashes, return_inverse=True)
-        at = np.minimum(np.searchsorted(self.keys, distinct), len(self.keys) - 1)
-        entry = np.where(self.keys[at] == distinct, self.entry[at], -1)[which]
+        entry = self._entries(hashes)
         known = np.flatnonzero(entry >= 0)
         same = self.text_n[entry[known]] == lengths[known]
         clash[known[~same]] = True
@@ -110,6 +129,7 @@ class Words:
         self.text, self.ids = np.r_[self.text, data[ranges(starts, lengths)]], np.r_[self.ids, ids.astype(self.kind)]
         self.text_n, self.ids_n = np.r_[self.text_n, lengths.astype(np.int32)], np.r_[self.ids_n, ids_n.astype(np.int32)]
         self.met = np.r_[self.met, np.zeros(len(lengths), bool)]
+        self._index()
 
     def ids_of(self, entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of words, one after another, and how many each has."""
