@@ -42,6 +42,41 @@ def test_words_of_one_hash_are_told_apart(monkeypatch, prose, hashes):
         assert [ids.tolist() for ids in encoder.encode(part)] == [ids_of(text)[:-1].tolist() for text in part]
 
 
+def test_words_are_kept_without_the_marks_around_them():
+    """A word beside other marks, or with a contraction, is no other word to encode and keep."""
+    encoder = Encoder(VOCABULARY)
+    new = []
+    encoder.model = type("Model", (), {"tokenize": lambda _, word, own=encoder.model.tokenize: new.append(word) or own(word)})()
+    texts = ["Quux, quux. (quux) quux's", "'quux' QUUX-quux've été. 77", "quux étés"]
+    assert [ids.tolist() for text in texts for ids in encoder.encode([text])] == [ids_of(text)[:-1].tolist() for text in texts]
+    mapped = ["Ã©tÃ©", "Ã©tÃ©s"]  # é in the vocabulary's alphabet of bytes
+    assert sorted(new) == sorted(["quux", ",", ".", "(", ")", "'s", "'", "-", "'ve", "7", *mapped])
+    encoder.encode(texts)
+    assert len(new) == 12
+
+
+def test_words_met_again_outlast_those_met_once(prose):
+    """When the arrays are full, a word of an earlier text that came again stays."""
+    encoder = Encoder(VOCABULARY)
+    for text in ("quux corge", "quux grault garply waldo"):
+        encoder.encode([text])
+    encoder.words.shrink(0)
+    data = np.frombuffer(b"quux corge grault" + tokens.PAD, np.uint8)
+    assert (encoder.words.find(data, *tokens.chunks(data)) > 0).tolist() == [True, False, False]
+
+
+def test_texts_are_parted_as_the_tokenizer_parts_them():
+    """Contractions, digits, marks and letters of one and two bytes in any order, words with equal first 8 and 32 bytes."""
+    parts = [*"'a1 -é²×ŒªsS\n", "'re", "'ll", "'ve", "'d", "½", "12345678", "ab" * 16, "ab" * 17, "ab" * 20, "abababab", "ababababc", "ab" * 16 + "é"]
+    chosen = np.random.default_rng(3).integers(0, len(parts), (400, 12))
+    texts = ["".join(parts[k] for k in row) for row in chosen]
+    tokenizer = Tokenizer.from_file(VOCABULARY)
+    expected = [tokenizer.encode(text, add_special_tokens=False).ids for text in texts]
+    encoder = Encoder(VOCABULARY, kept_bytes=20_000)
+    got = [ids.tolist() for at in range(0, 400, 50) for ids in encoder.encode(texts[at : at + 50])]
+    assert all(map(tokens.plain, texts)) and got == expected
+
+
 def test_a_vocabulary_that_keeps_capitals_is_taken_as_it_is(spark, tmp_path):
     """Only the file's own folding and parting are done fast; any other goes to the tokenizer whole."""
     import json
